@@ -27,7 +27,7 @@ DESCRIPTIONS = {
     "Pipeline_Failure": "The HDFS write pipeline shows delivery/state failures during transfer.",
     "Unknown_System_Anomaly": "No known error signature matched, but behavior remains anomalous.",
 }
-# Start of the type -> action.
+# Type, or its start where the entry ends in "_" -> action.
 ACTIONS = (
     ("Data_Corruption", "Trigger immediate block re-verification and re-replication"),
     ("Node_Failure", "Isolate affected DataNode and redistribute its blocks"),
@@ -163,6 +163,9 @@ def description(anomaly_type: Column) -> Column:
 
 def recommended_action(anomaly_type: Column) -> Column:
     return F.coalesce(
-        *(F.when(anomaly_type.startswith(start), F.lit(text)) for start, text in ACTIONS),
+        *(
+            F.when(anomaly_type.startswith(name) if name.endswith("_") else anomaly_type == name, F.lit(text))
+            for name, text in ACTIONS
+        ),
         F.lit(DEFAULT_ACTION),
     )

@@ -30,10 +30,10 @@ LINE_TEMPLATES = (
 # --------------------------------------------------------------------------------------------
 
 # What counts as blank space at the ends of a cell (all Unicode space, and the four separators).
-_SPACE = r"[\s\x1c-\x1f\x85   -     　]"
-_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # Line ends inside what the text reader already hands over as one line.
-_INNER_LINE_END = r"[\x0b\x0c\x1c-\x1e\x85  ]"
+_INNER_LINE_END = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(col: Column) -> Column:
