@@ -22,10 +22,12 @@ def lookup_join(
     """Join ``df`` to a look-up table with unique keys.
 
     A table within ``rows`` is broadcast. A larger one is repeated once per salt and joined by key
-    and salt, so a key that holds a large share of ``df`` is spread over ``SALTS`` tasks.
+    and salt, so a key that holds a large share of ``df`` is spread over ``SALTS`` tasks. The salt is a
+    hash of the row, the same when a lost task runs again.
     """
     if fits_broadcast(table, rows):
         return df.join(F.broadcast(table), list(keys), how)
-    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int"))
     repeated = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
