@@ -86,10 +86,12 @@ def class_counts(
         return classes.join(counted, "class_index", "left").select(
             "class_index", "class_name", F.coalesce("n", F.lit(0)).alias("n")
         )
-    names = classes.agg(F.collect_list(F.struct("class_index", "class_name")).alias("c"))
-    grid = (
-        counted.select(*by).distinct().join(F.broadcast(names), F.lit(True)).select(*by, F.inline("c"))
+    # The class list is as long as the model's output; it goes into the expression.
+    names = F.array(
+        *(F.struct(F.lit(r.class_index).alias("class_index"), F.lit(r.class_name).alias("class_name"))
+          for r in classes.collect())
     )
+    grid = counted.select(*by).distinct().select(*by, F.inline(names))
     return grid.join(counted, [*by, "class_index"], "left").select(
         *by, "class_index", "class_name", F.coalesce("n", F.lit(0)).alias("n")
     )

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomaloom.functions.numeric import argmax, safe_ratio, softmax
+from anomaloom.operators.joins import lookup_join
 from anomaloom.operators.ranking import average_ranks, prefix_sums
 
 MIN_SUPPORT = 20
@@ -170,7 +172,7 @@ def dataset_summary(df: DataFrame, split: str = "split", label: str = "y") -> Da
 
 @dataclass(frozen=True)
 class ClassificationReport:
-    """One-row summary, per-class table and confusion matrix."""
+    """Summary (``metric, value``), per-class table and confusion matrix."""
 
     summary: DataFrame
     per_class: DataFrame
@@ -190,17 +192,22 @@ def classification_report(
     scored = anomaly_columns(class_probabilities(df, logits), normal_index, label)
     confusion = confusion_matrix(scored, n_classes, label)
     per_class = per_class_metrics(confusion, classes)
-    one = F.lit(True)
-    summary = (
-        log_loss(scored, logits, label)
-        .join(accuracy(scored, label), one)
-        .join(macro_f1(per_class), one)
-        .join(roc_auc(scored), one)
-        .join(average_precision(scored, order=order), one)
+    parts = (
+        log_loss(scored, logits, label),
+        accuracy(scored, label),
+        macro_f1(per_class),
+        roc_auc(scored),
+        average_precision(scored, order=order),
     )
+    summary = reduce(DataFrame.unionByName, (_as_metric(part) for part in parts))
     return ClassificationReport(summary, per_class, confusion)
 
 
-def ranks_of(df: DataFrame, value: str) -> DataFrame:
-    """Rows with the average rank of their value."""
-    return df.join(average_ranks(df, value).drop("n"), value)
+def _as_metric(one_row: DataFrame) -> DataFrame:
+    name = one_row.columns[0]
+    return one_row.select(F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
+
+
+def with_average_rank(df: DataFrame, value: str, output: str = "avg_rank") -> DataFrame:
+    """Rows with the average rank of their value; a frequent value is no hot join key."""
+    return lookup_join(df, average_ranks(df, value, output).drop("n"), [value], "inner")

@@ -50,8 +50,14 @@ def normalization_stats(
     rows = weighted.agg(
         summary.alias("s"), F.sum(weight).alias("w1"), F.sum(weight * weight).alias("w2")
     )
-    padding = train_keys.agg(F.coalesce(F.sum(F.lit(length) - F.col("n_rows")), F.lit(0)).alias("zeros"))
-    both = rows.join(padding, F.lit(True))
+    padding = train_keys.agg(F.sum(F.lit(length) - F.col("n_rows")).alias("zeros"))
+    # Two one-row tables side by side.
+    both = rows.unionByName(padding, allowMissingColumns=True).agg(
+        F.first("s", ignorenulls=True).alias("s"),
+        F.sum("w1").alias("w1"),
+        F.sum("w2").alias("w2"),
+        F.coalesce(F.sum("zeros"), F.lit(0)).alias("zeros"),
+    )
     sample_to_total = (F.col("w1") - F.col("w2") / F.col("w1")) / F.col("total")
     spread = F.col("w1") * F.col("zeros") / (F.col("total") * F.col("total"))
     return (
