@@ -44,9 +44,9 @@ def anomaly_type_stats(classified: DataFrame) -> DataFrame:
 
 def most_common_severity(classified: DataFrame, order: Sequence[str]) -> DataFrame:
     """The most frequent severity, ties by first record; ``Unknown`` without records."""
-    counts = classified.groupBy("severity").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_at")
-    )
+    # One numeric column keeps this a hash aggregate; several need a struct, which sorts.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    counts = classified.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first_at"))
     top = F.min_by("severity", F.struct(-F.col("n"), F.col("first_at")))
     return counts.agg(F.coalesce(top, F.lit("Unknown")).alias("most_common_severity"))
 

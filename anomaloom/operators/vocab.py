@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomaloom.functions.numeric import last_items, left_pad
 from anomaloom.operators.joins import fits_broadcast, lookup_join
+from anomaloom.session import stage
 from anomaloom.sources.datasets import PAD, PAD_ID, UNK, UNK_ID
 
 SHOWN_TOKENS = 20
@@ -25,24 +26,38 @@ def check_vocab_limits(sequence_length: int, max_vocab: int, min_frequency: int)
         raise ValueError("minimum token frequency must be at least 1")
 
 
-def token_counts(df: DataFrame, key: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """``token, n, first_at``: count and first place (key, then position) of every token."""
+def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``token, n``: how often each token occurs."""
+    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_places(df: DataFrame, key: Sequence[str], wanted: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``token, first_at``: smallest (key, position) of the ``wanted`` tokens."""
     exploded = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
-    return exploded.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "pos")).alias("first_at")
-    )
+    kept = lookup_join(exploded, wanted.select("token"), ["token"], "left_semi")
+    return kept.groupBy("token").agg(F.min(F.struct(*key, "pos")).alias("first_at"))
 
 
 def build_vocab(
     df: DataFrame, key: Sequence[str], tokens: str = "tokens", max_vocab: int = 8192, min_frequency: int = 2
 ) -> DataFrame:
     """``token, token_id``: the most frequent tokens from id 2 on, ties by first occurrence in key
-    order, after the two special tokens."""
+    order, after the two special tokens.
+
+    Counting is one hash aggregate. Places, which sort, are looked up only for tokens that share
+    their count with another token in reach of the vocabulary.
+    """
     check_vocab_limits(1, max_vocab, min_frequency)
+    room = max_vocab - 2
+    counted = stage(token_counts(df, tokens).where(F.col("n") >= min_frequency), "tokens")
+    least = counted.orderBy(F.desc("n")).limit(room).agg(F.min("n")).first()[0]
+    reached = counted.where(F.col("n") >= F.lit(least))
+    shared = reached.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") > 1)
+    tied = reached.join(shared.select("n"), "n", "left_semi")
+    placed = reached.join(first_places(df, key, tied, tokens), "token", "left")
     ranking = (F.desc("n"), F.asc("first_at"))
-    frequent = token_counts(df, key, tokens).where(F.col("n") >= min_frequency)
     # A bounded result (max_vocab rows), numbered in one small task.
-    top = frequent.orderBy(*ranking).limit(max_vocab - 2)
+    top = placed.orderBy(*ranking).limit(room)
     numbered = top.select(
         "token", (F.row_number().over(Window.orderBy(*ranking)) + 1).cast("int").alias("token_id")
     )

@@ -58,8 +58,10 @@ def window_keys(
         F.lit(length).cast("bigint").alias("n_rows"),
         label,
     )
+    # A file is short if it has no row number ``length``; later rows need no look.
     short = (
-        light.groupBy(file)
+        light.where(F.col("rn") <= length)
+        .groupBy(file)
         .agg(F.max("rn").cast("bigint").alias("n_rows"), F.max_by(label, "rn").alias(label))
         .where(F.col("n_rows") < length)
         .select(file, F.lit(0).cast("bigint").alias("w"), "n_rows", label)
