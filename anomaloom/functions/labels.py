@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from anomaloom.functions.numeric import let
 from anomaloom.functions.text import contains_any, normalize_label
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -107,20 +108,31 @@ def family_label(fine: Column) -> Column:
     )
 
 
-def canonicalize_label(col: Column, schema: str = "fine", force: bool = True) -> Column:
+def canonical_label(raw: Column, schema: str = "fine", force: bool = True) -> Column:
     """Class name under ``schema``; null where the row is to be dropped.
 
     Blank and header-like labels are null. An unknown label is Anomaly (binary), OtherAttack
     (family), and under ``fine`` null with ``force``, else kept as it is.
     """
     check_label_schema(schema)
-    label = normalize_label(col)
-    compact = compact_label(label)
-    fine = fine_label(compact)
-    if schema == "binary":
-        name = F.when(fine == "Benign", F.lit("Benign")).otherwise(F.lit("Anomaly"))
-    elif schema == "family":
-        name = family_label(fine)
-    else:
-        name = fine if force else F.coalesce(fine, label)
-    return F.when((label != "") & ~compact.isin(*HEADER_WORDS), name)
+
+    def name(fine: Column, label: Column) -> Column:
+        if schema == "binary":
+            return F.when(fine == "Benign", F.lit("Benign")).otherwise(F.lit("Anomaly"))
+        if schema == "family":
+            return family_label(fine)
+        return fine if force else F.coalesce(fine, label)
+
+    def of_compact(compact: Column, label: Column) -> Column:
+        worded = (label != "") & ~compact.isin(*HEADER_WORDS)
+        return F.when(worded, let(fine_label(compact), lambda fine: name(fine, label)))
+
+    return let(normalize_label(raw), lambda label: let(compact_label(label), lambda c: of_compact(c, label)))
+
+
+def with_canonical_label(
+    df: DataFrame, raw: str, output: str = "label", schema: str = "fine", force: bool = True
+) -> DataFrame:
+    """Add the class name; rows without one are dropped."""
+    named = df.withColumn(output, canonical_label(F.col(raw), schema, force))
+    return named.where(F.col(output).isNotNull())

@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, functions as F
 
 from anomaloom.functions.text import strip
 
+_CELL_END = "\x01"
 _DIGITS = r"\d(?:_?\d)*"
 _UNDERSCORED = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
-def to_float(col: Column) -> Column:
-    """Number in a text cell; 0.0 for blank, text, NaN, infinite or out-of-range cells.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def numbers_of_cells(cells: Sequence[Column]) -> Column:
+    """Numbers in text cells, as an array of doubles; 0.0 for blank, text, NaN, infinite or
+    out-of-range cells. Thousands commas are dropped.
 
-    Thousands commas are dropped. The character test keeps out what the SQL cast would take beyond
-    plain decimals (``1d``, hexadecimal, ``Infinity``); the slow pattern runs only where the cell
-    holds an underscore between digits.
+    The cells are joined, the letters that only the SQL cast would read as numbers (``1d``,
+    hexadecimal, ``Infinity``) are voided in one pass, and the pieces are cast as an array: native
+    code, no expression per cell. A row with an underscore (it may group digits) takes the exact
+    path per cell.
     """
-    text = strip(F.replace(strip(F.coalesce(col.cast("string"), F.lit(""))), F.lit(","), F.lit("")))
-    plain = F.length(F.translate(text, "0123456789.+-eE", "")) == 0
-    parsed = F.when(plain, text.try_cast("double")).when(
-        text.contains("_") & text.rlike(_UNDERSCORED),
-        F.replace(text, F.lit("_"), F.lit("")).try_cast("double"),
-    )
-    return F.when(F.abs(parsed) < float("inf"), parsed).otherwise(F.lit(0.0))
+    texts = (F.coalesce(cell.cast("string"), F.lit("")) for cell in cells)
+    joined = F.concat_ws(_CELL_END, *texts)
+    voided = F.translate(joined, "dDfFxXpPnN,", "##########")
+    parsed = F.split(voided, _CELL_END, -1).try_cast("array<double>")
+    fast = F.transform(parsed, _finite)
+    exact = F.transform(F.split(joined, _CELL_END, -1), _grouped_number)
+    return F.when(joined.contains("_"), exact).otherwise(fast)
+
+
+def _finite(x: Column) -> Column:
+    return F.when(F.abs(x) < float("inf"), x).otherwise(F.lit(0.0))
+
+
+def _grouped_number(cell: Column) -> Column:
+    def parse(text: Column) -> Column:
+        plain = F.length(F.translate(text, "0123456789.+-eE", "")) == 0
+        grouped = text.contains("_") & text.rlike(_UNDERSCORED)
+        digits = F.when(plain, text).when(grouped, F.replace(text, F.lit("_"), F.lit("")))
+        return let(digits.try_cast("double"), _finite)
+
+    return let(strip(F.replace(strip(cell), F.lit(","), F.lit(""))), parse)
+
+
+def to_float(col: Column) -> Column:
+    """Number in one text cell, by the rules of :func:`numbers_of_cells`."""
+    return F.get(numbers_of_cells([col]), F.lit(0))
 
 
 def clamp_score(col: Column) -> Column:
@@ -53,15 +82,22 @@ def left_pad(items: Column, n: int, value: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Max-shifted softmax; the sum is floored at 1e-12."""
-    top = F.array_max(logits)
-    powers = F.transform(logits.cast("array<double>"), lambda x: F.exp(x - top))
-    total = F.greatest(F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x), F.lit(1e-12))
-    return F.transform(powers, lambda x: x / total)
+
+    def shares(powers: Column) -> Column:
+        total = F.greatest(F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x), F.lit(1e-12))
+        return let(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    return let(
+        logits.cast("array<double>"),
+        lambda values: let(
+            F.array_max(values), lambda top: let(F.transform(values, lambda x: F.exp(x - top)), shares)
+        ),
+    )
 
 
 def argmax(values: Column) -> Column:
     """0-based index of the first maximum."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

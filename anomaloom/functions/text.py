@@ -70,13 +70,6 @@ def infer_event_from_template(line: Column) -> Column:
     )
 
 
-def line_events(line: Column) -> Column:
-    """Events of one line: the explicit ids, else the inferred one, else an empty array."""
-    text = F.coalesce(line, F.lit(""))
-    ids = extract_event_ids(text)
-    return F.when(F.size(ids) > 0, ids).otherwise(F.array_compact(F.array(infer_event_from_template(text))))
-
-
 def split_lines(text: Column) -> Column:
     """Lines of a multi-line text; a final line end opens no extra line."""
     return _without_last_blank(F.split(F.coalesce(text, F.lit("")), _LINE_END, -1))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from anomaloom.functions.numeric import argmax, safe_ratio, softmax
+from anomaloom.functions.numeric import argmax, let, safe_ratio, softmax
 from anomaloom.operators.joins import lookup_join
 from anomaloom.operators.ranking import average_ranks, prefix_sums
 
@@ -75,9 +75,12 @@ def macro_f1(per_class: DataFrame) -> DataFrame:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """Negative log-likelihood of the label under the softmax of the logits."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.ln(total) + top - F.get(logits, label.cast("int"))
+
+    def loss(values: Column, top: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        return F.ln(total) + top - F.get(values, label.cast("int"))
+
+    return let(logits, lambda values: let(F.array_max(values), lambda top: loss(values, top)))
 
 
 def log_loss(df: DataFrame, logits: str = "logits", label: str = "label", weight: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomaloom.functions import rules
-from anomaloom.functions.text import extract_event_ids, infer_event_from_template, line_events
+from anomaloom.functions.text import extract_event_ids, infer_event_from_template
 from anomaloom.operators.ranking import row_number_in_order
 
 # Tokens per row of an assembled sequence.
@@ -24,26 +24,32 @@ def last_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def extract_events(lines: DataFrame, line: str = "line") -> DataFrame:
-    """One row per event: the line's columns but the text, ``event_pos`` in the line, ``event``."""
-    others = [name for name in lines.columns if name != line]
-    return lines.select(*others, F.posexplode(line_events(F.col(line))).alias("event_pos", "event"))
-
+    """One row per event: the line's columns but the text, ``event_pos`` in the line, ``event``.
 
-def extraction_counters(line: Column) -> list[Column]:
-    """Aggregates: ids found, events inferred, lines without either."""
-    text = F.coalesce(line, F.lit(""))
-    found = F.size(extract_event_ids(text))
-    inferred = infer_event_from_template(text).isNotNull()
-    return [
-        F.coalesce(F.sum(found), F.lit(0)).cast("bigint").alias("from_event_id"),
-        F.count_if((found == 0) & inferred).alias("from_template"),
-        F.count_if((found == 0) & ~inferred).alias("unmatched_lines"),
-    ]
+    The explicit ids of a line, else the one its wording tells.
+    """
+    others = [name for name in lines.columns if name != line]
+    text = F.coalesce(F.col(line), F.lit(""))
+    found = lines.withColumn("__ids", extract_event_ids(text))
+    inferred = F.array_compact(F.array(infer_event_from_template(text)))
+    events = F.when(F.size("__ids") > 0, F.col("__ids")).otherwise(inferred)
+    return found.select(*others, F.posexplode(events).alias("event_pos", "event"))
 
 
 def extraction_stats(lines: DataFrame, key: Sequence[str] = (), line: str = "line") -> DataFrame:
-    """Extraction counters per key (over everything without a key)."""
-    return lines.groupBy(*key).agg(*extraction_counters(F.col(line)))
+    """Per key (over everything without one): ids found, events inferred, lines without either."""
+    text = F.coalesce(F.col(line), F.lit(""))
+    found = lines.select(*key, text.alias("__text"), F.size(extract_event_ids(text)).alias("__ids"))
+    marked = found.select(
+        *key,
+        "__ids",
+        F.when(F.col("__ids") == 0, infer_event_from_template(F.col("__text")).isNotNull()).alias("__inferred"),
+    )
+    return marked.groupBy(*key).agg(
+        F.coalesce(F.sum("__ids"), F.lit(0)).cast("bigint").alias("from_event_id"),
+        F.count_if(F.col("__inferred")).alias("from_template"),
+        F.count_if(~F.col("__inferred")).alias("unmatched_lines"),
+    )
 
 
 def assemble_sequences(

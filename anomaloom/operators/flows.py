@@ -6,8 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from anomaloom.functions.labels import canonicalize_label
-from anomaloom.functions.numeric import fit_feature_vector, to_float
+from anomaloom.functions.labels import with_canonical_label
+from anomaloom.functions.numeric import fit_feature_vector, let, numbers_of_cells, to_float
 from anomaloom.sources.columns import fold, resolve_column
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -54,22 +54,6 @@ def engineered_totals(df: DataFrame) -> DataFrame:
     return df.withColumn(TOTAL_NAMES[0], packets).withColumn(TOTAL_NAMES[1], size)
 
 
-def numbers_of_cells(cells: Sequence[Column]) -> Column:
-    """``to_float`` of many cells at once, as an array.
-
-    The cells are joined, the letters that only the SQL cast would read as numbers are voided in one
-    pass, and the pieces are cast as an array: native code, no expression per cell. A row with an
-    underscore (digits may be grouped by it) takes the exact path per cell.
-    """
-    texts = [F.coalesce(cell.cast("string"), F.lit("")) for cell in cells]
-    joined = F.concat_ws("\x01", *texts)
-    voided = F.translate(joined, "dDfFxXpPnN,", "##########")
-    parsed = F.split(voided, "\x01", -1).try_cast("array<double>")
-    fast = F.transform(parsed, lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(F.lit(0.0)))
-    exact = F.transform(F.array(*texts), to_float)
-    return F.when(joined.contains("_"), exact).otherwise(fast)
-
-
 def flow_features(
     cells: Sequence[Column], totals: Sequence[Column] | None = None, n: int = FEATURE_COUNT
 ) -> Column:
@@ -77,10 +61,13 @@ def flow_features(
     values = numbers_of_cells(cells)
     if totals:
         values = F.concat(values, F.array(*totals))
+
+    def fitted(kept: Column) -> Column:
+        fits = (F.array_max(kept) < _FLOAT_LIMIT) & (F.array_min(kept) > -_FLOAT_LIMIT)
+        return F.when(fits, fit_feature_vector(kept, n))
+
     # Only the values that stay in the vector can disqualify the row.
-    kept = F.slice(values, 1, n)
-    fits = (F.array_max(kept) < _FLOAT_LIMIT) & (F.array_min(kept) > -_FLOAT_LIMIT)
-    return F.when(fits, fit_feature_vector(kept, n))
+    return let(F.slice(values, 1, n), fitted)
 
 
 def finite_rows(df: DataFrame, features: str = "features") -> DataFrame:
@@ -91,5 +78,4 @@ def finite_rows(df: DataFrame, features: str = "features") -> DataFrame:
 def valid_flows(df: DataFrame, schema: str = "fine", force: bool = True) -> DataFrame:
     """Rows with a class under the label schema and finite features; ``label`` replaces
     ``raw_label``. The label test comes first, so dropped rows are never parsed."""
-    labelled = df.withColumn("label", canonicalize_label(F.col("raw_label"), schema, force)).drop("raw_label")
-    return finite_rows(labelled.where(F.col("label").isNotNull()))
+    return finite_rows(with_canonical_label(df, "raw_label", "label", schema, force).drop("raw_label"))

@@ -18,7 +18,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
 
-from anomaloom.functions.numeric import argmax, clamp_score, softmax
+from anomaloom.functions.numeric import argmax, clamp_score, let, softmax
 from anomaloom.operators.evaluation import ClassificationReport, classification_report
 from anomaloom.sources.datasets import load_split
 
@@ -52,15 +52,17 @@ def window_features(window: Column) -> Column:
     first, last = F.element_at(window, 1), F.element_at(window, -1)
     zeros = F.transform(first, lambda _: F.lit(0.0))
     total = F.aggregate(window, zeros, lambda acc, row: F.zip_with(acc, row, lambda a, x: a + x))
-    mean = F.transform(total, lambda t: t / n)
-    squares = F.aggregate(
-        window,
-        zeros,
-        lambda acc, row: F.zip_with(acc, F.zip_with(row, mean, lambda x, m: (x - m) * (x - m)), lambda a, d: a + d),
-    )
-    deviation = F.transform(squares, lambda s: F.sqrt(s / n))
-    change = F.zip_with(last, first, lambda z, a: (z - a).cast("double"))
-    return array_to_vector(F.concat(mean, deviation, last.cast("array<double>"), change))
+
+    def around(mean: Column) -> Column:
+        def add(acc: Column, row: Column) -> Column:
+            gaps = F.zip_with(row, mean, lambda x, m: (x - m) * (x - m))
+            return F.zip_with(acc, gaps, lambda a, gap: a + gap)
+
+        deviation = F.transform(F.aggregate(window, zeros, add), lambda s: F.sqrt(s / n))
+        change = F.zip_with(last, first, lambda z, a: (z - a).cast("double"))
+        return F.concat(mean, deviation, last.cast("array<double>"), change)
+
+    return array_to_vector(let(F.transform(total, lambda t: t / n), around))
 
 
 def fit_classifier(

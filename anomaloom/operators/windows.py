@@ -130,7 +130,9 @@ def lay_out_windows(
             .otherwise(F.array().cast("array<bigint>"))
         )
     placed = blocks.withColumn("__start", F.explode(starts))
-    rows = F.slice("__rows", (F.col("__start") - F.col("__first") + 1).cast("int"), F.lit(length))["x"]
+    begin = (F.col("__start") - F.col("__first") + 1).cast("int")
+    placed = placed.withColumn("__x", F.slice("__rows", begin, F.lit(length))["x"])
+    rows = F.col("__x")
     if pad is None:
         pad = F.transform(F.element_at(rows, 1), lambda _: F.lit(0).cast("float"))
     padded = F.concat(F.array_repeat(pad, F.greatest(F.lit(length) - F.size(rows), F.lit(0))), rows)
