@@ -48,13 +48,16 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 def per_class_metrics(confusion: DataFrame, classes: DataFrame) -> DataFrame:
     """``class_index, class_name, precision, recall, f1, support`` from a confusion matrix."""
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
-    sides = confusion.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("label").alias("class_index"), F.col("n").alias("real"), F.lit(0).cast("bigint").alias("said"), hit.alias("hit")),
-                F.struct(F.col("prediction"), F.lit(0).cast("bigint"), F.col("n"), F.lit(0).cast("bigint")),
-            )
+    none = F.lit(0).cast("bigint")
+
+    def side(class_index: str, real: Column, said: Column, right: Column) -> Column:
+        return F.struct(
+            F.col(class_index).alias("class_index"), real.alias("real"), said.alias("said"), right.alias("hit")
         )
+
+    n = F.col("n")
+    sides = confusion.select(
+        F.inline(F.array(side("label", n, none, hit), side("prediction", none, n, none)))
     )
     sums = sides.groupBy("class_index").agg(
         F.sum("real").alias("support"), F.sum("said").alias("said"), F.sum("hit").alias("hit")

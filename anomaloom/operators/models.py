@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_a
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from anomaloom.functions.numeric import argmax, clamp_score, let, softmax
 from anomaloom.operators.evaluation import ClassificationReport, classification_report
@@ -133,7 +134,7 @@ def score_external(
     """Add the ``prediction`` struct of a user model: ``predict`` builds, once per worker, a function
     from a batch of arrays of ``shape`` to a batch of logits."""
     run = predict_batch_udf(
-        predict, return_type="array<double>", batch_size=batch_size, input_tensor_shapes=[list(shape)]
+        predict, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[list(shape)]
     )
     scored = df.withColumn("__p", softmax(run(F.col(inputs))))
     return scored.select(*df.columns, prediction_column(F.col("__p"), class_names, expert).alias("prediction"))

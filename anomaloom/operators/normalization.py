@@ -47,12 +47,13 @@ def normalization_stats(
     ).join(times, [file, "__cell"])
     weight = F.col("__times").cast("double")
     summary = Summarizer.metrics("mean", "variance").summary(F.col("__x"), weight)
-    rows = weighted.agg(
+    # Grouped by a constant, so that no rows give no summary instead of an error.
+    rows = weighted.groupBy(F.lit("all")).agg(
         summary.alias("s"), F.sum(weight).alias("w1"), F.sum(weight * weight).alias("w2")
     )
     padding = train_keys.agg(F.sum(F.lit(length) - F.col("n_rows")).alias("zeros"))
     # Two one-row tables side by side.
-    both = rows.unionByName(padding, allowMissingColumns=True).agg(
+    both = rows.select("s", "w1", "w2").unionByName(padding, allowMissingColumns=True).agg(
         F.first("s", ignorenulls=True).alias("s"),
         F.sum("w1").alias("w1"),
         F.sum("w2").alias("w2"),

@@ -104,12 +104,11 @@ def encode_tokens(
         ids = F.transform(tail, lambda token: F.coalesce(lookup(token), unk))
         return df.withColumn(output, left_pad(ids, length, F.lit(PAD_ID)))
     joined = _joined_tokens(df.select(*key, tail.alias("__tail")), vocab, key, "__tail")
+    item = F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
     ids = joined.groupBy(*key).agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)))))
-        ).alias("__ids")
+        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("__ids")
     )
-    ids = ids.select(*key, F.transform("__ids", lambda item: item[1]).alias("__ids"))
+    ids = ids.select(*key, F.col("__ids.id").alias("__ids"))
     return (
         df.join(ids, list(key))
         .withColumn(output, left_pad(F.col("__ids"), length, F.lit(PAD_ID)))

@@ -71,6 +71,6 @@ write_metrics_report = write_json_rows
 write_alerts = write_json_rows
 
 
-def read_metrics_report(spark: SparkSession, path: str) -> DataFrame:
-    """A nested JSON report, pretty-printed or in lines."""
-    return spark.read.option("multiLine", True).json(path)
+def read_metrics_report(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """JSON reports in lines, or with ``pretty`` one document per file over several lines."""
+    return spark.read.option("multiLine", pretty).json(path)

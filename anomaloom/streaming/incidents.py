@@ -39,7 +39,7 @@ def stream_incidents(
     The state of a key is its fifteen rule counts and its top score, however many events it gets;
     rows later than the watermark are dropped. Works on a batch DataFrame as well.
     """
-    timed = events.withWatermark(time, watermark)
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
     extra = [F.max(score).alias("score")] if score else []
     counted = event_counts(timed.withColumn("__window", window), ["__window", *key], event, *extra)
     opened = counted.select(
