@@ -18,22 +18,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def numbers_of_cells(cells: Sequence[Column]) -> Column:
-    """Numbers in text cells, as an array of doubles; 0.0 for blank, text, NaN, infinite or
+def joined_cells(cells: Sequence[Column]) -> Column:
+    """Text cells in one string, nulls as blanks."""
+    return F.concat_ws(_CELL_END, *(F.coalesce(cell.cast("string"), F.lit("")) for cell in cells))
+
+
+def numbers_of_cells(joined: Column) -> Column:
+    """Numbers in joined text cells, as an array of doubles; 0.0 for blank, text, NaN, infinite or
     out-of-range cells. Thousands commas are dropped.
 
-    The cells are joined, the letters that only the SQL cast would read as numbers (``1d``,
-    hexadecimal, ``Infinity``) are voided in one pass, and the pieces are cast as an array: native
-    code, no expression per cell. A row with an underscore (it may group digits) takes the exact
-    path per cell.
+    Rows of plain digits are split and cast as an array. Otherwise the letters that only the SQL
+    cast would read as numbers (``1d``, hexadecimal, ``Infinity``) are voided first. A row with an
+    underscore (it may group digits) takes the exact path per cell.
     """
-    texts = (F.coalesce(cell.cast("string"), F.lit("")) for cell in cells)
-    joined = F.concat_ws(_CELL_END, *texts)
+
+    def parsed(text: Column) -> Column:
+        return F.split(text, _CELL_END, -1).try_cast("array<double>")
+
+    plain = ~joined.rlike("[^-+.eE0-9\\x01]")
     voided = F.translate(joined, "dDfFxXpPnN,", "##########")
-    parsed = F.split(voided, _CELL_END, -1).try_cast("array<double>")
-    fast = F.transform(parsed, _finite)
-    exact = F.transform(F.split(joined, _CELL_END, -1), _grouped_number)
-    return F.when(joined.contains("_"), exact).otherwise(fast)
+    return (
+        F.when(plain, F.transform(parsed(joined), _finite))
+        .when(~joined.contains("_"), F.transform(parsed(voided), _finite))
+        .otherwise(F.transform(F.split(joined, _CELL_END, -1), _grouped_number))
+    )
 
 
 def _finite(x: Column) -> Column:
@@ -52,7 +60,7 @@ def _grouped_number(cell: Column) -> Column:
 
 def to_float(col: Column) -> Column:
     """Number in one text cell, by the rules of :func:`numbers_of_cells`."""
-    return F.get(numbers_of_cells([col]), F.lit(0))
+    return F.get(numbers_of_cells(joined_cells([col])), F.lit(0))
 
 
 def clamp_score(col: Column) -> Column:
@@ -61,16 +69,6 @@ def clamp_score(col: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
-def is_finite_vector(vector: Column) -> Column:
-    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-
-
-def fit_feature_vector(vector: Column, n: int) -> Column:
-    """First ``n`` values, zeros after the end."""
-    zero = F.lit(0).cast("float")
-    return F.slice(F.concat(vector.cast("array<float>"), F.array_repeat(zero, n)), 1, n)
-
-
 def last_items(items: Column, n: int) -> Column:
     """The last ``n`` items of an array (all if it is shorter)."""
     return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -29,8 +30,12 @@ LINE_TEMPLATES = (
 )
 # --------------------------------------------------------------------------------------------
 
-# What counts as blank space at the ends of a cell (all Unicode space, and the four separators).
-_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Blank space that is taken off the ends of a cell: all Unicode space, and the four separators.
+_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(code) for code in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # Line ends inside what the text reader already hands over as one line.
 _INNER_LINE_END = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -38,7 +43,7 @@ _INNER_LINE_END = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 def strip(col: Column) -> Column:
     """Remove blank space, Unicode included, at both ends."""
-    return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(col, F.lit(_SPACE))
 
 
 def strip_quoted(col: Column) -> Column:
@@ -54,7 +59,8 @@ normalize_label = strip_quoted
 def tokenize_sequence(col: Column) -> Column:
     """Lower-case tokens of an event-sequence cell."""
     found = F.regexp_extract_all(F.coalesce(col.cast("string"), F.lit("")), F.lit(SEQUENCE_TOKEN), F.lit(0))
-    return F.transform(found, F.lower)
+    # Lower-cased as one string: tokens hold no blanks, and array functions beat a lambda per token.
+    return F.array_remove(F.split(F.lower(F.array_join(found, " ")), " ", -1), "")
 
 
 def extract_event_ids(line: Column) -> Column:
@@ -64,12 +70,31 @@ def extract_event_ids(line: Column) -> Column:
 
 
 def infer_event_from_template(line: Column) -> Column:
-    """Event id of the first known wording in the line; null if there is none."""
+    """Event id of the first known wording in the line, letter case aside; null if there is none."""
     return F.coalesce(
         *(F.when(line.rlike("(?idU)" + pattern), F.lit(event)) for pattern, event in LINE_TEMPLATES)
     )
 
 
+def infer_event_from_ascii(lowered: Column) -> Column:
+    """The same for a lower-cased line of ASCII letters: a plain substring search decides most
+    templates, and the pattern is tried only on lines that hold its longest word."""
+    return F.coalesce(*(F.when(_holds(lowered, pattern), F.lit(event)) for pattern, event in LINE_TEMPLATES))
+
+
+def _holds(lowered: Column, pattern: str) -> Column:
+    tests = []
+    for alternative in pattern.split("|"):
+        words = re.split(r"\\[sd]\+|\.\*", alternative)
+        found = lowered.contains(max(words, key=len))
+        tests.append(found if words == [alternative] else found & lowered.rlike("(?d)" + alternative))
+    return reduce(lambda left, right: left | right, tests)
+
+
+def is_ascii(col: Column) -> Column:
+    return F.length(col) == F.octet_length(col)
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a multi-line text; a final line end opens no extra line."""
     return _without_last_blank(F.split(F.coalesce(text, F.lit("")), _LINE_END, -1))

@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomaloom.functions import rules
-from anomaloom.functions.text import extract_event_ids, infer_event_from_template
+from anomaloom.functions.text import (
+    extract_event_ids,
+    infer_event_from_ascii,
+    infer_event_from_template,
+    is_ascii,
+)
+from anomaloom.operators.computed import computed
 from anomaloom.operators.ranking import row_number_in_order
 
 # Tokens per row of an assembled sequence.
@@ -23,32 +29,41 @@ def last_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
     )
 
 
+def line_events(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Each line's columns but the text, its ``events`` (the explicit ids, else the one its wording
+    tells), and ``id_count``, how many of them are explicit."""
+    others = [name for name in lines.columns if name != line]
+    text = lines.select(*others, F.coalesce(F.col(line), F.lit("")).alias("__text"))
+    read = computed(text, __ids=extract_event_ids(F.col("__text")), __low=F.lower("__text"))
+    inferred = F.when(is_ascii(F.col("__text")), infer_event_from_ascii(F.col("__low"))).otherwise(
+        infer_event_from_template(F.col("__text"))
+    )
+    events = F.when(F.size("__ids") > 0, F.col("__ids")).otherwise(F.array_compact(F.array(inferred)))
+    return computed(read, events=events).select(*others, "events", F.size("__ids").alias("id_count"))
+
+
 def extract_events(lines: DataFrame, line: str = "line") -> DataFrame:
-    """One row per event: the line's columns but the text, ``event_pos`` in the line, ``event``.
+    """One row per event: the line's columns but the text, ``event_pos`` in the line, ``event``."""
+    return explode_events(line_events(lines, line))
 
-    The explicit ids of a line, else the one its wording tells.
-    """
-    others = [name for name in lines.columns if name != line]
-    text = F.coalesce(F.col(line), F.lit(""))
-    found = lines.withColumn("__ids", extract_event_ids(text))
-    inferred = F.array_compact(F.array(infer_event_from_template(text)))
-    events = F.when(F.size("__ids") > 0, F.col("__ids")).otherwise(inferred)
-    return found.select(*others, F.posexplode(events).alias("event_pos", "event"))
+
+def explode_events(found: DataFrame) -> DataFrame:
+    """The events of :func:`line_events` one by one."""
+    others = [name for name in found.columns if name not in ("events", "id_count")]
+    return found.select(*others, F.posexplode("events").alias("event_pos", "event"))
 
 
 def extraction_stats(lines: DataFrame, key: Sequence[str] = (), line: str = "line") -> DataFrame:
     """Per key (over everything without one): ids found, events inferred, lines without either."""
-    text = F.coalesce(F.col(line), F.lit(""))
-    found = lines.select(*key, text.alias("__text"), F.size(extract_event_ids(text)).alias("__ids"))
-    marked = found.select(
-        *key,
-        "__ids",
-        F.when(F.col("__ids") == 0, infer_event_from_template(F.col("__text")).isNotNull()).alias("__inferred"),
-    )
-    return marked.groupBy(*key).agg(
-        F.coalesce(F.sum("__ids"), F.lit(0)).cast("bigint").alias("from_event_id"),
-        F.count_if(F.col("__inferred")).alias("from_template"),
-        F.count_if(~F.col("__inferred")).alias("unmatched_lines"),
+    return count_extraction(line_events(lines.select(*key, line), line), key)
+
+
+def count_extraction(found: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """The counters of :func:`extraction_stats` from the output of :func:`line_events`."""
+    return found.groupBy(*key).agg(
+        F.coalesce(F.sum("id_count"), F.lit(0)).cast("bigint").alias("from_event_id"),
+        F.count_if((F.col("id_count") == 0) & (F.size("events") > 0)).alias("from_template"),
+        F.count_if(F.size("events") == 0).alias("unmatched_lines"),
     )
 
 

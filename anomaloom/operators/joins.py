@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 # Rows up to which a look-up table is shipped to every executor.
 BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
-def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows (stops counting after that)."""
-    return table.limit(rows + 1).count() <= rows
+def bounded_rows(table: DataFrame, limit: int) -> list[Row] | None:
+    """The rows of a table of at most ``limit`` rows, or None (reading stops after that)."""
+    rows = table.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
 
 
 def lookup_join(
@@ -25,8 +26,11 @@ def lookup_join(
     and salt, so a key that holds a large share of ``df`` is spread over ``SALTS`` tasks. The salt is a
     hash of the row, the same when a lost task runs again.
     """
-    if fits_broadcast(table, rows):
-        return df.join(F.broadcast(table), list(keys), how)
+    few = bounded_rows(table, rows)
+    if few is not None:
+        # The rows at hand stand in for the plan behind them, which is not run twice.
+        local = df.sparkSession.createDataFrame(few, table.schema)
+        return df.join(F.broadcast(local), list(keys), how)
     hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int"))
     repeated = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

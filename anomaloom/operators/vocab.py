@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomaloom.functions.numeric import last_items, left_pad
-from anomaloom.operators.joins import fits_broadcast, lookup_join
+from anomaloom.operators.joins import bounded_rows, lookup_join
 from anomaloom.session import stage
 from anomaloom.sources.datasets import PAD, PAD_ID, UNK, UNK_ID
 
@@ -64,7 +64,7 @@ def build_vocab(
     special = df.sparkSession.createDataFrame(
         [(PAD, PAD_ID), (UNK, UNK_ID)], "token string, token_id int"
     )
-    return special.unionByName(numbered)
+    return stage(special.unionByName(numbered), "vocab")
 
 
 def vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column] | None:
@@ -72,9 +72,9 @@ def vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column] | None:
 
     The SQL map look-up scans its entries, so the entries are spread over small maps by hash.
     """
-    if not fits_broadcast(vocab, LITERAL_ENTRIES):
+    hashed = bounded_rows(vocab.select("token", "token_id", F.hash("token").alias("h")), LITERAL_ENTRIES)
+    if hashed is None:
         return None
-    hashed = vocab.select("token", "token_id", F.hash("token").alias("h")).collect()
     shelves = max(1, len(hashed) // 4)
     maps: list[dict[str, int]] = [{} for _ in range(shelves)]
     for row in hashed:

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomaloom.functions import labels, numeric
 from anomaloom.operators import classes, flows, normalization, splits, windows
+from anomaloom.operators.computed import computed
 from anomaloom.operators.evaluation import dataset_summary as summarize
 from anomaloom.operators.ranking import row_number_in_order
-from anomaloom.plans.catalog.inputs import FLOW_FEATURES, FLOW_ORDER, FLOWS, flow_order, raw_flow_label
+from anomaloom.plans.catalog.inputs import FLOW_FEATURES, FLOW_ORDER, FLOWS, flow_order
 from anomaloom.plans.catalog.inputs import flows as flow_rows
 from anomaloom.plans.catalog.registry import query, table
+from anomaloom.session import stage
 
 _ID = ("l_suppkey", *FLOW_ORDER)
 _ID_SQL = ", ".join(_ID)
 _ORDER_SQL = ", ".join(FLOW_ORDER)
 # Small enough that the test tables are cut into several buckets.
 _SMALL = {"rows_per_bucket": 5_000}
+_REST = ("l_suppkey", "raw_label", "features")
 
 # --- cells ----------------------------------------------------------------------------------
 
@@ -46,7 +49,8 @@ def raw_cell():
   CASE l_linenumber WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity + 0.5e0 WHEN 4 THEN 1000e0 + l_quantity
     WHEN 6 THEN CASE WHEN l_tax > 0.04 THEN 0e0 ELSE -100e0 * l_quantity END ELSE 0e0 END AS cell FROM lineitem""")
 def clean_floats(spark, d):
-    cleaned = table(spark, d, "lineitem").withColumn("cell", numeric.to_float(raw_cell()))
+    raw = computed(table(spark, d, "lineitem"), raw=raw_cell())
+    cleaned = raw.withColumn("cell", numeric.to_float(F.col("raw")))
     return cleaned.select(*_ID, "cell").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 
@@ -65,8 +69,8 @@ def feature_vectors(spark, d):
     rows = flow_rows(spark, d)
     cells = {name: F.col(source).cast("string") for name, source in _WIDE.items()}
     chosen = flows.select_feature_columns(list(cells), "Label")
-    vector = flows.flow_features([cells[name] for name in chosen], flows.total_columns(cells), 8)
-    kept = flows.finite_rows(rows.withColumn("features", vector))
+    featured = flows.with_flow_features(rows, [cells[name] for name in chosen], flows.total_cells(cells), 8)
+    kept = flows.finite_rows(featured)
     values = [F.round(F.col("features")[i].cast("double"), 2).alias(f"f{i}") for i in range(8)]
     return kept.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *values)
 
@@ -87,7 +91,7 @@ def engineered_totals(spark, d):
 
 
 def _label_counts(spark: SparkSession, d: str, schema: str, force: bool) -> DataFrame:
-    rows = labels.with_canonical_label(flow_rows(spark, d), "raw_label", "label", schema, force)
+    rows = flows.with_canonical_label(flow_rows(spark, d), "raw_label", "label", schema, force)
     return rows.groupBy("l_linenumber", "l_returnflag", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -125,18 +129,17 @@ def binary_labels(spark, d):
 
 def labelled_flows(spark: SparkSession, d: str, file: str = "l_suppkey") -> DataFrame:
     """Valid rows: place, features, fine label; a file is a supplier (or an order)."""
-    rows = table(spark, d, "lineitem").withColumn("raw_label", raw_flow_label())
+    rows = flow_rows(spark, d)
     cells = [F.col(name).cast("string") for name in FLOW_FEATURES]
-    kept = rows.select(
-        F.col(file).cast("string").alias("file"), *FLOW_ORDER, "l_suppkey", "raw_label",
-        flows.flow_features(cells, None, len(cells)).alias("features"),
-    )
-    return flows.valid_flows(kept)
+    featured = flows.with_flow_features(rows, cells, n=len(cells))
+    return flows.valid_flows(featured.select(F.col(file).cast("string").alias("file"), *FLOW_ORDER, *_REST))
 
 
 def numbered_flows(spark: SparkSession, d: str, file: str = "l_suppkey") -> DataFrame:
+    """Parsed once, numbered once: both steps are staged, as in the flow job."""
     order = [*flow_order(), F.col("l_suppkey")]
-    return windows.number_rows(labelled_flows(spark, d, file), "file", order, **_SMALL)
+    parsed = stage(labelled_flows(spark, d, file), "parsed")
+    return stage(windows.number_rows(parsed, "file", order, **_SMALL), "flows")
 
 
 def _numbered_sql(file: str = "l_suppkey") -> str:
@@ -222,7 +225,7 @@ threshold AS (SELECT CAST(avg(n) AS BIGINT) AS t FROM counted)
 SELECT CASE WHEN n < t AND label <> 'Benign' THEN 'OtherAttack' ELSE label END AS label, CAST(sum(n) AS BIGINT) AS n FROM counted, threshold GROUP BY 1""")
 def merge_rare(spark, d):
     """Rare here: fewer rows than the mean class."""
-    rows = labels.with_canonical_label(flow_rows(spark, d), "raw_label").select("label")
+    rows = flows.with_canonical_label(flow_rows(spark, d), "raw_label").select("label")
     mean = rows.groupBy("label").count().agg(F.bround(F.avg("count")).cast("bigint")).first()[0]
     return classes.merge_rare_classes(rows, mean).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -235,7 +238,7 @@ present AS (SELECT DISTINCT coalesce(fine_label, raw_label) AS class_name FROM f
 SELECT CAST(row_number() OVER (ORDER BY coalesce(place, 15), class_name) - 1 AS INTEGER) AS class_index, class_name
 FROM present LEFT JOIN canonical USING (class_name)""")
 def ordered_classes(spark, d):
-    rows = labels.with_canonical_label(flow_rows(spark, d), "raw_label", force=False)
+    rows = flows.with_canonical_label(flow_rows(spark, d), "raw_label", force=False)
     return classes.ordered_classes(rows, force=False)
 
 

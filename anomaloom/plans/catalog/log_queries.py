@@ -10,6 +10,7 @@ from anomaloom.plans.block_dataset import join_labels as join_block_labels
 from anomaloom.plans.catalog.inputs import EV, EVENT_ORDER, LINES, event_tokens, log_lines
 from anomaloom.plans.catalog.registry import query, table
 from anomaloom.plans.log_analysis import classify_lines
+from anomaloom.session import stage
 from anomaloom.sources.datasets import parse_vocab
 from anomaloom.sources.logs import lines_from_text as explode_lines
 
@@ -50,7 +51,7 @@ def explicit_event_ids(spark, d):
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_pos) - 1 AS pos FROM extracted)
 SELECT user_id, CAST(pos // 16 AS INTEGER) AS chunk_no, string_agg(event, ' ' ORDER BY pos) AS tokens FROM placed GROUP BY 1, 2""")
 def assemble_sequences(spark, d):
-    found = events.extract_events(log_lines(spark, d))
+    found = stage(events.extract_events(log_lines(spark, d)), "events")
     chunks = events.assemble_sequences(found, ["user_id"], [*_order(), F.col("event_pos")], chunk=16, rows_per_bucket=2000)
     return chunks.withColumn("tokens", F.array_join("tokens", " "))
 

@@ -81,7 +81,7 @@ def analyze_log_lines(spark, d):
     rows, model = block_model(spark, d)
     vocab = build_vocab(rows, ["block_id"])
     records = analyze_lines(
-        log_lines(spark, d), ["user_id"], [F.col(name) for name in EVENT_ORDER], vocab, model, ["Normal", "Anomaly"]
+        log_lines(spark, d), ["user_id"], EVENT_ORDER, vocab, model, ["Normal", "Anomaly"]
     )
     return records.select("response.event_name", F.to_json("response").alias("response"))
 

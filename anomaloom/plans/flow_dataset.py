@@ -68,8 +68,9 @@ def prepare_flow_dataset(
 ) -> FlowDataset:
     """Read, clean, number, sample, split, normalise and write ``file, w, X, y`` by split.
 
-    Rows are parsed once and staged; sampling, class order and split work on window keys alone; rows
-    are normalised before they are laid out into windows.
+    Rows are parsed once and staged, then numbered and staged again, so that every later pass reads
+    the columns it needs; sampling, class order and split work on window keys alone; rows are
+    normalised before they are laid out into windows.
     """
     check_window_shape(length, stride)
     check_label_schema(schema)
@@ -78,7 +79,8 @@ def prepare_flow_dataset(
         raise ValueError("feature count must be positive")
     table = read_flow_csvs(spark, directory, max_files, feature_count, add_totals)
     raw = table.rows if max_rows_per_file is None else row_cap_per_file(table.rows, max_rows_per_file)
-    numbered = stage(valid_row_number(valid_flows(raw, schema, force)), "flows")
+    parsed = stage(valid_flows(raw, schema, force), "parsed")
+    numbered = stage(valid_row_number(parsed), "flows")
 
     keys = cap_windows(window_keys(numbered, length, stride), max_windows, seed)
     merged = merge_rare_classes(keys, min_support, "label", schema, rare_bucket)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from anomaloom.operators.advice import heuristic_advice
 from anomaloom.operators.events import (
+    count_extraction,
     event_counts,
+    explode_events,
     extract_events,
-    extraction_stats,
+    line_events,
     sequence_tails,
     with_event_counts,
 )
@@ -24,6 +26,7 @@ from anomaloom.operators.incidents import (
 )
 from anomaloom.operators.models import normal_class_name, score
 from anomaloom.operators.vocab import unknown_tokens
+from anomaloom.session import stage
 
 
 def classify_lines(lines: DataFrame, key: Sequence[str], score_by_key: DataFrame | None = None) -> DataFrame:
@@ -40,7 +43,7 @@ def classify_lines(lines: DataFrame, key: Sequence[str], score_by_key: DataFrame
 def analyze_lines(
     lines: DataFrame,
     key: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str],
     vocab: DataFrame,
     model: PipelineModel,
     class_names: Sequence[str],
@@ -51,12 +54,14 @@ def analyze_lines(
 
     The model reads what it was trained on, the last ``sequence_length`` events; rule counts and
     extraction counters cover all events and come from aggregates. ``event_names`` of the record are
-    the events the model read.
+    the events the model read. The text is read once: its events are staged.
     """
-    events = extract_events(lines)
-    tails = sequence_tails(events, key, [*order, F.col("event_pos")], sequence_length).withColumnRenamed("tail", "tokens")
+    found = stage(line_events(lines.select(*key, *order, "line")), "line-events")
+    events = explode_events(found)
+    place = [F.col(name) for name in (*order, "event_pos")]
+    tails = sequence_tails(events, key, place, sequence_length).withColumnRenamed("tail", "tokens")
     counts = event_counts(events, key)
-    counters = extraction_stats(lines, key)
+    counters = count_extraction(found, key)
     rows = tails.join(counts, list(key)).join(counters, list(key))
     name = F.concat_ws("/", *(F.col(k).cast("string") for k in key))
     scored = score(rows.withColumn("event_name", name), model, class_names)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from anomaloom.functions.labels import parse_binary_label
 from anomaloom.functions.text import normalize_block_id, tokenize_sequence
 from anomaloom.operators.events import last_wins
-from anomaloom.operators.flows import feature_names, flow_features, select_feature_columns, total_columns
+from anomaloom.operators.flows import feature_names, select_feature_columns, total_cells, with_flow_features
 from anomaloom.sources.columns import (
     BLOCK_COLUMNS,
     BLOCK_LABEL_COLUMNS,
@@ -143,13 +143,9 @@ def read_flow_csvs(
         cells = _cells(header)
         raw_label = cells[require_column(header, FLOW_LABEL_COLUMNS, files[0])]
         values = [cells.get(name, F.lit("0")) for name in sources]
-        totals = total_columns(cells) if add_totals else None
-        parts.append(
-            with_position(_read_rows(spark, files, len(header))).select(
-                *POSITION,
-                F.coalesce(raw_label, F.lit("")).alias("raw_label"),
-                flow_features(values, totals, target_count).alias("features"),
-            )
-        )
+        totals = total_cells(cells) if add_totals else ()
+        scanned = with_position(_read_rows(spark, files, len(header)))
+        featured = with_flow_features(scanned, values, totals, target_count)
+        parts.append(featured.select(*POSITION, F.coalesce(raw_label, F.lit("")).alias("raw_label"), "features"))
     rows = reduce(DataFrame.unionByName, parts)
     return FlowTable(rows, feature_names(sources, target_count, add_totals))

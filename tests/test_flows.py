@@ -20,20 +20,25 @@ def test_numbers(spark):
     df = spark.createDataFrame([(c,) for c in CELLS] + [(None,)], "c string")
     single = {r.c: r.x for r in df.select("c", numeric.to_float(F.col("c")).alias("x")).collect()}
     assert single == {**CELLS, None: 0.0}
-    wide = df.select("c", numeric.numbers_of_cells([F.lit("2"), F.col("c"), F.lit(None), F.lit("x")]).alias("x"))
+    wide = df.select("c", numeric.numbers_of_cells(numeric.joined_cells([F.lit("2"), F.col("c"), F.lit(None), F.lit("x")])).alias("x"))
     assert {r.c: r.x for r in wide.collect()} == {c: [2.0, v, 0.0, 0.0] for c, v in {**CELLS, None: 0.0}.items()}
 
 
-def test_vectors(spark):
-    row = spark.range(1).select(
-        flows.flow_features([F.lit("1"), F.lit("2")], None, 4).alias("padded"),
-        flows.flow_features([F.lit("1"), F.lit("2"), F.lit("3")], None, 2).alias("cut"),
-        flows.flow_features([F.lit("1"), F.lit("1e39")], None, 2).alias("overflow"),
-        flows.flow_features([F.lit("1"), F.lit("1e39")], None, 1).alias("overflow_cut_off"),
-        flows.flow_features([F.lit("1")], [F.lit(5.0), F.lit(6.0)], 4).alias("totals"),
-    ).first()
-    assert row.padded == [1.0, 2.0, 0.0, 0.0] and row.cut == [1.0, 2.0]
-    assert row.overflow is None and row.overflow_cut_off == [1.0] and row.totals == [1.0, 5.0, 6.0, 0.0]
+@pytest.mark.parametrize(
+    ("cells", "totals", "n", "vector"),
+    [
+        (["1", "2"], (), 4, [1.0, 2.0, 0.0, 0.0]),
+        (["1", "2", "3"], (), 2, [1.0, 2.0]),
+        (["1", "1e39"], (), 2, None),
+        (["1", "1e39"], (), 1, [1.0]),
+        (["1"], ["2", "3", "1,000", "x"], 4, [1.0, 5.0, 1000.0, 0.0]),
+        (["1", "2"], ["2", "3", "4", "5"], 3, [1.0, 2.0, 5.0]),
+    ],
+)
+def test_vectors(spark, cells, totals, n, vector):
+    extra = [F.lit(x) for x in totals]
+    got = flows.with_flow_features(spark.range(1), [F.lit(c) for c in cells], extra, n)
+    assert got.first().features == vector
 
 
 def test_feature_names():
@@ -59,15 +64,15 @@ def test_label_schemas(spark):
     df = spark.createDataFrame([(i, raw) for i, (raw, *_) in enumerate(LABELS)], "i int, raw string")
 
     def named(schema, force=True):
-        col = labels.canonical_label(F.col("raw"), schema, force)
-        return [r[0] for r in df.orderBy("i").select(col).collect()]
+        got = {r.i: r.label for r in flows.with_canonical_label(df, "raw", "label", schema, force).collect()}
+        return [got.get(i) for i in range(len(LABELS))]
 
     assert named("fine") == [fine for _, fine, _ in LABELS]
     assert named("family") == [family for _, _, family in LABELS]
     assert named("binary") == [None if fam is None else "Benign" if fam == "Benign" else "Anomaly" for _, _, fam in LABELS]
     assert named("fine", False)[-3:] == ["SomeFutureAttack", "DDoS", "!!"]
     with pytest.raises(ValueError):
-        labels.canonical_label(F.col("raw"), "other")
+        flows.with_canonical_label(df, "raw", "label", "other")
 
 
 def python_windows(rows, length, stride):

@@ -26,6 +26,22 @@ def test_explicit_ids_and_templates(spark):
     assert tuple(events.extraction_stats(lines).first()) == (3, 3, 2)
 
 
+@pytest.mark.parametrize("mark", ["", " é"])
+def test_templates_in_any_case(spark, mark):
+    """Both the substring search (ASCII) and the plain patterns; the first template wins."""
+    samples = {
+        "BLOCK* Allocate \t blk_1": "e5", "allocateblk_1": None, "RECEIVING  BLOCK": "e26", "PacketResponder 1 Success": "e11",
+        "success PacketResponder": None, "completeFile": "e9", "addStoredBlock": "e21", "State Change to ACTIVE": "e23",
+        "state change": None, "writeBlock": "e22", "Finalized Block": "e3", "Slow BlockReceiver": "e1", "Checksum Mismatch": "e17",
+        "Failed to write packet": "e19", "Broken Pipe": "e19", "InvalidateBlocks": "e24", "Corrupt Replica": "e24",
+        "missing 12 Replicas": "e29", "missing x replicas": None, "Replicate blk_3 now to node": "e13", "replicate blk_3to x": None,
+        "writeBlock after completeFile": "e9",
+    }
+    df = spark.createDataFrame([(k + mark, k) for k in samples], "line string, k string")
+    got = {r.k: r.event for r in events.extract_events(df).collect()}
+    assert got == {k: e for k, e in samples.items() if e}
+
+
 def test_extraction_stats_without_lines(spark):
     empty = spark.createDataFrame([], "line string")
     assert tuple(events.extraction_stats(empty).first()) == (0, 0, 0)

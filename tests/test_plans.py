@@ -141,7 +141,7 @@ def test_analysis_of_lines_and_sequences(spark, model):
     vocab, fitted = model
     lines = [("a", 1, "x E22"), ("a", 2, "E24 and E22"), ("a", 3, "odd"), ("b", 1, "E1 E2"), ("b", 2, "e77"), ("c", 1, "none")]
     df = spark.createDataFrame(lines, "source string, line_no int, line string")
-    records = analyze_lines(df, ["source"], [F.col("line_no")], vocab, fitted, ["Normal", "Anomaly"])
+    records = analyze_lines(df, ["source"], ["line_no"], vocab, fitted, ["Normal", "Anomaly"])
     got = {r.response.event_name: r.response for r in records.collect()}
     assert set(got) == {"a", "b"}
     assert got["a"].anomaly_detected and got["a"].anomaly_type == "Node_Failure"
