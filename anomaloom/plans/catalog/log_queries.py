@@ -210,13 +210,15 @@ def token_counts(spark, d):
     return vocab.token_counts(document_tokens(spark, d))
 
 
-def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.build_vocab(document_tokens(spark, d), ["doc_id"], max_vocab=2000)
+def tokens_and_vocab(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Token arrays, staged because several passes read them, and their vocabulary."""
+    tokens = stage(document_tokens(spark, d), "tokens")
+    return tokens, vocab.build_vocab(tokens, ["doc_id"], max_vocab=2000)
 
 
 @query(f"WITH {_VOCAB} SELECT token, token_id FROM vocab")
 def vocab_topk(spark, d):
-    return _vocab(spark, d)
+    return tokens_and_vocab(spark, d)[1]
 
 
 @query(f"""WITH {_VOCAB}, sized AS (SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS total FROM documents),
@@ -225,7 +227,7 @@ ids AS (
 joined AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS kept FROM ids GROUP BY 1)
 SELECT doc_id, trim(repeat('0 ', greatest(128 - total, 0)) || coalesce(kept, '')) AS token_ids FROM sized LEFT JOIN joined USING (doc_id)""")
 def encode_sequences(spark, d):
-    encoded = vocab.encode_tokens(document_tokens(spark, d), _vocab(spark, d), 128, key=["doc_id"])
+    encoded = vocab.encode_tokens(*tokens_and_vocab(spark, d), 128, key=["doc_id"])
     return encoded.select("doc_id", F.array_join("token_ids", " ").alias("token_ids"))
 
 
@@ -239,7 +241,7 @@ summed AS (
 SELECT doc_id, coalesce(total, 0) AS event_token_count, coalesce(total - unknown, 0) AS known_event_count, coalesce(unknown, 0) AS unknown_event_count,
   coalesce(shown, '') AS unknown_event_tokens, coalesce(tail, '') AS event_tokens_tail FROM documents LEFT JOIN summed USING (doc_id)""")
 def unknown_tokens(spark, d):
-    marked = vocab.unknown_tokens(document_tokens(spark, d), _vocab(spark, d), key=["doc_id"])
+    marked = vocab.unknown_tokens(*tokens_and_vocab(spark, d), key=["doc_id"])
     return marked.drop("tokens").withColumns(
         {name: F.array_join(name, " ") for name in ("unknown_event_tokens", "event_tokens_tail")}
     )
@@ -258,5 +260,5 @@ def read_vocab(spark, d):
 used AS (SELECT max(token_id) AS top FROM vocab JOIN words USING (token) JOIN sized USING (doc_id) WHERE p > total - 128)
 SELECT CAST(top + 1 AS INTEGER) AS vocab_size FROM used""")
 def infer_vocab_size(spark, d):
-    encoded = vocab.encode_tokens(document_tokens(spark, d), _vocab(spark, d), 128, key=["doc_id"])
+    encoded = vocab.encode_tokens(*tokens_and_vocab(spark, d), 128, key=["doc_id"])
     return vocab.infer_vocab_size(encoded)
