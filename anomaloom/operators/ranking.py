@@ -11,11 +11,13 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 # Rows that one task may sort without a further cut.
 BUCKET_ROWS = 2_000_000
 MAX_BUCKETS = 20_000
+# Sampled rows per bucket when cut points are sought.
+SAMPLED_ROWS = 200
 # Whole numbers up to here keep their identity as doubles.
 _EXACT_DOUBLE = 2.0**53
 
@@ -30,15 +32,17 @@ def hash_bucket(key: Column) -> Column:
     return F.substring(key, 1, 4)
 
 
+def _partitioned(group: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*group) if group else Window.partitionBy(F.lit("all"))
+
+
 def bucket_offsets(
     df: DataFrame, group: Sequence[str], bucket: Sequence[str], sums: dict[str, Column]
 ) -> DataFrame:
     """For every (group, bucket): the totals of ``sums`` over the earlier buckets of the group."""
     keys = [*group, *bucket]
     totals = df.groupBy(*keys).agg(*(total.alias(name) for name, total in sums.items()))
-    earlier = (
-        Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    ).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _partitioned(group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
         *keys, *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in sums)
     )
@@ -87,7 +91,7 @@ def ordered_buckets(
     Cut points are approximate quantiles (any cut is right, even ones are fast). A value so frequent
     that it fills a bucket alone gets one to itself, and its rows are cut again by the next sort
     column, so one value holding a third of the rows is still spread. Input up to
-    ``rows_per_bucket`` rows stays in one bucket.
+    ``rows_per_bucket`` rows needs no cut and gets no column.
     """
     added: list[str] = []
     tied: Column | None = None
@@ -113,29 +117,25 @@ def ordered_buckets(
             break
         here = F.col(bucket).isin(*alone)
         tied = here if tied is None else tied & here
-    if not added:
-        keyed = keyed.withColumn(f"{prefix}0", F.lit(0))
-        added = [f"{prefix}0"]
     return keyed, added
 
 
 def _cut_points(
     scope: DataFrame, key: str, rows_per_bucket: int, max_buckets: int
 ) -> tuple[list[float], list[float]]:
-    """Inner cut points of ``key``, and the values that have a bucket to themselves."""
-    steps = [i / 256 for i in range(1, 256)]
-    found = scope.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(key, steps, 10_000).alias("quantiles")
-    ).first()
-    wanted = min(max_buckets, math.ceil(found["n"] / rows_per_bucket))
+    """Inner cut points of ``key``, and the values that have a bucket to themselves.
+
+    Quantiles of a sample of a few hundred rows per bucket: the summaries that all tasks send to one
+    stay small, and cut points need not be exact.
+    """
+    n = scope.count()
+    wanted = min(max_buckets, math.ceil(n / rows_per_bucket))
     if wanted < 2:
         return [], []
-    quantiles = found["quantiles"]
-    if wanted > 256:
-        steps = [i / wanted for i in range(1, wanted)]
-        quantiles = scope.agg(F.percentile_approx(key, steps, 4 * wanted)).first()[0]
-    else:
-        quantiles = [quantiles[min(254, round(i * 256 / wanted) - 1)] for i in range(1, wanted)]
+    fraction = SAMPLED_ROWS * wanted / n
+    sample = scope if fraction > 0.5 else scope.sample(fraction, seed=0)
+    steps = [i / wanted for i in range(1, wanted)]
+    quantiles = sample.agg(F.percentile_approx(key, steps, max(1000, 4 * wanted))).first()[0] or []
     seen: dict[float, int] = {}
     for value in quantiles:
         if math.isfinite(value):
@@ -159,6 +159,10 @@ def row_number_in_order(
 ) -> DataFrame:
     """Exact row number by numeric (or timestamp) sort columns, for groups of any size."""
     cut, buckets = ordered_buckets(df, [as_number(df, col) for col in order], **sizes)
+    if not buckets:
+        whole = _partitioned(group).orderBy(*order)
+        ranked = df.withColumn(output, F.row_number().over(whole).cast("bigint"))
+        return ranked if at_most is None else ranked.where(F.col(output) <= at_most)
     ranked = row_number_by_bucket(cut, group, buckets, list(order), output, at_most)
     return ranked.drop(*buckets)
 
@@ -187,13 +191,13 @@ def prefix_sums(
 ) -> DataFrame:
     """Running sums over the whole table in sort order: ``{column: output}``, own row included."""
     cut, buckets = ordered_buckets(df, [as_number(df, col) for col in order], **sizes)
-    offsets = bucket_offsets(cut, [], buckets, {f"__off_{c}": F.sum(c) for c in sums})
-    inside = (
-        Window.partitionBy(*buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = _partitioned(buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = cut
     for column, output in sums.items():
         summed = summed.withColumn(output, F.sum(column).over(inside))
+    if not buckets:
+        return summed
+    offsets = bucket_offsets(cut, [], buckets, {f"__off_{c}": F.sum(c) for c in sums})
     summed = summed.join(offsets, buckets, "inner")
     for column, output in sums.items():
         summed = summed.withColumn(output, F.col(output) + F.col(f"__off_{column}"))
