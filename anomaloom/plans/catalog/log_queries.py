@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from anomaloom.functions import labels, text
 from anomaloom.operators import events, vocab
 from anomaloom.plans.block_dataset import join_labels as join_block_labels
-from anomaloom.plans.catalog.inputs import EV, EVENT_ORDER, LINES, event_tokens, log_lines
+from anomaloom.plans.catalog.inputs import EV, EVENT_ORDER, LINES, RULES, event_tokens, log_lines
 from anomaloom.plans.catalog.registry import query, table
 from anomaloom.plans.log_analysis import classify_lines
 from anomaloom.session import stage
@@ -64,12 +64,18 @@ def sequence_tails(spark, d):
     return tails.withColumn("tail", F.array_join("tail", " "))
 
 
-@query(f"""WITH {LINES}, counts AS (SELECT block_id, count(*) FILTER (event = 'e24') AS n24, count(*) FILTER (event = 'e5') AS n5,
-    count(*) FILTER (event = 'e22') AS n22, count(*) FILTER (event = 'e21') AS n21 FROM extracted GROUP BY 1)
-SELECT block_id, n24 AS n_e24, n5 AS n_e5, n22 AS n_e22, n21 AS n_e21 FROM counts""")
+_LINE_RULES = (
+    f"{LINES}, upper_events AS (SELECT block_id, upper(event) AS event, 0 AS k FROM extracted)"
+    + RULES.removeprefix(EV).replace("FROM ev GROUP BY", "FROM upper_events GROUP BY")
+)
+
+
+@query(f"WITH {_LINE_RULES} SELECT block_id, anomaly_type, severity, confidence, matched_rules FROM classified")
 def classify_log_lines(spark, d):
     classified = classify_lines(log_lines(spark, d), ["block_id"])
-    return classified.select("block_id", "n_e24", "n_e5", "n_e22", "n_e21")
+    return classified.select(
+        "block_id", "anomaly_type", "severity", "confidence", F.array_join("matched_rules", "|").alias("matched_rules")
+    )
 
 
 @query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS line FROM (

@@ -10,8 +10,8 @@ from anomaloom.operators import models
 from anomaloom.operators.classes import class_counts, class_table, inverse_frequency_weights, with_class_weight
 from anomaloom.operators.splits import stratified_split
 from anomaloom.operators.vocab import build_vocab
-from anomaloom.operators.windows import lay_out_windows
-from anomaloom.plans.catalog.flow_queries import numbered_flows
+from anomaloom.operators.windows import lay_out_windows, window_keys
+from anomaloom.plans.catalog.flow_queries import _keys_sql, _numbered_sql, numbered_flows
 from anomaloom.plans.catalog.inputs import EVENT_ORDER
 from anomaloom.plans.catalog.log_queries import block_labels, block_traces, log_lines
 from anomaloom.plans.catalog.registry import query, table
@@ -118,9 +118,19 @@ def select_best(spark, d):
     return models.select_best(reports)
 
 
-@query()
+@query(f"""WITH {_numbered_sql()} {_keys_sql(64, 4)}
+SELECT keys.file, w, 20 AS n, round(avg(l_quantity), 3) AS mean_quantity, round(stddev_pop(l_quantity), 3) AS deviation,
+  max(l_quantity) FILTER (rn = last_rn) AS last_quantity,
+  max(l_quantity) FILTER (rn = last_rn) - max(l_quantity) FILTER (rn = last_rn - 63) AS change
+FROM keys JOIN numbered ON numbered.file = keys.file AND rn BETWEEN last_rn - 63 AND last_rn WHERE n_rows = 64 GROUP BY keys.file, w, last_rn""")
 def window_features(spark, d):
-    """Summary vector of every flow window."""
-    windows = lay_out_windows(numbered_flows(spark, d), 64, 4)
-    vector = vector_to_array(models.window_features(F.col("window")))
-    return windows.select("file", "w", F.round(F.element_at(vector, 1), 3).alias("mean_quantity"), F.size(vector).alias("n"))
+    """Summary vector of every full flow window."""
+    numbered = numbered_flows(spark, d)
+    full = window_keys(numbered, 64, 4).where(F.col("n_rows") == 64)
+    windows = lay_out_windows(numbered, 64, 4, selected=full)
+    x = F.col("x")
+    return windows.select("file", "w", vector_to_array(models.window_features(F.col("window"))).alias("x")).select(
+        "file", "w", F.size(x).alias("n"),
+        F.round(x[0], 3).alias("mean_quantity"), F.round(x[5], 3).alias("deviation"),
+        x[10].alias("last_quantity"), x[15].alias("change"),
+    )
