@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomaloom.llm.jaccard_join import jaccard_join
+from anomaloom.llm.packing import pack
+from anomaloom.llm.quality import Settings, fit_quality, score_quality
+from anomaloom.llm.token_files import read_token_files, write_token_files
+from anomaloom.llm.word_repeats import remove_word_repeats
+from anomaloom.session import shared_folder
 
+#: Share of label 1 from which a text is predicted as good.
+QUALITY_THRESHOLD = 0.3
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -22,6 +31,13 @@ def query(sql: str | None = None):
     return add
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; every executor has the package that holds it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,3 +68,50 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined on three-word shingle sets at a Jaccard similarity of 0.9."""
     joined = jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
     return joined.select(F.col("row_id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
+@query(
+    r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w : w <> '') AS w FROM documents),
+spots AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i+19], ' ')) AS h FROM spots JOIN words USING (doc_id)),
+repeats AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM repeats),
+lost AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, k : js IS NULL OR NOT list_contains(js, k)), ' ')) AS kept_sha256
+FROM words LEFT JOIN lost USING (doc_id)
+"""
+)
+def op10_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that start earlier too."""
+    cut = remove_word_repeats(table(spark, sf_dir, "documents"), window=20, with_text=False)
+    return cut.select(F.col("row_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labelled rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    settings = Settings()
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    weights = fit_quality(docs.select("doc_id", "text"), labels.where(~held_out), settings)
+    rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    scored = score_quality(rows, weights, settings.bits)
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
+@query()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 ids."""
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048)
+    return packed.withColumnRenamed("row_id", "doc_id")
+
+
+@query()
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back through their index."""
+    folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(spark, folder).withColumnRenamed("row_id", "doc_id")
