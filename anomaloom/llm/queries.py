@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from anomaloom.llm.byte_repeats import remove_byte_repeats
 from anomaloom.llm.jaccard_join import jaccard_join
 from anomaloom.llm.packing import pack
 from anomaloom.llm.quality import Settings, fit_quality, score_quality
@@ -115,3 +116,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=0)
     return read_token_files(spark, folder).withColumnRenamed("row_id", "doc_id")
+
+
+@query()
+def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that start anywhere else too."""
+    cut = remove_byte_repeats(table(spark, sf_dir, "documents"), window=400, with_text=False)
+    return cut.withColumnRenamed("row_id", "doc_id")
