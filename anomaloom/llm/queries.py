@@ -10,6 +10,7 @@ from anomaloom.llm.byte_repeats import remove_byte_repeats
 from anomaloom.llm.jaccard_join import jaccard_join
 from anomaloom.llm.packing import pack
 from anomaloom.llm.quality import Settings, fit_quality, score_quality
+from anomaloom.llm.secrets import scan_secrets
 from anomaloom.llm.token_files import read_token_files, write_token_files
 from anomaloom.llm.word_repeats import remove_word_repeats
 from anomaloom.session import shared_folder
@@ -123,3 +124,9 @@ def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 400-byte strings that start anywhere else too."""
     cut = remove_byte_repeats(table(spark, sf_dir, "documents"), window=400, with_text=False)
     return cut.withColumnRenamed("row_id", "doc_id")
+
+
+@query()
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns, and literals assigned to sensitive names."""
+    return scan_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
