@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomaloom.llm.byte_repeats import remove_byte_repeats
+from anomaloom.llm.grid_join import join_near_vectors
 from anomaloom.llm.jaccard_join import jaccard_join
+from anomaloom.llm.multi_index import nearest
 from anomaloom.llm.packing import pack
 from anomaloom.llm.quality import Settings, fit_quality, score_quality
 from anomaloom.llm.secrets import scan_secrets
@@ -130,3 +132,32 @@ def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base patterns, and literals assigned to sensitive names."""
     return scan_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
+
+
+@query(
+    """
+WITH fine AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x : x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM fine a JOIN fine b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (WITH RECURSIVE r(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM r JOIN links l ON r.y = l.x)
+  SELECT x, min(y) AS m FROM r GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN reach ON reach.x = vec_id LEFT JOIN degree ON degree.x = vec_id
+"""
+)
+def op1_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings joined at a cosine of 0.9."""
+    joined = join_near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.9)
+    return joined.withColumnRenamed("row_id", "vec_id")
+
+
+@query()
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every hundredth embedding."""
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, F.col("vec_id") % 100 == 0, neighbours=10).withColumnRenamed("row_id", "vec_id")
