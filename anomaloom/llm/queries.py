@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from anomaloom.llm.byte_repeats import remove_byte_repeats
 from anomaloom.llm.grid_join import join_near_vectors
 from anomaloom.llm.jaccard_join import jaccard_join
+from anomaloom.llm.mixing import mix_sources
 from anomaloom.llm.multi_index import nearest
 from anomaloom.llm.packing import pack
 from anomaloom.llm.quality import Settings, fit_quality, score_quality
@@ -161,3 +162,10 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest embeddings of every hundredth embedding."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, F.col("vec_id") % 100 == 0, neighbours=10).withColumnRenamed("row_id", "vec_id")
+
+
+@query()
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the domains of the labelled table to their target shares."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.withColumnRenamed("row_id", "doc_id").drop("row_hash")
