@@ -31,12 +31,13 @@ class Settings:
 
     ``targets``: share of the tokens of the domains that are matched; shares are scaled to sum 1.
     ``total``: expected tokens of all matched domains; by default as many as leave the first of them
-    at its present tokens. ``sample_rows`` bounds the labelled rows that the classifier is learnt
+    at its present tokens. ``most``: largest rate. ``sample_rows`` bounds the labelled rows that the classifier is learnt
     from (about so many, by a hash of the id); all else covers all rows.
     """
 
     targets: Mapping[str, float] = field(default_factory=lambda: {"good": 0.94, "low": 0.04, "toxic": 0.02})
     total: float | None = None
+    most: float | None = None
     sample_rows: int = 10_000
     class_steps: int = 12
     rate_steps: int = 24
@@ -194,8 +195,10 @@ def mix_sources(
 def _rates(thin: DataFrame, settings: Settings) -> Column:
     """Rates of least squares: expected tokens of the matched domains against their targets.
 
-    A step moves the rate of every document against its own gradient, all in the metric of the domains'
-    shared tokens (so one step solves the problem where no rate is at 0), and projects it on 0.
+    A step moves the rate of every document against its own gradient and projects it on 0 (and on the
+    largest rate, where there is one). Without a largest rate the gradient is taken in the metric of
+    the domains' shared tokens, so that one step solves the problem where no rate is at 0; between two
+    bounds such steps may cycle, and the step is one over the greatest curvature instead.
     """
     matched = [i for i, name in enumerate(DOMAINS) if settings.targets.get(name, 0.0) > 0]
     p = [F.col("p")[i] for i in matched]
@@ -211,12 +214,17 @@ def _rates(thin: DataFrame, settings: Settings) -> Column:
     shares = shares / shares.sum()
     total = settings.total if settings.total is not None else now[0] / shares[0]
     goal = shares * total
+    curvature = np.linalg.eigvalsh(shared)[-1]
     for _ in range(settings.rate_steps):
         gap = now - goal
         if np.abs(gap).max() <= settings.tolerance * total:
             break
-        step = np.linalg.solve(shared + np.eye(len(p)) * 1e-9 * np.trace(shared), gap)
-        rate = F.greatest(F.lit(0.0), rate - _dot(p, step))
+        if settings.most is None:
+            step = np.linalg.solve(shared + np.eye(len(p)) * 1e-9 * np.trace(shared), gap)
+            rate = F.greatest(F.lit(0.0), rate - _dot(p, step))
+        else:
+            step = gap / curvature
+            rate = F.greatest(F.lit(0.0), F.least(F.lit(settings.most), rate - _dot(p, step)))
         now, shared = _expected(thin, n, p, rate)
         if not np.trace(shared):
             break
@@ -236,23 +244,32 @@ def _expected(thin: DataFrame, n: Column, p: Sequence[Column], rate: Column) ->
     return np.array(found[:size]), np.array(found[size:]).reshape(size, size)
 
 
-def apply_rates(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text", snap: float = 0.02) -> DataFrame:
+def apply_rates(
+    docs: DataFrame,
+    rates: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    repeat: bool = True,
+    snap: float = 0.02,
+) -> DataFrame:
     """``docs`` with every row as often as its rate says, the broken part decided by a hash of the row.
 
-    A rate within ``snap`` of 1 counts as 1, so ordinary documents neither vanish nor double by chance.
+    Without ``repeat`` rates above 1 count as 1. A rate within ``snap`` of 1 counts as 1 too, so that
+    ordinary documents neither vanish nor double by chance.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns(
-        {"__mix_hash": F.xxhash64(text, F.length(text)), "__mix_id": F.col(id_col).cast("long")}
-    )
-    one = rates.groupBy("row_id", "row_hash").agg(F.first("rate").alias("__mix_rate")).select(
-        F.col("row_id").alias("__mix_row_id"), F.col("row_hash").alias("__mix_row_hash"), "__mix_rate"
+    keyed = docs.withColumns({"__mix_hash": F.xxhash64(text, F.length(text)), "__mix_id": F.col(id_col).cast("long")})
+    one = (
+        rates.groupBy("row_id", "row_hash")
+        .agg(F.first("rate").alias("__mix_rate"))
+        .withColumnsRenamed({"row_id": "__mix_row_id", "row_hash": "__mix_row_hash"})
     )
     same = (F.col("__mix_hash") == F.col("__mix_row_hash")) & F.col("__mix_id").eqNullSafe(F.col("__mix_row_id"))
     chance = F.pmod(F.xxhash64("__mix_hash", "__mix_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.abs(F.col("__mix_rate") - 1.0) <= snap, 1.0).otherwise(F.col("__mix_rate"))
-    copies = F.floor(rate + chance).cast("int")
-    repeated = keyed.join(one, same).withColumn("__mix_copies", copies).where(F.col("__mix_copies") > 0)
-    return repeated.withColumn(
-        "__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))
-    ).select(*docs.columns)
+    rate = F.col("__mix_rate") if repeat else F.least(F.col("__mix_rate"), F.lit(1.0))
+    rate = F.when(F.abs(rate - 1.0) <= snap, 1.0).otherwise(rate)
+    counted = keyed.join(one, same).withColumn("__mix_copies", F.floor(rate + chance).cast("int"))
+    kept = counted.where(F.col("__mix_copies") > 0)
+    if repeat:
+        kept = kept.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    return kept.select(*docs.columns)

@@ -75,3 +75,31 @@ def whole_groups(
         rows += batch.num_rows
     if held:
         yield pa.Table.from_batches(held)
+
+
+def first_of_groups(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` per class: that of the smallest id, by the hash of the text where ids are equal.
+
+    ``classes`` has ``row_id, row_hash, class_id`` for every row; rows with a null class all stay. Of
+    rows equal in id and text one stays per class.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    names = docs.columns
+    keyed = docs.withColumns(
+        {"__row_id": F.col(id_col).cast("long"), "__row_hash": F.xxhash64(text, F.length(text))}
+    )
+    ranked = F.struct(F.col("row_id").isNull().alias("unnamed"), "row_id", "row_hash")
+    chosen = (
+        classes.where(F.col("class_id").isNotNull())
+        .groupBy("class_id")
+        .agg(F.min(ranked).alias("first"))
+        .select(F.col("first.row_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"))
+    )
+    alone = classes.where(F.col("class_id").isNull()).select(
+        F.col("row_id").alias("first_id"), F.col("row_hash").alias("first_hash")
+    ).distinct()
+    same = lambda side: (F.col("__row_hash") == side["first_hash"]) & F.col("__row_id").eqNullSafe(side["first_id"])
+    kept = keyed.join(chosen, same(chosen), "left_semi")
+    # Equal rows of a class fall together; grouping by the key needs no order.
+    single = kept.groupBy("__row_id", "__row_hash").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return single.unionByName(keyed.join(alone, same(alone), "left_semi").select(*names))
