@@ -1,9 +1,11 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets that share a signature are candidates, and only they. Candidates are linked to one pivot per
-signature (a star, never all pairs), the connected groups of these links are cut into blocks of
-bounded size, and every pair of blocks is joined exactly in a task: sets that share a signature are
-compared by their shingles. Equal sets are compared once, whatever their number.
+Sets that share a signature are candidates, and only they. Candidates whose sizes or sketches (64
+counters, a sound lower bound of their difference) rule out a link fall away where they meet. The
+rest of a signature is tied together by few links, never by all pairs; the connected groups of these
+links are cut into blocks of bounded size, and every pair of blocks is joined exactly in a task: sets
+that share a signature are compared by their shingles. Equal sets are compared once, whatever
+their number.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from pyspark.sql import DataFrame, functions as F
 from anomaloom.llm.components import connected_components
 from anomaloom.llm.hashing import texts_of
 from anomaloom.llm.rows import keyed_texts, same_row, whole_groups
-from anomaloom.llm.shingles import Sets, set_keys, shingle_sets, signatures
+from anomaloom.llm.shingles import CELLS, Sets, may_be_similar, set_keys, shingle_sets, signatures, sketches
 from anomaloom.session import stage
 
 #: Sets of one block; a task joins two blocks at most.
 BLOCK_SETS = 1500
 #: Sets whose signatures a task remembers as sent; equal sets sign once per task.
 REMEMBERED_SETS = 500_000
+#: Signatures with up to so many sets have their pairs filtered one by one, larger ones row by row.
+FEW_SETS = 48
 
-_SIGNED = "row_id long, row_hash long, n_shingles long, key_a long, key_b long, signatures array<long>"
+_SIGNED = "row_id long, row_hash long, n_shingles long, key_a long, key_b long, signatures array<long>, sketch binary"
 _SIGNED_ARROW = pa.schema(
     [
         ("row_id", pa.int64()),
@@ -34,6 +38,7 @@ _SIGNED_ARROW = pa.schema(
         ("key_a", pa.int64()),
         ("key_b", pa.int64()),
         ("signatures", pa.list_(pa.int64())),
+        ("sketch", pa.binary()),
     ]
 )
 _LINKS_ARROW = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
@@ -69,17 +74,25 @@ def jaccard_join(
             F.min(F.struct("row_hash", "row_id")).alias("rep"),
             F.min("row_id").alias("least_id"),
             F.count(F.lit(1)).alias("copies"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.max("sketch").alias("sketch"),
         )
         .withColumn("node", F.coalesce("least_id", "key_a"))
     )
     classes = stage(classes, "classes")
     exploded = filled.select("key_a", F.explode("signatures").alias("signature"))
-    stars = (
+    shared = (
         exploded.repartition("signature")
         .sortWithinPartitions("signature", "key_a")
-        .mapInArrow(_stars, "a long, b long")
+        .mapInArrow(_shared_signatures, "signature long, key_a long")
     )
-    groups = connected_components(stars)
+    candidates = (
+        shared.join(classes.select("key_a", "n_shingles", "sketch"), "key_a")
+        .repartition("signature")
+        .sortWithinPartitions("signature")
+        .mapInArrow(_near_candidates(percent), "a long, b long")
+    )
+    groups = connected_components(candidates)
     links = stage(_verified(texts, classes, groups, shingle, percent, block_sets), "links")
     reached = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("node").agg(F.sum("n").alias("n"))
@@ -142,6 +155,7 @@ def _sign(shingle: int, percent: int):
                         pa.array(key_a),
                         pa.array(key_b),
                         lists,
+                        pa.array([c.tobytes() if w else None for c, w in zip(sketches(sets), wanted)], pa.binary()),
                     ],
                     schema=_SIGNED_ARROW,
                 )
@@ -149,26 +163,84 @@ def _sign(shingle: int, percent: int):
     return run
 
 
-def _stars(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from the first set of every signature to its other sets; rows come sorted."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    signature = pivot = None
+def _shared_signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of the signatures that more than one set has; rows come sorted.
+
+    Keeps one row between batches, so a signature of any frequency passes in bounded memory.
+    """
+    schema = pa.schema([("signature", pa.int64()), ("key_a", pa.int64())])
+    signed, sets = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    last_signature = last_set = None  # of the last row sent
     for batch in stream:
         if not batch.num_rows:
             continue
-        signed = batch["signature"].to_numpy()
-        sets = batch["key_a"].to_numpy()
+        signed = np.concatenate([signed, batch["signature"].to_numpy()])
+        sets = np.concatenate([sets, batch["key_a"].to_numpy()])
         new = np.ones(len(signed), dtype=bool)
-        new[1:] = signed[1:] != signed[:-1]
-        new[0] = signature is None or signed[0] != signature
-        heads = np.where(new, np.arange(len(signed)), -1)
-        heads = np.maximum.accumulate(heads)
-        pivots = np.where(heads >= 0, sets[heads], pivot if pivot is not None else 0)
-        signature, pivot = signed[-1], pivots[-1]
-        apart = pivots != sets
-        if apart.any():
-            pairs = np.unique(np.stack([pivots[apart], sets[apart]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+        new[1:] = (signed[1:] != signed[:-1]) | (sets[1:] != sets[:-1])
+        if last_signature is not None:
+            new[0] = signed[0] != last_signature or sets[0] != last_set
+        signed, sets = signed[new], sets[new]
+        if not len(signed):
+            continue
+        with_next = np.zeros(len(signed), dtype=bool)
+        with_next[:-1] = signed[1:] == signed[:-1]
+        take = with_next.copy()
+        take[1:] |= with_next[:-1]
+        if last_signature is not None:
+            take |= signed == last_signature
+        if take.any():
+            yield pa.RecordBatch.from_arrays([pa.array(signed[take]), pa.array(sets[take])], schema=schema)
+            last_signature, last_set = signed[take][-1], sets[take][-1]
+        # The last row waits if its signature may still turn out to be shared.
+        rest = np.zeros(len(signed), dtype=bool)
+        rest[-1] = not take[-1]
+        signed, sets = signed[rest], sets[rest]
+
+
+def _near_candidates(percent: int):
+    """Links that keep together all sets of a signature which may be similar."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(stream, "signature", 20_000):
+            signed, keys = table["signature"].to_numpy(), table["key_a"].to_numpy()
+            sizes = table["n_shingles"].to_numpy()
+            raw = b"".join(table["sketch"].to_pylist())
+            cells = np.frombuffer(raw, dtype=np.uint8).reshape(-1, CELLS)
+            pairs = candidate_links(signed, sizes, cells, percent)
+            if len(pairs):
+                links = np.unique(np.sort(keys[pairs], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def candidate_links(signed: np.ndarray, sizes: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows that connect all rows of one signature which may be similar; rows lie by signature."""
+    edges = np.concatenate([[0], np.flatnonzero(signed[1:] != signed[:-1]) + 1, [len(signed)]])
+    counts = np.diff(edges)
+    few = np.repeat(counts <= FEW_SETS, counts)
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for step in range(1, FEW_SETS):
+        i = np.flatnonzero(few[:-step] & (signed[:-step] == signed[step:]))
+        if not len(i):
+            break
+        near = may_be_similar(sizes[i], sizes[i + step], cells[i], cells[i + step], percent)
+        found.append(np.stack([i[near], i[near] + step], axis=1))
+    for low, high in zip(edges[:-1][counts > FEW_SETS], edges[1:][counts > FEW_SETS]):
+        # From row to row, a set that may be similar to the row joins its part; parts are tied by stars.
+        order = low + np.argsort(sizes[low:high], kind="stable")
+        part = np.arange(len(order))
+        for place, row in enumerate(order):
+            upto = np.searchsorted(sizes[order], sizes[row] * 100 // percent, side="right")
+            others = np.arange(place + 1, upto)
+            others = others[part[others] != part[place]]
+            near = others[may_be_similar(sizes[row], sizes[order[others]], cells[row], cells[order[others]], percent)]
+            if len(near):
+                joined = np.unique(part[near])
+                found.append(np.stack([np.full(len(joined), row), order[joined]], axis=1))
+                part[np.isin(part, joined)] = part[place]
+    return np.concatenate(found)
 
 
 def _verified(

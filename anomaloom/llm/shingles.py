@@ -136,6 +136,28 @@ def signatures(sets: Sets, percent: int, wanted: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(found), np.concatenate(owners)
 
 
+#: Cells of a sketch.
+CELLS = 64
+
+
+def sketches(sets: Sets) -> np.ndarray:
+    """Members per hash cell of every set, at most 255: a row of ``CELLS`` bytes.
+
+    The cells of two sets differ by no more than the sets do, so the sum of the cells' differences
+    is a lower bound of the symmetric difference.
+    """
+    cell = (mix(sets.members + U64(BASE_B)) >> U64(58)).astype(np.int64)
+    counts = np.bincount(sets.owner * CELLS + cell, minlength=len(sets.sizes) * CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)
+
+
+def may_be_similar(sizes_a, sizes_b, cells_a, cells_b, percent: int) -> np.ndarray:
+    """Pairs that sizes and sketches do not rule out; broadcasts like the arrays do."""
+    least, most = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
+    apart = np.abs(cells_a.astype(np.int16) - cells_b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return (100 * least >= percent * most) & ((100 + percent) * apart <= (100 - percent) * (sizes_a + sizes_b))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact: 100 * intersection >= percent * union, of rising distinct arrays."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):

@@ -5,9 +5,9 @@ import pytest
 
 from anomaloom.llm.components import connected_components
 from anomaloom.llm.grid_join import join_near_vectors
-from anomaloom.llm.jaccard_join import jaccard_join
+from anomaloom.llm.jaccard_join import candidate_links, jaccard_join
 from anomaloom.llm.rows import first_of_groups
-from anomaloom.llm.shingles import band_of, most_differences
+from anomaloom.llm.shingles import CELLS, band_of, may_be_similar, most_differences
 from odd import frame, odd_rows, unnamed_rows, words
 
 
@@ -139,3 +139,21 @@ def test_vectors_without_ids(spark):
     assert sorted(((r.row_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted(
         [(None, 2, 5, False), (5, 2, 5, True), (None, 0, None, False), (6, 2, 5, False)], key=str
     )
+
+
+def test_candidate_links_connect_all_that_may_be_similar():
+    rng = np.random.default_rng(6)
+    signed = np.sort(rng.integers(0, 6, 400))
+    sizes = rng.integers(20, 40, 400)
+    cells = rng.integers(0, 2, (400, CELLS)).astype(np.uint8)
+    cells[rng.integers(0, 400, 200)] = cells[0]
+    links = candidate_links(signed, sizes, cells, 60)
+    assert (signed[links[:, 0]] == signed[links[:, 1]]).all()
+    found = components(range(400), links.tolist())
+    wanted = [
+        (i, j)
+        for i in range(400)
+        for j in range(i + 1, 400)
+        if signed[i] == signed[j] and may_be_similar(sizes[i], sizes[j], cells[i], cells[j], 60)
+    ]
+    assert found == components(range(400), wanted)
