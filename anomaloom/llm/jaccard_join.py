@@ -1,7 +1,7 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets that share a signature are candidates, and only they. Candidates whose sizes or sketches (64
-counters, a sound lower bound of their difference) rule out a link fall away where they meet. The
+Sets that share a signature are candidates, and only they. Candidates whose sizes or sketches
+(counters, a sound lower bound of their difference) rule out a link fall away where they meet. The
 rest of a signature is tied together by few links, never by all pairs; the connected groups of these
 links are cut into blocks of bounded size, and every pair of blocks is joined exactly in a task: sets
 that share a signature are compared by their shingles. Equal sets are compared once, whatever
@@ -19,28 +19,30 @@ from pyspark.sql import DataFrame, functions as F
 from anomaloom.llm.components import connected_components
 from anomaloom.llm.hashing import texts_of
 from anomaloom.llm.rows import keyed_texts, same_row, whole_groups
-from anomaloom.llm.shingles import CELLS, Sets, may_be_similar, set_keys, shingle_sets, signatures, sketches
+from anomaloom.llm.shingles import Sets, SketchTable, set_keys, shingle_sets, signatures, sketches
 from anomaloom.session import stage
 
 #: Sets of one block; a task joins two blocks at most.
 BLOCK_SETS = 1500
 #: Sets whose signatures a task remembers as sent; equal sets sign once per task.
 REMEMBERED_SETS = 500_000
+#: Cells of row hashes by which texts are looked through before they are shipped.
+HASH_CELLS = 1 << 18
 #: Signatures with up to so many sets have their pairs filtered one by one, larger ones row by row.
 FEW_SETS = 48
 
-_SIGNED = "row_id long, row_hash long, n_shingles long, key_a long, key_b long, signatures array<long>, sketch binary"
-_SIGNED_ARROW = pa.schema(
+_SETS = "row_id long, row_hash long, n_shingles long, key_a long, key_b long, sketch binary"
+_SETS_ARROW = pa.schema(
     [
         ("row_id", pa.int64()),
         ("row_hash", pa.int64()),
         ("n_shingles", pa.int64()),
         ("key_a", pa.int64()),
         ("key_b", pa.int64()),
-        ("signatures", pa.list_(pa.int64())),
         ("sketch", pa.binary()),
     ]
 )
+_SIGNED_ARROW = pa.schema([("signature", pa.int64()), ("key_a", pa.int64())])
 _LINKS_ARROW = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
 
 
@@ -66,8 +68,8 @@ def jaccard_join(
     other columns of ``docs`` are not read.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    signed = stage(texts.mapInArrow(_sign(shingle, percent), _SIGNED), "signed")
-    filled = signed.where("n_shingles > 0")
+    rows = stage(texts.mapInArrow(_describe(shingle), _SETS), "sets")
+    filled = rows.where("n_shingles > 0")
     classes = (
         filled.groupBy("key_a", "key_b")
         .agg(
@@ -80,9 +82,10 @@ def jaccard_join(
         .withColumn("node", F.coalesce("least_id", "key_a"))
     )
     classes = stage(classes, "classes")
-    exploded = filled.select("key_a", F.explode("signatures").alias("signature"))
+    # Signatures go to the shuffle straight from the texts: they are the bulk, and nothing else reads them.
     shared = (
-        exploded.repartition("signature")
+        texts.mapInArrow(_sign(shingle, percent), "signature long, key_a long")
+        .repartition("signature")
         .sortWithinPartitions("signature", "key_a")
         .mapInArrow(_shared_signatures, "signature long, key_a long")
     )
@@ -109,7 +112,7 @@ def jaccard_join(
     )
     least = nodes.groupBy("class_id").agg(F.min("least_id").alias("component_id"))
     named = nodes.join(least, "class_id").drop("least_id")
-    rows = signed.drop("signatures")
+    rows = rows.drop("sketch")
     empty = rows.where("n_shingles = 0").select(
         "row_id",
         "row_hash",
@@ -126,26 +129,33 @@ def jaccard_join(
     return full.unionByName(empty)
 
 
-def _sign(shingle: int, percent: int):
+class _Remembered:
+    """Which sets a task sees for the first time, as far as it remembers."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+
+    def fresh(self, key_a: np.ndarray, key_b: np.ndarray) -> np.ndarray:
+        first = np.zeros(len(key_a), dtype=bool)
+        for i, key in enumerate(zip(key_a.tolist(), key_b.tolist())):
+            if key not in self.seen:
+                first[i] = True
+                self.seen.add(key)
+        if len(self.seen) > REMEMBERED_SETS:
+            self.seen.clear()
+        return first
+
+
+def _describe(shingle: int):
+    """Size, key and sketch of every row's set; equal sets are sketched once per task."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        remembered = _Remembered()
         for batch in stream:
             for texts in texts_of(batch["body"]):
                 sets = shingle_sets(texts, shingle)
                 key_a, key_b = set_keys(sets)
-                wanted = np.zeros(len(texts), dtype=bool)
-                for i, key in enumerate(zip(key_a.tolist(), key_b.tolist())):
-                    if key not in sent:
-                        wanted[i] = True
-                        sent.add(key)
-                if len(sent) > REMEMBERED_SETS:
-                    sent.clear()
-                signed, owner = signatures(sets, percent, wanted)
-                order = np.argsort(owner, kind="stable")
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(bounds.astype(np.int32)), pa.array(signed[order].view(np.int64))
-                )
+                drawn = sketches(sets, remembered.fresh(key_a, key_b))
                 rows = batch.slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -154,10 +164,26 @@ def _sign(shingle: int, percent: int):
                         pa.array(sets.sizes),
                         pa.array(key_a),
                         pa.array(key_b),
-                        lists,
-                        pa.array([c.tobytes() if w else None for c, w in zip(sketches(sets), wanted)], pa.binary()),
+                        pa.array(drawn, pa.binary()),
                     ],
-                    schema=_SIGNED_ARROW,
+                    schema=_SETS_ARROW,
+                )
+
+    return run
+
+
+def _sign(shingle: int, percent: int):
+    """Signatures of the sets; equal sets sign once per task."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered = _Remembered()
+        for batch in stream:
+            for texts in texts_of(batch["body"]):
+                sets = shingle_sets(texts, shingle)
+                key_a, key_b = set_keys(sets)
+                signed, owner = signatures(sets, percent, remembered.fresh(key_a, key_b))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed.view(np.int64)), pa.array(key_a[owner])], schema=_SIGNED_ARROW
                 )
 
     return run
@@ -168,7 +194,7 @@ def _shared_signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     Keeps one row between batches, so a signature of any frequency passes in bounded memory.
     """
-    schema = pa.schema([("signature", pa.int64()), ("key_a", pa.int64())])
+    schema = _SIGNED_ARROW
     signed, sets = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     last_signature = last_set = None  # of the last row sent
     for batch in stream:
@@ -204,10 +230,8 @@ def _near_candidates(percent: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(stream, "signature", 20_000):
             signed, keys = table["signature"].to_numpy(), table["key_a"].to_numpy()
-            sizes = table["n_shingles"].to_numpy()
-            raw = b"".join(table["sketch"].to_pylist())
-            cells = np.frombuffer(raw, dtype=np.uint8).reshape(-1, CELLS)
-            pairs = candidate_links(signed, sizes, cells, percent)
+            drawn = SketchTable(table["sketch"].to_pylist(), table["n_shingles"].to_numpy())
+            pairs = candidate_links(signed, drawn, percent)
             if len(pairs):
                 links = np.unique(np.sort(keys[pairs], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
@@ -215,7 +239,7 @@ def _near_candidates(percent: int):
     return run
 
 
-def candidate_links(signed: np.ndarray, sizes: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
+def candidate_links(signed: np.ndarray, drawn: SketchTable, percent: int) -> np.ndarray:
     """Pairs of rows that connect all rows of one signature which may be similar; rows lie by signature."""
     edges = np.concatenate([[0], np.flatnonzero(signed[1:] != signed[:-1]) + 1, [len(signed)]])
     counts = np.diff(edges)
@@ -225,17 +249,17 @@ def candidate_links(signed: np.ndarray, sizes: np.ndarray, cells: np.ndarray, pe
         i = np.flatnonzero(few[:-step] & (signed[:-step] == signed[step:]))
         if not len(i):
             break
-        near = may_be_similar(sizes[i], sizes[i + step], cells[i], cells[i + step], percent)
-        found.append(np.stack([i[near], i[near] + step], axis=1))
+        i = i[drawn.near(i, i + step, percent)]
+        found.append(np.stack([i, i + step], axis=1))
     for low, high in zip(edges[:-1][counts > FEW_SETS], edges[1:][counts > FEW_SETS]):
         # From row to row, a set that may be similar to the row joins its part; parts are tied by stars.
-        order = low + np.argsort(sizes[low:high], kind="stable")
+        order = low + np.argsort(drawn.sizes[low:high], kind="stable")
+        ends = np.searchsorted(drawn.sizes[order], drawn.sizes[order] * 100 // percent, side="right")
         part = np.arange(len(order))
         for place, row in enumerate(order):
-            upto = np.searchsorted(sizes[order], sizes[row] * 100 // percent, side="right")
-            others = np.arange(place + 1, upto)
+            others = np.arange(place + 1, ends[place])
             others = others[part[others] != part[place]]
-            near = others[may_be_similar(sizes[row], sizes[order[others]], cells[row], cells[order[others]], percent)]
+            near = others[drawn.near(np.full(len(others), row), order[others], percent)]
             if len(near):
                 joined = np.unique(part[near])
                 found.append(np.stack([np.full(len(joined), row), order[joined]], axis=1))
@@ -260,8 +284,12 @@ def _verified(
         .join(sizes, "component")
         .withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     )
+    # Texts of other rows stay where they are: a table of at most HASH_CELLS numbers goes to every task.
+    hash_cell = F.pmod(F.col("row_hash"), F.lit(HASH_CELLS))
+    cells = F.broadcast(members.select(hash_cell.alias("hash_cell")).distinct())
+    wanted = texts.join(cells, hash_cell == F.col("hash_cell"), "left_semi")
     bodies = (
-        members.join(texts, same_row(members, texts), "inner")
+        members.join(wanted, same_row(members, wanted), "inner")
         .groupBy("component", "node", "copies", "blocks", "own")
         .agg(F.first("body").alias("body"))
     )

@@ -136,26 +136,63 @@ def signatures(sets: Sets, percent: int, wanted: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(found), np.concatenate(owners)
 
 
-#: Cells of a sketch.
-CELLS = 64
+#: Cells of the sketches of sets of up to ``CELLS[n]`` members per 8 cells; larger sets have the last.
+CELLS = (64, 256, 1024, 4096)
 
 
-def sketches(sets: Sets) -> np.ndarray:
-    """Members per hash cell of every set, at most 255: a row of ``CELLS`` bytes.
+def sketches(sets: Sets, wanted: np.ndarray) -> list[bytes | None]:
+    """Members per hash cell of the ``wanted`` sets, at most 255, one byte a cell.
 
     The cells of two sets differ by no more than the sets do, so the sum of the cells' differences
-    is a lower bound of the symmetric difference.
+    is a lower bound of the symmetric difference. Larger sets have more cells, so that it stays sharp.
     """
-    cell = (mix(sets.members + U64(BASE_B)) >> U64(58)).astype(np.int64)
-    counts = np.bincount(sets.owner * CELLS + cell, minlength=len(sets.sizes) * CELLS)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)
-
-
-def may_be_similar(sizes_a, sizes_b, cells_a, cells_b, percent: int) -> np.ndarray:
-    """Pairs that sizes and sketches do not rule out; broadcasts like the arrays do."""
-    least, most = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
-    apart = np.abs(cells_a.astype(np.int16) - cells_b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    return (100 * least >= percent * most) & ((100 + percent) * apart <= (100 - percent) * (sizes_a + sizes_b))
+    finest = CELLS[-1]
+    cell = (mix(sets.members + U64(BASE_B)) >> U64(64 - finest.bit_length() + 1)).astype(np.int64)
+    found: list[bytes | None] = []
+    for i, size in enumerate(sets.sizes.tolist()):
+        if not wanted[i]:
+            found.append(None)
+            continue
+        cells = next((c for c in CELLS if size <= 8 * c), finest)
+        mine = cell[sets.bounds[i] : sets.bounds[i + 1]] // (finest // cells)
+        found.append(np.minimum(np.bincount(mine, minlength=cells), 255).astype(np.uint8).tobytes())
+    return found
+
+
+class SketchTable:
+    """Sketches of many sets; a pair is compared in rising numbers of cells, as far as both have them."""
+
+    def __init__(self, raw: list[bytes], sizes: np.ndarray) -> None:
+        self.sizes = sizes
+        cells = np.array([len(r) for r in raw], dtype=np.int64)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for level in CELLS:
+            rows = np.flatnonzero(cells >= level)
+            if not len(rows):
+                break
+            place = np.full(len(raw), -1, dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            table = np.stack(
+                [np.frombuffer(raw[i], np.uint8).reshape(level, -1).sum(axis=1, dtype=np.int32) for i in rows]
+            )
+            self.levels.append((place, table))
+
+    def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows sizes and sketches do not rule out."""
+        total = self.sizes[i] + self.sizes[j]
+        near = 100 * np.minimum(self.sizes[i], self.sizes[j]) >= percent * np.maximum(self.sizes[i], self.sizes[j])
+        for place, table in self.levels:
+            look = np.flatnonzero(near)
+            a, b = place[i[look]], place[j[look]]
+            both = (a >= 0) & (b >= 0)
+            look, a, b = look[both], a[both], b[both]
+            if not len(look):
+                break
+            for part in range(0, len(look), 50_000):
+                at = slice(part, part + 50_000)
+                apart = np.abs(table[a[at]] - table[b[at]]).sum(axis=1)
+                near[look[at]] = (100 + percent) * apart <= (100 - percent) * total[look[at]]
+        return near
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -7,7 +7,7 @@ from anomaloom.llm.components import connected_components
 from anomaloom.llm.grid_join import join_near_vectors
 from anomaloom.llm.jaccard_join import candidate_links, jaccard_join
 from anomaloom.llm.rows import first_of_groups
-from anomaloom.llm.shingles import CELLS, band_of, may_be_similar, most_differences
+from anomaloom.llm.shingles import CELLS, Sets, SketchTable, band_of, most_differences, similar, sketches
 from odd import frame, odd_rows, unnamed_rows, words
 
 
@@ -145,15 +145,29 @@ def test_candidate_links_connect_all_that_may_be_similar():
     rng = np.random.default_rng(6)
     signed = np.sort(rng.integers(0, 6, 400))
     sizes = rng.integers(20, 40, 400)
-    cells = rng.integers(0, 2, (400, CELLS)).astype(np.uint8)
+    cells = rng.integers(0, 2, (400, CELLS[0])).astype(np.uint8)
     cells[rng.integers(0, 400, 200)] = cells[0]
-    links = candidate_links(signed, sizes, cells, 60)
+    drawn = SketchTable([c.tobytes() for c in cells], sizes)
+    links = candidate_links(signed, drawn, 60)
     assert (signed[links[:, 0]] == signed[links[:, 1]]).all()
-    found = components(range(400), links.tolist())
-    wanted = [
-        (i, j)
-        for i in range(400)
-        for j in range(i + 1, 400)
-        if signed[i] == signed[j] and may_be_similar(sizes[i], sizes[j], cells[i], cells[j], 60)
-    ]
-    assert found == components(range(400), wanted)
+    i, j = np.triu_indices(400, 1)
+    near = drawn.near(i, j, 60) & (signed[i] == signed[j])
+    assert components(range(400), links.tolist()) == components(range(400), list(zip(i[near], j[near])))
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    members, bounds = [], [0]
+    for size in (3, 100, 500, 600, 2000, 9000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for changed in (0, 1, size // 30, size // 12):
+            other = base.copy()
+            other[:changed] = rng.integers(0, 2**63, changed, dtype=np.uint64)
+            members.append(np.unique(other))
+            bounds.append(bounds[-1] + len(members[-1]))
+    sets = Sets(np.concatenate(members), np.array(bounds))
+    drawn = SketchTable(sketches(sets, np.ones(len(members), dtype=bool)), sets.sizes)
+    i, j = np.triu_indices(len(members), 1)
+    linked = np.array([similar(members[a], members[b], 80) for a, b in zip(i, j)])
+    near = drawn.near(i, j, 80)
+    assert linked.sum() >= 30 and near[linked].all() and not near[~linked].all()
