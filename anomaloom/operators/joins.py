@@ -1,37 +1,16 @@
-"""Look-ups against a table whose size is checked first."""
+"""Look-ups against a table with unique keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame
 
-# Rows up to which a look-up table is shipped to every executor.
-BROADCAST_ROWS = 100_000
-SALTS = 32
 
-
-def bounded_rows(table: DataFrame, limit: int) -> list[Row] | None:
-    """The rows of a table of at most ``limit`` rows, or None (reading stops after that)."""
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def lookup_join(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``df`` to a look-up table with unique keys.
 
-    A table within ``rows`` is broadcast. A larger one is repeated once per salt and joined by key
-    and salt, so a key that holds a large share of ``df`` is spread over ``SALTS`` tasks. The salt is a
-    hash of the row, the same when a lost task runs again.
+    A plain join: at run time Spark broadcasts the table if its bytes allow it, else both sides are
+    shuffled and a key that holds a large share of ``df`` is split over tasks (adaptive skew join).
     """
-    few = bounded_rows(table, rows)
-    if few is not None:
-        # The rows at hand stand in for the plan behind them, which is not run twice.
-        local = df.sparkSession.createDataFrame(few, table.schema)
-        return df.join(F.broadcast(local), list(keys), how)
-    hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int"))
-    repeated = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
+    return df.join(table, list(keys), how)

@@ -157,8 +157,8 @@ def row_number_in_order(
     at_most: int | None = None,
     **sizes: int,
 ) -> DataFrame:
-    """Exact row number by numeric (or timestamp) sort columns, for groups of any size."""
-    cut, buckets = ordered_buckets(df, [as_number(df, col) for col in order], **sizes)
+    """Exact row number by number, time or text columns (nulls first), for groups of any size."""
+    cut, buckets = ordered_buckets(df, sort_keys(df, order), **sizes)
     if not buckets:
         whole = _partitioned(group).orderBy(*order)
         ranked = df.withColumn(output, F.row_number().over(whole).cast("bigint"))
@@ -167,12 +167,38 @@ def row_number_in_order(
     return ranked.drop(*buckets)
 
 
-def as_number(df: DataFrame, col: Column) -> Column:
-    """Sort column as a double: dates and timestamps in microseconds, numbers as they are."""
-    kind = df.select(col.alias("c")).schema["c"].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    return col.cast("double")
+# Bytes of text that one sort number holds, and numbers of a text column at most.
+_TEXT_BYTES, _TEXT_KEYS = 6, 8
+
+
+def sort_keys(df: DataFrame, order: Sequence[Column]) -> list[Column]:
+    """Numbers that follow the sort columns, for :func:`ordered_buckets`.
+
+    Numbers, dates and timestamps are one number each. A text is its bytes, six per number, and then
+    its length; if a text is longer than those numbers hold, no later column may cut, and the list
+    ends there. Other types cannot be cut and raise an error at any table size.
+    """
+    keys: list[Column] = []
+    for col in order:
+        kind = df.select(col.alias("c")).schema["c"].dataType.typeName()
+        if kind in ("timestamp", "timestamp_ntz", "date"):
+            keys.append(F.unix_micros(col.cast("timestamp")).cast("double"))
+        elif kind in ("string", "varchar", "char", "binary"):
+            raw = col.cast("binary")
+            digits = F.rpad(F.hex(F.substring(raw, 1, _TEXT_BYTES * _TEXT_KEYS)), 2 * _TEXT_BYTES * _TEXT_KEYS, "0")
+            for at in range(_TEXT_KEYS):
+                part = F.substring(digits, 2 * _TEXT_BYTES * at + 1, 2 * _TEXT_BYTES)
+                keys.append(F.conv(part, 16, 10).cast("double"))
+            keys.append(F.octet_length(raw).cast("double"))
+            longest = df.agg(F.max(F.octet_length(raw))).first()[0]
+            if (longest or 0) > _TEXT_BYTES * _TEXT_KEYS:
+                keys.pop()
+                break
+        elif kind in ("array", "map", "struct", "variant"):
+            raise ValueError(f"cannot rank by a column of type {kind}")
+        else:
+            keys.append(col.cast("double"))
+    return keys
 
 
 def average_ranks(df: DataFrame, value: str, output: str = "avg_rank", **sizes: int) -> DataFrame:
@@ -190,7 +216,7 @@ def prefix_sums(
     df: DataFrame, order: Sequence[Column], sums: dict[str, str], **sizes: int
 ) -> DataFrame:
     """Running sums over the whole table in sort order: ``{column: output}``, own row included."""
-    cut, buckets = ordered_buckets(df, [as_number(df, col) for col in order], **sizes)
+    cut, buckets = ordered_buckets(df, sort_keys(df, order), **sizes)
     inside = _partitioned(buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = cut
     for column, output in sums.items():

@@ -8,13 +8,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomaloom.functions.numeric import last_items, left_pad
-from anomaloom.operators.joins import bounded_rows, lookup_join
+from anomaloom.operators.joins import lookup_join
 from anomaloom.session import stage
 from anomaloom.sources.datasets import PAD, PAD_ID, UNK, UNK_ID
 
 SHOWN_TOKENS = 20
-# Entries up to which a vocabulary is put into the expression itself.
+# Entries and characters up to which a vocabulary is put into the expression itself. A larger one is
+# joined; the results are the same.
 LITERAL_ENTRIES = 20_000
+LITERAL_CHARACTERS = 1_000_000
 
 
 def check_vocab_limits(sequence_length: int, max_vocab: int, min_frequency: int) -> None:
@@ -67,22 +69,28 @@ def build_vocab(
     return stage(special.unionByName(numbered), "vocab")
 
 
-def vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column] | None:
+def vocab_lookup(vocab: DataFrame, entries: int = LITERAL_ENTRIES) -> Callable[[Column], Column] | None:
     """Token -> id (null if unknown) as an expression, or None for a large vocabulary.
 
     The SQL map look-up scans its entries, so the entries are spread over small maps by hash.
     """
-    hashed = bounded_rows(vocab.select("token", "token_id", F.hash("token").alias("h")), LITERAL_ENTRIES)
-    if hashed is None:
+    count, characters = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("token")), F.lit(0))).first()
+    if count > entries or characters > LITERAL_CHARACTERS:
         return None
-    shelves = max(1, len(hashed) // 4)
+    shelves = max(1, count // 4)
     maps: list[dict[str, int]] = [{} for _ in range(shelves)]
-    for row in hashed:
+    for row in vocab.select("token", "token_id", F.hash("token").alias("h")).collect():
         maps[row.h % shelves][row.token] = row.token_id
     table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
     return lambda token: F.get(table, F.pmod(F.hash(token), F.lit(shelves)))[token]
 
 
+def unknown_id(vocab: DataFrame) -> int:
+    """Id of unknown tokens: the vocabulary's own, else 1."""
+    row = vocab.where(F.col("token") == UNK).select("token_id").first()
+    return UNK_ID if row is None else row["token_id"]
+
+
 def encode_tokens(
     df: DataFrame,
     vocab: DataFrame,
@@ -90,58 +98,66 @@ def encode_tokens(
     tokens: str = "tokens",
     output: str = "token_ids",
     key: Sequence[str] = (),
+    literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
-    """Ids of the last ``length`` tokens, unknown ones 1, zeros in front.
+    """Ids of the last ``length`` tokens, unknown ones the id of ``<UNK>``, zeros in front; a null array
+    gives null. Rows may be equal; ``key`` is not needed and kept for callers that pass it.
 
     Without a shuffle where the vocabulary is small enough; otherwise by a look-up join of the
-    tokens, regrouped by ``key``.
+    tokens, regrouped by row.
     """
     check_vocab_limits(length, 2, 1)
-    tail = last_items(F.col(tokens), length)
-    lookup = vocab_lookup(vocab)
+    unk = F.lit(unknown_id(vocab))
+    lookup = vocab_lookup(vocab, literal_entries)
     if lookup is not None:
-        unk = F.coalesce(lookup(F.lit(UNK)), F.lit(UNK_ID))
-        ids = F.transform(tail, lambda token: F.coalesce(lookup(token), unk))
+        ids = F.transform(last_items(F.col(tokens), length), lambda token: F.coalesce(lookup(token), unk))
         return df.withColumn(output, left_pad(ids, length, F.lit(PAD_ID)))
-    joined = _joined_tokens(df.select(*key, tail.alias("__tail")), vocab, key, "__tail")
-    item = F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
-    ids = joined.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("__ids")
-    )
-    ids = ids.select(*key, F.col("__ids.id").alias("__ids"))
-    return (
-        df.join(ids, list(key))
-        .withColumn(output, left_pad(F.col("__ids"), length, F.lit(PAD_ID)))
-        .drop("__ids")
-    )
+    rows, found = _looked_up(df.withColumn("__tail", last_items(F.col(tokens), length)), vocab, "__tail")
+    item = F.struct("pos", F.coalesce("token_id", unk).alias("id"))
+    ids = found.groupBy("__row").agg(F.sort_array(F.collect_list(item)).alias("__ids"))
+    joined = rows.join(ids, "__row", "left").withColumn("__found", F.coalesce(F.col("__ids.id"), F.array().cast("array<int>")))
+    padded = left_pad(F.col("__found"), length, F.lit(PAD_ID))
+    return joined.withColumn(output, F.when(F.col("__tail").isNotNull(), padded)).select(*df.columns, output)
+
 
+def _looked_up(df: DataFrame, vocab: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number of their own, and their tokens one by one with ids (null if unknown).
 
-def _joined_tokens(df: DataFrame, vocab: DataFrame, key: Sequence[str], tokens: str) -> DataFrame:
-    if not key:
-        raise ValueError("a large vocabulary needs the key columns of the rows")
-    exploded = df.select(*key, F.posexplode_outer(tokens).alias("pos", "token"))
-    return lookup_join(exploded, vocab, ["token"])
+    The numbered rows are written down, since both results must see the same numbers.
+    """
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    exploded = rows.select("__row", F.posexplode(tokens).alias("pos", "token"))
+    return rows, lookup_join(exploded, vocab, ["token"])
 
 
 def unknown_tokens(
-    df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: Sequence[str] = ()
+    df: DataFrame,
+    vocab: DataFrame,
+    tokens: str = "tokens",
+    key: Sequence[str] = (),
+    literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
-    """Add known and unknown token counts, the first unknown tokens and the last tokens."""
-    lookup = vocab_lookup(vocab)
+    """Add known and unknown token counts, the first unknown tokens and the last tokens; all null for a
+    null array. Rows may be equal; ``key`` is not needed and kept for callers that pass it."""
+    lookup = vocab_lookup(vocab, literal_entries)
     if lookup is not None:
         marked = df.withColumn("__unknown", F.filter(tokens, lambda token: lookup(token).isNull()))
     else:
-        joined = _joined_tokens(df.select(*key, tokens), vocab, key, tokens)
-        missing = F.col("pos").isNotNull() & F.col("token_id").isNull()
-        found = joined.groupBy(*key).agg(
-            F.sort_array(F.collect_list(F.when(missing, F.struct("pos", "token")))).alias("__items")
+        rows, found = _looked_up(df, vocab, tokens)
+        missing = found.where(F.col("token_id").isNull()).groupBy("__row").agg(
+            F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("__items")
+        )
+        none = F.array().cast("array<string>")
+        marked = rows.join(missing, "__row", "left").withColumn(
+            "__unknown", F.when(F.col(tokens).isNotNull(), F.coalesce(F.col("__items.token"), none))
         )
-        marked = df.join(found.select(*key, F.col("__items.token").alias("__unknown")), list(key))
+    size = F.when(F.col(tokens).isNotNull(), F.size(tokens))
+    unknown = F.when(F.col(tokens).isNotNull(), F.size("__unknown"))
     return marked.select(
         *df.columns,
-        F.size(tokens).alias("event_token_count"),
-        (F.size(tokens) - F.size("__unknown")).alias("known_event_count"),
-        F.size("__unknown").alias("unknown_event_count"),
+        size.alias("event_token_count"),
+        (size - unknown).alias("known_event_count"),
+        unknown.alias("unknown_event_count"),
         F.slice("__unknown", 1, SHOWN_TOKENS).alias("unknown_event_tokens"),
         last_items(F.col(tokens), SHOWN_TOKENS).alias("event_tokens_tail"),
     )

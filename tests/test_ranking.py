@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from anomaloom.operators import evaluation, ranking
+from anomaloom.operators.ranking import row_number_in_order
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +106,22 @@ def test_random_curves(spark, pairs):
     assert got == (None if auc is None else pytest.approx(auc))
     got = evaluation.average_precision(df, rows_per_bucket=7).first()[0]
     assert got == (None if precision is None else pytest.approx(precision))
+
+
+@pytest.mark.parametrize("longest", [30, 60])
+def test_text_order_is_cut_like_numbers(spark, longest):
+    """Texts with long common starts, zero bytes, nulls and other scripts; several cuts."""
+    rng = random.Random(12)
+    texts = ["blk_" + "0" * rng.randrange(longest - 12) + str(rng.randrange(30)) for _ in range(600)]
+    texts += ["a", "a\0", "é", "日本", "", "blk_"] * 20 + [None] * 40
+    rows = [(i, t, rng.randrange(5)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, t string, v int").repartition(6)
+    got = row_number_in_order(df, [], [F.col("t"), F.col("v"), F.col("i")], "rn", rows_per_bucket=40).collect()
+    key = lambda r: (r[1] is not None, (r[1] or "").encode(), r[2], r[0])
+    wanted = {r[0]: at + 1 for at, r in enumerate(sorted(rows, key=key))}
+    assert {r.i: r.rn for r in got} == wanted
+
+
+def test_order_by_a_struct_is_refused(spark):
+    with pytest.raises(ValueError):
+        row_number_in_order(spark.range(3).select(F.struct("id").alias("s")), [], [F.col("s")], "rn")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from anomaloom.operators import vocab
 from anomaloom.operators.computed import computed
-from anomaloom.operators.joins import bounded_rows, lookup_join
+from anomaloom.operators.joins import lookup_join
 from anomaloom.session import shared_folder, stage
 
 
@@ -19,20 +19,23 @@ def test_stage_reads_files_back(spark):
     assert all(Path(path.removeprefix("file://")).is_relative_to(shared_folder(spark)) for path in staged.inputFiles())
 
 
-def test_bounded_rows(spark):
-    assert len(bounded_rows(spark.range(5), 5)) == 5
-    assert bounded_rows(spark.range(6), 5) is None
-
-
-@pytest.mark.parametrize("limit", [0, 100])
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_join_both_ways(spark, limit, how):
-    """A hot key, a missing one, copies of a row."""
-    df = spark.createDataFrame([("a", 1)] * 50 + [("b", 2), ("c", 3)], "k string, v int")
-    table = spark.createDataFrame([("a", 10), ("b", 20)], "k string, w int")
-    got = lookup_join(df, table, ["k"], how, rows=limit)
-    expected = df.join(table, "k", how)
-    assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+def test_lookup_join_both_ways(spark, threshold, how):
+    """A hot key, a missing one, copies of a row, a map inside a struct; shuffled and broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.createDataFrame([("a", 1)] * 50 + [("b", 2), ("c", 3)], "k string, v int").withColumn(
+            "s", F.struct(F.create_map(F.lit("x"), F.col("v")).alias("m"))
+        )
+        table = spark.createDataFrame([("a", 10), ("b", 20)], "k string, w int")
+        got = sorted(str((r["k"], r["v"], r["s"])) for r in lookup_join(df, table, ["k"], how).collect())
+        wanted = {"inner": "ab", "left": "abc", "left_semi": "ab", "left_anti": "c"}[how]
+        expected = sorted(str((r["k"], r["v"], r["s"])) for r in df.collect() if r["k"] in wanted)
+        assert got == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_computed_column_is_evaluated_once(spark):
