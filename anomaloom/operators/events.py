@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -91,24 +91,61 @@ def assemble_sequences(
 def sequence_tails(
     events: DataFrame, key: Sequence[str], order: Sequence[Column], n: int, event: str = "event", salt: int = 64
 ) -> DataFrame:
-    """The last ``n`` events of each key as one array, and ``event_count``.
+    """The last ``n`` events of each key as one array, and ``event_count``."""
+    tails = end_items(events, key, order, n, F.desc, event, salt)
+    totals = events.groupBy(*key).agg(F.count(F.lit(1)).alias("event_count"))
+    return tails.join(totals, list(key)).select(*key, F.col("items").alias("tail"), "event_count")
+
+
+def end_items(
+    events: DataFrame,
+    key: Sequence[str],
+    order: Sequence[Column],
+    n: int,
+    direction: Callable[[str], Column] = F.asc,
+    event: str = "event",
+    salt: int = 64,
+) -> DataFrame:
+    """``key, items``: the first (``F.asc``) or last (``F.desc``) ``n`` events of each key, in order.
 
-    Two steps: the last ``n`` of each of ``salt`` random shares of a key, then of what is left, so a
-    hot key is spread over ``salt`` tasks.
+    Two steps: the ``n`` of each of ``salt`` random shares of a key, then of what is left, so a hot key
+    is spread over ``salt`` tasks.
     """
-    place = F.struct(*order)
-    shares = events.withColumn("__place", place).withColumn(
+    shares = events.withColumn("__place", F.struct(*order)).withColumn(
         "__share", F.pmod(F.xxhash64("__place"), F.lit(salt)).cast("int")
     )
-    newest = Window.partitionBy(*key, "__share").orderBy(F.desc("__place"))
-    kept = shares.withColumn("__at", F.row_number().over(newest)).where(F.col("__at") <= n)
-    again = Window.partitionBy(*key).orderBy(F.desc("__place"))
+    within = Window.partitionBy(*key, "__share").orderBy(direction("__place"))
+    kept = shares.withColumn("__at", F.row_number().over(within)).where(F.col("__at") <= n)
+    again = Window.partitionBy(*key).orderBy(direction("__place"))
     kept = kept.withColumn("__at", F.row_number().over(again)).where(F.col("__at") <= n)
-    tails = kept.groupBy(*key).agg(
+    ends = kept.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("__place", F.col(event).alias("token")))).alias("__items")
     )
-    totals = events.groupBy(*key).agg(F.count(F.lit(1)).alias("event_count"))
-    return tails.join(totals, list(key)).select(*key, F.col("__items.token").alias("tail"), "event_count")
+    return ends.select(*key, F.col("__items.token").alias("items"))
+
+
+def line_statistics(found: DataFrame, key: Sequence[str], known: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All counters of a key in one aggregate over the output of :func:`line_events`: rule counts, event
+    counts, extraction counters and ``n_lines``.
+
+    ``known`` adds a boolean column ``known`` to rows that have ``event``.
+    """
+    exploded = found.select(*key, "id_count", F.posexplode_outer("events").alias("pos", "event"))
+    opens = F.coalesce(F.col("pos") == 0, F.lit(True))  # one row per line
+    ids = F.when(opens, F.col("id_count")).otherwise(0)
+    there = F.col("event").isNotNull()
+    return event_counts(
+        known(exploded),
+        key,
+        "event",
+        F.count_if(opens).alias("n_lines"),
+        F.count("event").alias("event_token_count"),
+        F.count_if(there & F.col("known")).alias("known_event_count"),
+        F.count_if(there & ~F.col("known")).alias("unknown_event_count"),
+        F.coalesce(F.sum(ids), F.lit(0)).cast("bigint").alias("from_event_id"),
+        F.count_if(opens & (F.col("id_count") == 0) & there).alias("from_template"),
+        F.count_if(~there).alias("unmatched_lines"),
+    )
 
 
 def event_counts(events: DataFrame, key: Sequence[str], event: str = "event", *extra: Column) -> DataFrame:

@@ -141,6 +141,7 @@ def incident_record(df: DataFrame) -> DataFrame:
             "known_event_count",
             "unknown_event_count",
             "unknown_event_tokens",
+            optional(df, "sequence_length", "int").alias("sequence_length"),
             counters["from_event_id"].alias("event_tokens_from_event_id"),
             counters["from_template"].alias("event_tokens_from_template_inference"),
             counters["unmatched_lines"].alias("unmatched_log_lines"),

@@ -11,7 +11,7 @@ from anomaloom.operators import models
 from anomaloom.operators.vocab import build_vocab
 from anomaloom.plans.block_dataset import prepare_block_dataset
 from anomaloom.plans.flow_dataset import prepare_flow_dataset
-from anomaloom.plans.log_analysis import analyze_lines, analyze_sequences
+from anomaloom.plans.log_analysis import analyze_lines, analyze_sequences, rejected_keys
 from anomaloom.sources import csv_files, datasets
 from anomaloom.streaming.incidents import stream_incidents, write_alerts_stream
 
@@ -144,6 +144,8 @@ def test_analysis_of_lines_and_sequences(spark, model):
     records = analyze_lines(df, ["source"], ["line_no"], vocab, fitted, ["Normal", "Anomaly"])
     got = {r.response.event_name: r.response for r in records.collect()}
     assert set(got) == {"a", "b"}
+    assert [tuple(r) for r in rejected_keys(df, ["source"]).collect()] == [("c", 1)]
+    assert got["a"].input.source_value == "3 line(s)" and got["a"].metadata.sequence_length == 128
     assert got["a"].anomaly_detected and got["a"].anomaly_type == "Node_Failure"
     assert got["a"].metadata.unmatched_log_lines == 1 and got["a"].metadata.event_tokens_from_event_id == 3
     assert not got["b"].anomaly_detected and got["b"].anomaly_type == "Normal"
@@ -154,6 +156,19 @@ def test_analysis_of_lines_and_sequences(spark, model):
     assert (one.anomaly_type, one.confidence) == ("Node_Failure", pytest.approx(got["a"].confidence))
 
 
+def test_counts_cover_events_beyond_the_model(spark, model):
+    """300 events, the first 100 unknown; the model reads 128."""
+    vocab, fitted = model
+    lines = [("k", i, f"E{900 + i}" if i < 100 else "E22") for i in range(300)]
+    df = spark.createDataFrame(lines, "source string, line_no int, line string").repartition(5)
+    got = analyze_lines(df, ["source"], ["line_no"], vocab, fitted, ["Normal", "Anomaly"]).first()
+    meta = got.response.metadata
+    assert got.response.input.event_token_count == 300 and len(got.incident.event_names) == 128
+    assert (meta.known_event_count, meta.unknown_event_count) == (200, 100)
+    assert meta.unknown_event_tokens == [f"e{900 + i}" for i in range(20)]
+    assert got.response.input.event_tokens_tail == ["e22"] * 20
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Events in several files, out of order within the watermark; a session and a fixed window."""
     rng = random.Random(8)
