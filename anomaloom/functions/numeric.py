@@ -19,8 +19,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def joined_cells(cells: Sequence[Column]) -> Column:
-    """Text cells in one string, nulls as blanks."""
-    return F.concat_ws(_CELL_END, *(F.coalesce(cell.cast("string"), F.lit("")) for cell in cells))
+    """Text cells in one string, nulls as blanks. The separator inside a cell becomes a mark that no
+    number has."""
+    texts = (F.coalesce(cell.cast("string"), F.lit("")) for cell in cells)
+    return F.concat_ws(_CELL_END, *(F.replace(text, F.lit(_CELL_END), F.lit("#")) for text in texts))
 
 
 def numbers_of_cells(joined: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,13 +48,42 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([first.value.removeprefix("﻿")]), []) if first else []
 
 
-def _read_rows(spark: SparkSession, paths: str | list[str], width: int) -> DataFrame:
+def distinct_headers(
+    spark: SparkSession, directory: str, max_files: int | None = None, pattern: str = "*.csv"
+) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Each distinct header of the files of a folder with the files that have it, in name order.
+
+    One job reads the first line of every file; headers that are equal as text come back once, with
+    the paths their scans need. ``max_files`` takes the first files by name.
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", pattern)
+        .text(directory)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+        .where(F.col("start") == 0)
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    listed = listed.select("path", F.col("_metadata.file_path").alias("file"))
+    if max_files is not None:
+        listed = listed.orderBy("path").limit(max_files)
+    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("header")).join(listed, "file")
+    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    found = [
+        (tuple(next(csv.reader([row["header"].removeprefix("\ufeff")]), [])), row["paths"])
+        for row in grouped.collect()
+    ]
+    return sorted(((header, paths) for header, paths in found if header), key=lambda item: item[1][0])
+
+
+def _read_rows(spark: SparkSession, paths: str | list[str], width: int, multi_line: bool = False) -> DataFrame:
     schema = ", ".join(f"c{i} STRING" for i in range(width))
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(paths)
     )
 
@@ -114,37 +142,33 @@ def read_flow_csvs(
     max_files: int | None = None,
     target_count: int = 80,
     add_totals: bool = True,
+    multi_line: bool = False,
 ) -> FlowTable:
     """All flow CSVs of a folder, one scan per distinct header.
 
     The first header sets the features; the other files are read by name, and a column they lack
-    counts as 0. Files without a header are skipped.
+    counts as 0. Files without a header are skipped. With ``multi_line`` a quoted cell may hold line
+    breaks; such files cannot be split, so each is read by one task.
     """
     if max_files is not None and max_files <= 0:
         raise ValueError("max_files must be positive")
-    paths = list_files(spark, directory)[:max_files]
-    if not paths:
-        raise FileNotFoundError(f"no CSV files in {directory}")
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda path: tuple(read_header(spark, path)), paths))
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(paths, headers):
-        if header:
-            by_header.setdefault(header, []).append(path)
+    by_header = distinct_headers(spark, directory, max_files)
     if not by_header:
+        if not list_files(spark, directory):
+            raise FileNotFoundError(f"no CSV files in {directory}")
         raise ValueError(f"no CSV header in {directory}")
-    first = next(iter(by_header))
+    first = by_header[0][0]
     label = require_column(first, FLOW_LABEL_COLUMNS, directory)
     sources = select_feature_columns(first, label)
     if not sources:
         raise ValueError(f"no feature columns in {directory}")
     parts = []
-    for header, files in by_header.items():
+    for header, files in by_header:
         cells = _cells(header)
         raw_label = cells[require_column(header, FLOW_LABEL_COLUMNS, files[0])]
         values = [cells.get(name, F.lit("0")) for name in sources]
         totals = total_cells(cells) if add_totals else ()
-        scanned = with_position(_read_rows(spark, files, len(header)))
+        scanned = with_position(_read_rows(spark, files, len(header), multi_line))
         featured = with_flow_features(scanned, values, totals, target_count)
         parts.append(featured.select(*POSITION, F.coalesce(raw_label, F.lit("")).alias("raw_label"), "features"))
     rows = reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from anomaloom.functions import labels, numeric
 from anomaloom.operators import classes, flows, normalization, splits, windows
+from anomaloom.sources import csv_files
 
 CELLS = {
     "1": 1.0, "1,234": 1234.0, " 5 ": 5.0, "1d": 0.0, "2F": 0.0, "0x1p3": 0.0, "Infinity": 0.0, "-inf": 0.0, "nan": 0.0,
@@ -56,7 +57,7 @@ LABELS = [
     ("DoS GoldenEye", "DoS-GoldenEye", "DoS"), ("DoS slowloris", "DoS-Slowloris", "DoS"),
     ("DoS attacks-SlowHTTPTest", "DoS-SlowHTTPTest", "DoS"), ("Infilteration", "Infiltration", "Infiltration"),
     (' "Bot" ', "Botnet", "Botnet"), ("Label", None, None), ("", None, None), (None, None, None),
-    ("SomeFutureAttack", None, "OtherAttack"), ("DDoS", None, "OtherAttack"), ("!!", None, "OtherAttack"),
+    ("Zeta-Storm", None, "OtherAttack"), ("DDoS", None, "OtherAttack"), ("!!", None, "OtherAttack"),
 ]
 
 
@@ -70,7 +71,7 @@ def test_label_schemas(spark):
     assert named("fine") == [fine for _, fine, _ in LABELS]
     assert named("family") == [family for _, _, family in LABELS]
     assert named("binary") == [None if fam is None else "Benign" if fam == "Benign" else "Anomaly" for _, _, fam in LABELS]
-    assert named("fine", False)[-3:] == ["SomeFutureAttack", "DDoS", "!!"]
+    assert named("fine", False)[-3:] == ["Zeta-Storm", "DDoS", "!!"]
     with pytest.raises(ValueError):
         flows.with_canonical_label(df, "raw", "label", "other")
 
@@ -232,3 +233,20 @@ def test_parameter_checks(spark):
         windows.check_window_shape(1, 0)
     with pytest.raises(ValueError):
         classes.merge_rare_classes(spark.range(1), -1)
+
+
+def test_many_files_three_headers_and_line_breaks(spark, tmp_path):
+    """One job for all headers; a quoted line break as an option; a separator byte in a cell."""
+    for i in range(60):
+        header = ["a,b,Label", "b,a,Label", "a,c,Label"][i % 3]
+        (tmp_path / f"f{i:02}.csv").write_text(f"{header}\n{i},{i + 100},Benign\n")
+    table = csv_files.read_flow_csvs(spark, str(tmp_path), target_count=2, add_totals=False)
+    got = sorted(tuple(r.features) for r in table.rows.collect())
+    assert got == sorted((float(i), i + 100.0) if i % 3 == 0 else (i + 100.0, float(i)) if i % 3 == 1 else (float(i), 0.0) for i in range(60))
+    assert [len(paths) for _, paths in csv_files.distinct_headers(spark, str(tmp_path))] == [20, 20, 20]
+    assert csv_files.read_flow_csvs(spark, str(tmp_path), 2, 2, False).rows.count() == 2
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    (odd / "x.csv").write_text('a,note,Label\n1,"two\nlines",Benign\n2\x013,5,Benign\n')
+    rows = csv_files.read_flow_csvs(spark, str(odd), target_count=2, add_totals=False, multi_line=True).rows.collect()
+    assert sorted(tuple(r.features) for r in rows) == [(0.0, 5.0), (1.0, 0.0)]
