@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from anomaloom.functions.labels import BINARY_CLASSES, FAMILY_CLASSES, FINE_CLASSES, check_label_schema
 from anomaloom.operators.joins import lookup_join
+from anomaloom.sources.datasets import SPLITS
 
 RARE_BUCKET = "OtherAttack"
 PROTECTED = ("Benign", "Anomaly")
@@ -80,7 +81,10 @@ def index_classes(df: DataFrame, classes: DataFrame, label: str = "label", outpu
 def class_counts(
     df: DataFrame, classes: DataFrame, label: str = "y", by: Sequence[str] = ()
 ) -> DataFrame:
-    """``[by,] class_index, class_name, n`` with zeros for classes that do not occur."""
+    """``[by,] class_index, class_name, n`` with zeros for classes that do not occur.
+
+    By ``split`` alone all three splits are listed, also those without rows.
+    """
     counted = df.groupBy(*by, F.col(label).alias("class_index")).agg(F.count(F.lit(1)).alias("n"))
     if not by:
         return classes.join(counted, "class_index", "left").select(
@@ -91,7 +95,11 @@ def class_counts(
         *(F.struct(F.lit(r.class_index).alias("class_index"), F.lit(r.class_name).alias("class_name"))
           for r in classes.collect())
     )
-    grid = counted.select(*by).distinct().select(*by, F.inline(names))
+    if list(by) == ["split"]:
+        groups = df.sparkSession.createDataFrame([(name,) for name in SPLITS], "split string")
+    else:
+        groups = counted.select(*by).distinct()
+    grid = groups.select(*by, F.inline(names))
     return grid.join(counted, [*by, "class_index"], "left").select(
         *by, "class_index", "class_name", F.coalesce("n", F.lit(0)).alias("n")
     )

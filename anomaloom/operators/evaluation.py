@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from anomaloom.functions.numeric import argmax, let, safe_ratio, softmax
 from anomaloom.operators.joins import lookup_join
 from anomaloom.operators.ranking import average_ranks, prefix_sums
+from anomaloom.session import stage
 
 MIN_SUPPORT = 20
 
@@ -24,13 +25,19 @@ def confusion_matrix(
     df: DataFrame, n_classes: int, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
     """``label, prediction, n`` for all pairs of classes; rows outside them are ignored."""
-    inside = F.col(label).between(0, n_classes - 1) & F.col(prediction).between(0, n_classes - 1)
+    pair = (F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+    return filled_confusion(df.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")), n_classes)
+
+
+def filled_confusion(counts: DataFrame, n_classes: int) -> DataFrame:
+    """Counted pairs (``label, prediction, n``) of the classes, with zeros for those that do not occur."""
+    inside = F.col("label").between(0, n_classes - 1) & F.col("prediction").between(0, n_classes - 1)
     counted = (
-        df.where(inside)
-        .groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        counts.where(inside)
+        .groupBy(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        .agg(F.sum("n").alias("n"))
     )
-    cells = df.sparkSession.range(n_classes * n_classes).select(
+    cells = counts.sparkSession.range(n_classes * n_classes).select(
         F.floor(F.col("id") / n_classes).cast("int").alias("label"),
         (F.col("id") % n_classes).cast("int").alias("prediction"),
     )
@@ -194,16 +201,34 @@ def classification_report(
     logits: str = "logits",
     order: str = "id",
 ) -> ClassificationReport:
-    """All metrics of labelled logits (``order`` breaks ties of the average precision)."""
+    """All metrics of labelled logits (``order`` breaks ties of the average precision).
+
+    The model behind the logits runs once: its thin output is staged. Loss, accuracy and confusion come
+    from one pass, grouped by class pair; the ranks from the two others.
+    """
     scored = anomaly_columns(class_probabilities(df, logits), normal_index, label)
-    confusion = confusion_matrix(scored, n_classes, label)
+    loss = cross_entropy(F.col(logits).cast("array<double>"), F.col(label))
+    thin = stage(
+        scored.select(
+            F.col(order).alias("id"), F.col(label).alias("label"), "prediction", loss.alias("loss"), "anomaly", "anomaly_score"
+        ),
+        "scored",
+    )
+    cells = stage(
+        thin.groupBy("label", "prediction").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"), F.count("loss").alias("losses")
+        ),
+        "cells",
+    )
+    confusion = filled_confusion(cells, n_classes)
     per_class = per_class_metrics(confusion, classes)
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
     parts = (
-        log_loss(scored, logits, label),
-        accuracy(scored, label),
+        cells.agg(F.coalesce(safe_ratio(F.sum("loss"), F.sum("losses")), F.lit(0.0)).alias("loss")),
+        cells.agg(F.coalesce(safe_ratio(right, F.sum("n")), F.lit(0.0)).alias("accuracy")),
         macro_f1(per_class),
-        roc_auc(scored),
-        average_precision(scored, order=order),
+        roc_auc(thin),
+        average_precision(thin),
     )
     summary = reduce(DataFrame.unionByName, (_as_metric(part) for part in parts))
     return ClassificationReport(summary, per_class, confusion)

@@ -75,9 +75,11 @@ def stratified_split(
     return lookup_join(ranked, quotas, [label], "inner").select(*df.columns, split.alias("split"))
 
 
-def shuffle(df: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Seeded random order."""
-    return df.orderBy(F.rand(seed))
+def shuffle(df: DataFrame, ids: Sequence[str], seed: int = DEFAULT_SEED, output: str = "position") -> DataFrame:
+    """Place of every row in a seeded random order (from 1), the same under any partitioning."""
+    hashed = df.withColumn("__h", hash_order(seed, *(F.col(name) for name in ids)))
+    hashed = hashed.withColumn("__hb", hash_bucket(F.col("__h")))
+    return row_number_by_bucket(hashed, [], ["__hb"], ["__h", *ids], output).select(*df.columns, output)
 
 
 def balanced_resample(

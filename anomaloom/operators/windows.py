@@ -16,7 +16,7 @@ from anomaloom.operators.ranking import hash_bucket, hash_order, row_number_by_b
 
 # Rows of a file that are laid out together, beside the rows shared with the next block.
 BLOCK_ROWS = 1024
-DEFAULT_LENGTH, DEFAULT_STRIDE, DEFAULT_MAX_WINDOWS = 64, 4, 30_000
+DEFAULT_LENGTH, DEFAULT_STRIDE = 64, 4
 
 
 def check_window_shape(length: int, stride: int) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomaloom.functions import labels, numeric
@@ -12,13 +14,12 @@ from anomaloom.operators.ranking import row_number_in_order
 from anomaloom.plans.catalog.inputs import FLOW_FEATURES, FLOW_ORDER, FLOWS, flow_order
 from anomaloom.plans.catalog.inputs import flows as flow_rows
 from anomaloom.plans.catalog.registry import query, table
-from anomaloom.session import stage
+from anomaloom.session import shared_folder, stage
+from anomaloom.sources.csv_files import with_position
 
 _ID = ("l_suppkey", *FLOW_ORDER)
 _ID_SQL = ", ".join(_ID)
 _ORDER_SQL = ", ".join(FLOW_ORDER)
-# Small enough that the test tables are cut into several buckets.
-_SMALL = {"rows_per_bucket": 5_000}
 _REST = ("l_suppkey", "raw_label", "features")
 
 # --- cells ----------------------------------------------------------------------------------
@@ -139,7 +140,7 @@ def numbered_flows(spark: SparkSession, d: str, file: str = "l_suppkey") -> Data
     """Parsed once, numbered once: both steps are staged, as in the flow job."""
     order = [*flow_order(), F.col("l_suppkey")]
     parsed = stage(labelled_flows(spark, d, file), "parsed")
-    return stage(windows.number_rows(parsed, "file", order, **_SMALL), "flows")
+    return stage(windows.number_rows(parsed, "file", order), "flows")
 
 
 def _numbered_sql(file: str = "l_suppkey") -> str:
@@ -159,12 +160,18 @@ def valid_row_number(spark, d):
 
 
 @query(f"""WITH raw AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER_SQL}) AS rn FROM lineitem)
-SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, rn FROM raw WHERE rn <= 100""")
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM raw WHERE rn <= 100""")
 def row_cap_per_file(spark, d):
-    """The cap is the operator: the first hundred rows of every file."""
-    rows = table(spark, d, "lineitem").select("l_suppkey", *FLOW_ORDER)
-    capped = row_number_in_order(rows, ["l_suppkey"], flow_order(), "rn", at_most=100, **_SMALL)
-    return capped.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "rn")
+    """The cap is the operator: the first hundred rows of every supplier's file."""
+    path = f"{shared_folder(spark).rstrip('/')}/suppliers-{uuid.uuid4().hex}"
+    names = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+    rows = table(spark, d, "lineitem").repartition("l_suppkey").sortWithinPartitions("l_suppkey", *flow_order())
+    line = F.concat_ws(",", *names)
+    rows.select(F.col("l_suppkey").alias("supplier"), line.alias("value")).write.partitionBy("supplier").text(path)
+    capped = windows.row_cap_per_file(with_position(spark.read.text(path)), 100)
+    cells = F.split("value", ",").cast("array<bigint>")
+    kinds = table(spark, d, "lineitem").schema
+    return capped.select(*(cells[i].cast(kinds[name].dataType).alias(name) for i, name in enumerate(names)))
 
 
 def _keys_sql(length: int, stride: int) -> str:
@@ -199,7 +206,7 @@ FROM keys JOIN numbered ON numbered.file = keys.file AND rn BETWEEN last_rn - {l
 @query(_described_sql("l_suppkey", 64, 4))
 def sliding_windows(spark, d):
     numbered = numbered_flows(spark, d)
-    return _described(windows.lay_out_windows(numbered, 64, 4, block_rows=128), windows.window_keys(numbered, 64, 4))
+    return _described(windows.lay_out_windows(numbered, 64, 4), windows.window_keys(numbered, 64, 4))
 
 
 @query(_described_sql("l_orderkey", 4, 2))
@@ -331,9 +338,9 @@ def balanced_resample(spark, d):
     return splits.balanced_resample(table(spark, d, "events").select("event_id", "event_type"), "event_type", ["event_id"], weights)
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY md5('42:' || event_id), event_id) AS position FROM events")
 def shuffle(spark, d):
-    return splits.shuffle(table(spark, d, "events").select("event_id", "event_type"))
+    return splits.shuffle(table(spark, d, "events").select("event_id", "event_type"), ["event_id"])
 
 
 # --- normalisation --------------------------------------------------------------------------

