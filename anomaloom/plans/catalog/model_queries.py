@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -18,6 +19,9 @@ from anomaloom.plans.catalog.inputs import EV, EVENT_ORDER, LINES
 from anomaloom.plans.catalog.log_queries import _LABELS, _TRACES, block_labels, block_traces, log_lines
 from anomaloom.plans.catalog.registry import query, table
 from anomaloom.plans.log_analysis import analyze_lines
+from anomaloom.plans.training import train_and_evaluate
+from anomaloom.session import shared_folder
+from anomaloom.sources.datasets import read_metrics_report, write_dataset
 
 _NAMES = [f"class_{i}" for i in range(10)]
 
@@ -103,6 +107,30 @@ def search_classifier(spark, d):
     )
 
 
+@query(f"""WITH {_SPLIT_SIZES}, shares AS (SELECT split, y, count(*) AS n FROM split GROUP BY 1, 2),
+grid AS (SELECT s.split, c.y FROM (VALUES ('val'), ('test')) s(split) CROSS JOIN range(10) c(y))
+SELECT split, CAST(y AS INTEGER) AS class_index, coalesce(n, 0) AS support, 2 AS settings FROM grid LEFT JOIN shares USING (split, y)""")
+def training_report(spark, d):
+    """Vectors as windows of one row through the whole training job; what its report says of every
+    model: the support of each class, as read back from the written file."""
+    base = f"{shared_folder(spark).rstrip('/')}/training-{uuid.uuid4().hex}"
+    split = embedding_dataset(spark, d).select("id", F.col("y").cast("bigint").alias("y"), "split")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array("embedding").alias("X"))
+    write_dataset(split.join(vectors, "id"), f"{base}/data", {"classes": class_table(spark, _NAMES)})
+    settings = ({"regParam": 0.01, "maxIter": 5}, {"regParam": 0.1, "maxIter": 5})
+    train_and_evaluate(spark, f"{base}/data", f"{base}/out", ["id"], windows=True, settings=settings, balance="weights")
+    written = read_metrics_report(spark, f"{base}/out/report")
+    parts = [
+        written.select(
+            F.lit(name).alias("split"), F.lit(i).alias("class_index"),
+            F.col(f"metrics.{place}.per_class.class_{i}.support").alias("support"), F.size("metrics.history").alias("settings"),
+        )
+        for name, place in (("val", "best_val"), ("test", "test"))
+        for i in range(10)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def block_model(spark: SparkSession, d: str):
     """Labelled blocks and a classifier on their token counts."""
     rows = block_traces(spark, d).join(block_labels(spark, d), "block_id")
