@@ -23,13 +23,15 @@ class Settings:
 
     ``sample_rows`` bounds the labelled rows that training reads (about so many, taken by a hash of
     their id); everything else covers all rows. The sample is dealt to ``shards`` tasks by another
-    hash; each follows the regularised leader over its share, and the weights are averaged.
+    hash; each follows the regularised leader over its share, ``epochs`` times and until it has made
+    ``least_updates``, and the weights are averaged.
     """
 
     bits: int = 18
     sample_rows: int = 16_000
     shards: int = 6
     epochs: int = 3
+    least_updates: int = 6_000
     alpha: float = 0.3
     beta: float = 1.0
     l1: float = 0.02
@@ -147,7 +149,7 @@ def train_ftrl(
     """Follow the regularised leader over some rows, in an order fixed by a hash of the ids."""
     size = (1 << settings.bits) + 2 * _TRAITS + 2
     z, n = np.zeros(size), np.zeros(size)
-    for epoch in range(settings.epochs):
+    for epoch in range(max(settings.epochs, -(-settings.least_updates // max(len(rows), 1)))):
         for row in np.lexsort((labels, mix(ids.view(np.uint64) + U64(epoch * 1_000_003 + 1)))):
             f, x = rows[row]
             zf, nf = z[f], n[f]
@@ -165,25 +167,28 @@ def _leader(z: np.ndarray, n: np.ndarray, settings: Settings) -> np.ndarray:
     return -(z - np.sign(z) * np.minimum(np.abs(z), settings.l1)) / rate
 
 
-def score_quality(texts: DataFrame, weights: np.ndarray, bits: int) -> DataFrame:
-    """Add ``score`` (0 to 1) to rows that have a binary column ``body``; ``body`` is dropped.
+def score_quality(
+    texts: DataFrame, weights: np.ndarray, bits: int, body_col: str = "body", score_col: str = "score"
+) -> DataFrame:
+    """Replace the binary column ``body_col`` of the texts by their ``score_col`` (0 to 1).
 
-    The weights (2 ** bits numbers) go out once per executor. Empty texts get a score too.
+    The weights (2 ** bits numbers) go out once per executor. Empty texts get a score too. Rows and other
+    columns stay as they are.
     """
     shared = texts.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    kept = [name for name in texts.columns if name != "body"]
+    kept = [name for name in texts.columns if name != body_col]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in stream:
             scores = [
                 1.0 / (1.0 + np.exp(-np.clip(float(w[f] @ x), -35, 35)))
-                for part in texts_of(batch["body"])
+                for part in texts_of(batch[body_col])
                 for f, x in text_features(part, bits)
             ]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[name] for name in kept), pa.array(scores, pa.float64())], names=[*kept, "score"]
+                [*(batch[name] for name in kept), pa.array(scores, pa.float64())], names=[*kept, score_col]
             )
 
-    schema = texts.select(*kept).withColumn("score", F.lit(0.0)).schema
+    schema = texts.select(*kept).withColumn(score_col, F.lit(0.0)).schema
     return texts.mapInArrow(run, schema)
