@@ -34,9 +34,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier, learnt from all labels, does not reject."""
     settings = QualitySettings()
     weights = fit_quality(docs.select("doc_id", "text"), _labels(spark, sf_dir), settings)
-    rows = docs.withColumn("body", F.coalesce("text", F.lit("")).cast("binary"))
-    scored = score_quality(rows, weights, settings.bits)
-    return scored.where(F.col("score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    rows = docs.withColumn("__quality_body", F.coalesce("text", F.lit("")).cast("binary"))
+    scored = score_quality(rows, weights, settings.bits, "__quality_body", "__quality_score")
+    return scored.where(F.col("__quality_score") >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
