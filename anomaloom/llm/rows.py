@@ -6,7 +6,7 @@ again, null and repeated ids are allowed, and rows that share a key share their
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,26 +30,6 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return (left["row_hash"] == right["row_hash"]) & left["row_id"].eqNullSafe(right["row_id"])
 
 
-def batches(
-    work: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function from one that gives columns for a batch."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for columns in work(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema
-                )
-
-    return run
-
-
-def blobs(column: pa.Array) -> Iterator[bytes]:
-    """The values of a binary column, one by one."""
-    return (value.as_py() for value in column)
-
-
 def whole_groups(
     stream: Iterator[pa.RecordBatch], key: str, least_rows: int
 ) -> Iterator[pa.Table]:
@@ -98,7 +78,10 @@ def first_of_groups(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
     alone = classes.where(F.col("class_id").isNull()).select(
         F.col("row_id").alias("first_id"), F.col("row_hash").alias("first_hash")
     ).distinct()
-    same = lambda side: (F.col("__row_hash") == side["first_hash"]) & F.col("__row_id").eqNullSafe(side["first_id"])
+
+    def same(side: DataFrame) -> Column:
+        return (F.col("__row_hash") == side["first_hash"]) & F.col("__row_id").eqNullSafe(side["first_id"])
+
     kept = keyed.join(chosen, same(chosen), "left_semi")
     # Equal rows of a class fall together; grouping by the key needs no order.
     single = kept.groupBy("__row_id", "__row_hash").agg(F.first(F.struct(*names)).alias("row")).select("row.*")

@@ -94,7 +94,9 @@ def literal_score(value: str) -> float:
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(3.0, (entropy >= 2.5) * 0.5 + (entropy >= 3.0) * 0.5 + (kinds >= 2) * 1.0 + (len(value) >= 12) * 0.5 + (kinds >= 3) * 0.5)
+    varied = 0.5 * (entropy >= 2.5) + 0.5 * (entropy >= 3.0)
+    mixed = 1.0 * (kinds >= 2) + 0.5 * (kinds >= 3)
+    return min(3.0, varied + mixed + 0.5 * (len(value) >= 12))
 
 
 def assignments(text: str) -> Iterator[tuple[str, Literal]]:

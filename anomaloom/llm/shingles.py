@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from anomaloom.llm.hashing import BASE_A, BASE_B, MASK, U64, RangeHashes, Texts, gram_hashes, mix
+from anomaloom.llm.hashing import BASE_A, BASE_B, U64, RangeHashes, Texts, gram_hashes, mix
 
 #: Parts beyond the number of differences: a set with that many empty parts is still regular.
 SPARE_PARTS = 2

@@ -65,8 +65,8 @@ def remove_word_repeats(
 
     Words are runs of characters other than blank, tab, LF, VT, FF and CR, taken unchanged. Null and
     empty texts have no words. Rows without an id come first; rows that share an id are ordered by
-    a hash of their text, and of rows equal in both one counts (each is judged as that one). An
-    empty table gives an empty result; other columns are not read.
+    a hash of their text; rows equal in both count as one, and each is judged as that one. An empty
+    table gives an empty result; other columns are not read.
     """
     texts = keyed_texts(docs, id_col, text_col)
     runs = texts.mapInArrow(_runs(window), _RUNS)
@@ -132,13 +132,27 @@ def _runs(window: int):
             order = _order(seed, content, has_id[row], ids[row], marks[row], start)
             seed, content, row, start, n = (column[order] for column in (seed, content, row, start, n))
             # Of the equal runs of a batch the earliest goes on; the others are settled here.
-            again = np.zeros(len(seed), dtype=bool)
-            again[1:] = (seed[1:] == seed[:-1]) & (content[1:] == content[:-1])
-            yield _run_batch(batch.select(["row_id", "row_hash"]).take(pa.array(row)), seed, content, start, n, again)
+            same = np.zeros(len(seed), dtype=bool)
+            same[1:] = (seed[1:] == seed[:-1]) & (content[1:] == content[:-1])
+            twin = _twins(same, has_id[row], ids[row], marks[row], start)
+            keys = batch.select(["row_id", "row_hash"]).take(pa.array(row[~twin]))
+            yield _run_batch(keys, *(column[~twin] for column in (seed, content, start, n, same)))
 
     return run
 
 
+def _twins(same: np.ndarray, *occurrence: np.ndarray) -> np.ndarray:
+    """Rows that are one occurrence with the first row of their content, read from an equal row.
+
+    ``same`` tells which rows have the content of the row before.
+    """
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same)))) if len(same) else same.astype(np.int64)
+    twin = same.copy()
+    for column in occurrence:
+        twin &= column == column[head]
+    return twin
+
+
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = batch["row_id"]
     return ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()), batch["row_hash"].to_numpy()
@@ -166,6 +180,7 @@ def _match_runs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held: pa.RecordBatch | None = None  # first run of the seed, not known to have others yet
     last: tuple[int, int] | None = None
+    head: tuple | None = None  # occurrence that opened the last run
     for batch in stream:
         passed = batch["found"].to_numpy(zero_copy_only=False)
         if passed.any():
@@ -182,8 +197,18 @@ def _match_runs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same_seed[0] = seed[0] == last[0]
             again[0] = same_seed[0] and content[0] == last[1]
         last = (int(seed[-1]), int(content[-1]))
-        if again.any():
-            keep = batch.filter(pa.array(again))
+        ids, has_id, marks = _keys(batch)
+        places = (has_id, ids, marks, batch["start"].to_numpy())
+        opened = np.flatnonzero(again[: int(np.argmin(again))] if not again.all() else again)
+        twin = _twins(again, *places)
+        for i in opened:  # rows that go on with the run of the batch before
+            twin[i] = tuple(place[i] for place in places) == head
+        if not again.all():
+            first = int(np.flatnonzero(~again)[-1])
+            head = tuple(place[first] for place in places)
+        found = again & ~twin
+        if found.any():
+            keep = batch.filter(pa.array(found))
             yield _run_batch(
                 keep,
                 keep["seed"].to_numpy(),
@@ -276,9 +301,10 @@ def _match_windows(window: int):
             ids, has_id, marks = _keys(batch)
             order = _order(grams[at], check[at], has_id[owner], ids[owner], marks[owner], start)
             a, b = grams[at][order], check[at][order]
-            again = np.zeros(len(order), dtype=bool)
-            again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            hit = order[again]
+            same = np.zeros(len(order), dtype=bool)
+            same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            own = owner[order]
+            hit = order[same & ~_twins(same, has_id[own], ids[own], marks[own], start[order])]
             if len(hit):
                 # Neighbouring windows of one piece grow together.
                 hit.sort()

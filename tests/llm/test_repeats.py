@@ -103,6 +103,15 @@ def test_rows_without_ids(spark):
     assert sorted(r.n_removed > 0 for r in got) == [False, False, True, True, True, True]
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_equal_rows_count_as_one(spark, partitions):
+    """A row that occurs three times keeps its first windows, and other rows repeat it."""
+    base, more = " ".join(words(60, 4)), " ".join(words(45, 5) + words(30, 4))
+    rows = [(5, base)] * 3 + [(6, more)] * 2 + [(7, base + " tail")]
+    got = remove_word_repeats(frame(spark, rows).repartition(partitions), window=20).collect()
+    assert sorted((r.row_id, r.n_removed) for r in got) == [(5, 0)] * 3 + [(6, 30)] * 2 + [(7, 60)]
+
+
 def test_empty_tables(spark):
     assert remove_word_repeats(frame(spark, [])).collect() == []
     assert remove_byte_repeats(frame(spark, [])).collect() == []
