@@ -10,7 +10,6 @@ from anomaloom.functions import labels, numeric
 from anomaloom.operators import classes, flows, normalization, splits, windows
 from anomaloom.operators.computed import computed
 from anomaloom.operators.evaluation import dataset_summary as summarize
-from anomaloom.operators.ranking import row_number_in_order
 from anomaloom.plans.catalog.inputs import FLOW_FEATURES, FLOW_ORDER, FLOWS, flow_order
 from anomaloom.plans.catalog.inputs import flows as flow_rows
 from anomaloom.plans.catalog.registry import query, table
