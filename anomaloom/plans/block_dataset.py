@@ -11,7 +11,7 @@ from anomaloom.operators.classes import class_table
 from anomaloom.operators.evaluation import dataset_summary
 from anomaloom.operators.splits import DEFAULT_RATIOS, DEFAULT_SEED, check_ratios, stratified_split
 from anomaloom.operators.vocab import build_vocab, check_vocab_limits, encode_tokens
-from anomaloom.session import stage
+from anomaloom.session import in_staging, stage
 from anomaloom.sources.csv_files import read_block_labels, read_event_traces
 from anomaloom.sources.datasets import write_dataset
 
@@ -30,6 +30,7 @@ class BlockDataset:
     summary: DataFrame
 
 
+@in_staging
 def prepare_block_dataset(
     spark: SparkSession,
     trace_path: str,

@@ -33,7 +33,7 @@ from anomaloom.operators.windows import (
     valid_row_number,
     window_keys,
 )
-from anomaloom.session import stage
+from anomaloom.session import in_staging, stage
 from anomaloom.sources.csv_files import read_flow_csvs
 from anomaloom.sources.datasets import write_dataset
 
@@ -47,6 +47,7 @@ class FlowDataset:
     feature_names: list[str]
 
 
+@in_staging
 def prepare_flow_dataset(
     spark: SparkSession,
     directory: str,

@@ -20,7 +20,7 @@ from anomaloom.operators.models import (
     window_features,
 )
 from anomaloom.operators.splits import DEFAULT_SEED, balanced_resample
-from anomaloom.session import stage
+from anomaloom.session import in_staging, stage
 from anomaloom.sources.datasets import PAD_ID, load_split, read_dataset
 
 #: Settings that are tried in turn, each a mapping of estimator parameters.
@@ -49,6 +49,7 @@ def report_document(report: ClassificationReport, names: Sequence[str]) -> dict:
     return {**summary, "per_class": per_class, "confusion_matrix": matrix}
 
 
+@in_staging
 def train_and_evaluate(
     spark: SparkSession,
     dataset: str,

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +43,38 @@ def shared_folder(spark: SparkSession) -> str:
     return created
 
 
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove what :func:`stage` writes inside the block when the block ends.
+
+    For jobs whose results are in files of their own: nothing they return may read a staged table.
+    """
+    mark = _STAGED.set([])
+    try:
+        yield
+    finally:
+        paths = _STAGED.get()
+        _STAGED.reset(mark)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def in_staging(job: Callable) -> Callable:
+    """A job (session first) that removes its staged tables when it ends, well or not."""
+
+    @wraps(job)
+    def run(spark: SparkSession, *args, **kwargs):
+        with staging(spark):
+            return job(spark, *args, **kwargs)
+
+    return run
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,5 +82,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     later passes read only the columns they need.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (paths := _STAGED.get()) is not None:
+        paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from anomaloom.operators import vocab
 from anomaloom.operators.computed import computed
 from anomaloom.operators.joins import lookup_join
-from anomaloom.session import shared_folder, stage
+from anomaloom.session import in_staging, shared_folder, stage
 
 
 def test_shared_folder_is_the_configured_one(spark):
@@ -70,3 +70,21 @@ def test_no_query_multiplies_tables(spark, sf_dir):
     for name in ("classification_report", "sliding_windows", "roc_auc", "encode_sequences", "incident_record", "stratified_split", "cap_windows", "normalize", "split_class_counts"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_a_job_leaves_no_staged_folder(spark, tmp_path):
+    def folders():
+        return {path.name for path in Path(shared_folder(spark).removeprefix("file://")).iterdir()}
+
+    @in_staging
+    def job(session, fail):
+        stage(session.range(5), "left").write.parquet(str(tmp_path / f"out{fail}"))
+        if fail:
+            raise ValueError("stopped")
+        return session.read.parquet(str(tmp_path / "out0"))
+
+    before = folders()
+    assert job(spark, 0).count() == 5
+    with pytest.raises(ValueError):
+        job(spark, 1)
+    assert folders() == before
