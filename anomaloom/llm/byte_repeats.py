@@ -2,7 +2,8 @@
 
 Every window of ``window`` bytes picks the smallest gram of ``SEED_BYTES`` bytes in it as its seed, so
 equal windows have equal seeds; neighbouring windows with one seed form a run. Equal runs of a seed
-repeat as a whole. A seed's differing runs go to one task with their bytes. There they are cut into
+repeat as a whole. A seed's differing runs go to one task with their bytes; of a more frequent seed the
+windows go out by two hashes instead, and equal ones meet in a sorted stream. In a task the bytes are cut into
 short blocks at places their content chooses, and a suffix array over the blocks tells for every
 block how far the text from it repeats: that settles all windows but those at the edge of a repeat, where
 the windows themselves are compared.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from anomaloom.llm.hashing import (
     RangeHashes,
     anchor_runs,
     gram_hashes,
+    mix,
     texts_of,
 )
 from anomaloom.llm.rows import keyed_texts, same_row, whole_groups
@@ -33,8 +36,11 @@ from anomaloom.llm.suffix_array import longest_repeats, suffix_array
 from anomaloom.session import stage
 
 SEED_BYTES = 32
-#: Differing runs of one seed in a task; a more frequent seed is split by window content.
+#: Differing runs of one seed in a task; a more frequent seed is split into window hashes.
 SEED_RUNS = 20_000
+#: Bytes of pieces, and windows of split seeds, that are collected before they are sent.
+PIECE_BYTES = 1 << 26
+WINDOWS = 1 << 19
 #: A block ends where the hash of its last bytes says so, once in so many bytes.
 _BLOCK_BYTES = 48
 _BLOCK_LOOK = 8
@@ -54,10 +60,24 @@ _RUNS_ARROW = pa.schema(
 _RUNS = "seed long, run long, row_id long, row_hash long, start int, n int, twice boolean, span boolean"
 _SPANS_ARROW = pa.schema([*_KEYS, ("start", pa.int32()), ("n", pa.int32())])
 _SPANS = "row_id long, row_hash long, start int, n int"
+# Kinds of rows, in the order in which a task reads them: a span that is settled, a window of a split
+# seed by its two hashes (task and check), the bytes of a run.
+_FOUND, _WINDOW, _PIECE = range(3)
 _PIECES_ARROW = pa.schema(
-    [("task", pa.int64()), *_KEYS, ("start", pa.int32()), ("twice", pa.bool_()), ("piece", pa.binary())]
+    [
+        ("kind", pa.int32()),
+        ("task", pa.int64()),
+        ("check", pa.int64()),
+        *_KEYS,
+        ("start", pa.int32()),
+        ("n", pa.int32()),
+        ("twice", pa.bool_()),
+        ("piece", pa.binary()),
+    ]
+)
+_PIECES = (
+    "kind int, task long, check long, row_id long, row_hash long, start int, n int, twice boolean, piece binary"
 )
-_PIECES = "task long, row_id long, row_hash long, start int, twice boolean, piece binary"
 _RESULT = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -97,7 +117,9 @@ def remove_byte_repeats(
         .select(wishes["row_id"], wishes["row_hash"], "wishes", "body")
         .mapInArrow(_pieces(window), _PIECES)
     )
-    within = pieces.repartition("task").sortWithinPartitions("task").mapInArrow(_match_pieces(window), _SPANS)
+    within = (
+        pieces.repartition("task").sortWithinPartitions("kind", "task", "check").mapInArrow(_match_pieces(window), _SPANS)
+    )
     spans = matched.where("span").select("row_id", "row_hash", "start", "n").unionByName(within)
     removed = spans.groupBy("row_id", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     whole = texts.join(removed, same_row(texts, removed), "left").select(texts["row_id"], "body", "spans")
@@ -245,72 +267,174 @@ def _row(batch: pa.RecordBatch, at: int, twice: bool) -> pa.RecordBatch:
 
 
 def _pieces(window: int):
-    """The bytes of the runs asked for; windows one by one where a seed is split."""
+    """The bytes of the runs asked for; the hashes of their windows where a seed is split."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            columns: dict[str, list] = {name: [] for name in ("task", "row", "start", "twice", "piece")}
+            keys = batch.select(["row_id", "row_hash"])
+            pieces: list[tuple] = []
+            windows: list[tuple] = []
+            size = count = 0
             for row, (body, wishes) in enumerate(zip(batch["body"], batch["wishes"])):
                 data = body.as_py()
                 for wish in wishes.as_py():
                     piece = data[wish["start"] : wish["start"] + wish["n"] + window - 1]
-                    for task, offset, part in _tasks(wish["seed"], wish["splits"], piece, window):
-                        columns["task"].append(task)
-                        columns["row"].append(row)
-                        columns["start"].append(wish["start"] + offset)
-                        columns["twice"].append(wish["twice"])
-                        columns["piece"].append(part)
-            if columns["task"]:
-                keys = batch.select(["row_id", "row_hash"]).take(pa.array(columns["row"]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(columns["task"], pa.int64()),
-                        keys["row_id"],
-                        keys["row_hash"],
-                        pa.array(columns["start"], pa.int32()),
-                        pa.array(columns["twice"], pa.bool_()),
-                        pa.array(columns["piece"], pa.binary()),
-                    ],
-                    schema=_PIECES_ARROW,
-                )
+                    if wish["splits"] == 1:
+                        pieces.append((wish["seed"], row, wish["start"], wish["twice"], piece))
+                        size += len(piece)
+                    else:
+                        windows.append((row, wish["start"], wish["twice"], *_window_hashes(piece, window)))
+                        count += wish["n"]
+                    if size >= PIECE_BYTES:
+                        yield _piece_batch(keys, pieces)
+                        pieces, size = [], 0
+                    if count >= WINDOWS:
+                        yield from _window_batches(keys, windows)
+                        windows, count = [], 0
+            if pieces:
+                yield _piece_batch(keys, pieces)
+            if windows:
+                yield from _window_batches(keys, windows)
 
     return run
 
 
-def _tasks(seed: int, splits: int, piece: bytes, window: int) -> Iterator[tuple[int, int, bytes]]:
-    if splits == 1:
-        yield seed, 0, piece
-        return
-    for offset, content in enumerate(gram_hashes(BYTES_A[np.frombuffer(piece, np.uint8)], window, BASE_A)):
-        task = (seed + int(content % U64(splits)) * BASE_A) % (1 << 64)
-        yield int(np.uint64(task).astype(np.int64)), offset, piece[offset : offset + window]
+def _piece_batch(keys: pa.RecordBatch, pieces: list[tuple]) -> pa.RecordBatch:
+    task, row, start, twice, piece = zip(*pieces)
+    keys = keys.take(pa.array(row))
+    n = len(row)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(n, _PIECE, dtype=np.int32)),
+            pa.array(task, pa.int64()),
+            pa.array(np.zeros(n, dtype=np.int64)),
+            keys["row_id"],
+            keys["row_hash"],
+            pa.array(start, pa.int32()),
+            pa.array(np.ones(n, dtype=np.int32)),
+            pa.array(twice, pa.bool_()),
+            pa.array(piece, pa.binary()),
+        ],
+        schema=_PIECES_ARROW,
+    )
+
+
+def _window_hashes(piece: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(piece, dtype=np.uint8)
+    return gram_hashes(BYTES_A[data], window, BASE_A), gram_hashes(BYTES_B[data], window, BASE_B)
+
+
+def _window_batches(keys: pa.RecordBatch, windows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of equal windows one goes on, to stand against others; the others are spans already."""
+    rows, starts, marks, hashes, checks = zip(*windows)
+    sizes = np.array([len(a) for a in hashes])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row, start = np.array(rows)[owner], np.array(starts)[owner] + offset
+    a, b = np.concatenate(hashes).view(np.int64), np.concatenate(checks).view(np.int64)
+    order = np.lexsort((b, a))
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    several = again.copy()
+    several[:-1] |= again[1:]
+    equal = np.zeros(len(order), dtype=bool)
+    equal[order] = several
+    twice = np.array(marks)[owner]
+    found = np.flatnonzero(equal & ~twice)
+    if len(found):
+        # Neighbouring windows of one run grow together.
+        joined = np.zeros(len(found), dtype=bool)
+        joined[1:] = (found[1:] == found[:-1] + 1) & (owner[found][1:] == owner[found][:-1])
+        first = np.flatnonzero(~joined)
+        n = np.diff(np.concatenate([first, [len(found)]]))
+        first = found[first]
+        marks_hash = keys["row_hash"].to_numpy()[row[first]].view(U64)
+        task = mix(marks_hash + start[first].astype(U64) * U64(BASE_A)).view(np.int64)
+        yield _hash_batch(keys, _FOUND, task, np.zeros(len(first), dtype=np.int64), row[first], start[first], n, twice[first])
+    on = order[~again]
+    ones = np.ones(len(on), dtype=np.int32)
+    yield _hash_batch(keys, _WINDOW, a[on], b[on], row[on], start[on], ones, (twice | equal)[on])
+
+
+def _hash_batch(keys: pa.RecordBatch, kind: int, task, check, row, start, n, twice) -> pa.RecordBatch:
+    keys = keys.take(pa.array(row))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(row), kind, dtype=np.int32)),
+            pa.array(task),
+            pa.array(check),
+            keys["row_id"],
+            keys["row_hash"],
+            pa.array(start.astype(np.int32)),
+            pa.array(n.astype(np.int32)),
+            pa.array(twice),
+            pa.nulls(len(row), pa.binary()),
+        ],
+        schema=_PIECES_ARROW,
+    )
 
 
 def _match_pieces(window: int):
+    """Rows sorted by kind, task and check: found spans, then windows by their hashes, then pieces."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(stream, "task", 2_000):
-            batch = table.combine_chunks().to_batches()[0]
-            pieces = batch["piece"].to_pylist()
-            piece, offset = repeated_windows(pieces, batch["task"].to_numpy(), window)
-            # Runs that occur twice are spans already; they only stand against the others.
-            fresh = ~batch["twice"].to_numpy(zero_copy_only=False)[piece]
-            piece, offset = piece[fresh], offset[fresh]
-            if not len(piece):
-                continue
-            grows = np.zeros(len(piece), dtype=bool)
-            grows[1:] = (piece[1:] == piece[:-1]) & (offset[1:] == offset[:-1] + 1)
-            first = np.flatnonzero(~grows)
-            n = np.diff(np.concatenate([first, [len(piece)]]))
-            keys = batch.select(["row_id", "row_hash"]).take(pa.array(piece[first]))
-            start = batch["start"].to_numpy()[piece[first]] + offset[first]
-            yield pa.RecordBatch.from_arrays(
-                [keys["row_id"], keys["row_hash"], pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                schema=_SPANS_ARROW,
-            )
+        stream = iter(stream)
+        rest: Iterator[pa.RecordBatch] = iter(())
+        held: pa.RecordBatch | None = None  # last window, the next may equal it
+        known = False  # whether the window before it does
+        for batch in stream:
+            kinds = batch["kind"].to_numpy()
+            low, high = np.searchsorted(kinds, [_WINDOW, _PIECE])
+            if low:
+                yield batch.slice(0, low).select(_SPANS_ARROW.names)
+            if high > low:
+                part = batch.slice(low, high - low).select([*_SPANS_ARROW.names, "task", "check", "twice"])
+                part = part if held is None else pa.concat_batches([held, part])
+                again = _again(part, known)
+                yield from _equal_windows(part.slice(0, part.num_rows - 1), again[:-1] | again[1:])
+                held, known = part.slice(part.num_rows - 1), bool(again[-1])
+            if high < len(kinds):
+                rest = chain([batch.slice(high)], stream)
+                break
+        if held is not None:
+            yield from _equal_windows(held, np.array([known]))
+        for table in whole_groups(rest, "task", 2_000):
+            yield from _match_table(table, window)
 
     return run
 
 
+def _again(part: pa.RecordBatch, known: bool) -> np.ndarray:
+    """Which windows equal the one before; ``known`` says it of the first."""
+    a, b = part["task"].to_numpy(), part["check"].to_numpy()
+    return np.concatenate([[known], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+
+
+def _equal_windows(part: pa.RecordBatch, equal: np.ndarray) -> Iterator[pa.RecordBatch]:
+    hit = equal & ~part["twice"].to_numpy(zero_copy_only=False)
+    if hit.any():
+        yield part.select(_SPANS_ARROW.names).filter(pa.array(hit))
+
+
+def _match_table(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+    piece, offset = repeated_windows(table["piece"].to_pylist(), table["task"].to_numpy(), window)
+    # Runs that occur twice are spans already; they only stand against the others.
+    fresh = ~table["twice"].to_numpy()[piece]
+    piece, offset = piece[fresh], offset[fresh]
+    if not len(piece):
+        return
+    grows = np.zeros(len(piece), dtype=bool)
+    grows[1:] = (piece[1:] == piece[:-1]) & (offset[1:] == offset[:-1] + 1)
+    first = np.flatnonzero(~grows)
+    n = np.diff(np.concatenate([first, [len(piece)]]))
+    keys = table.select(["row_id", "row_hash"]).take(pa.array(piece[first]))
+    start = table["start"].to_numpy()[piece[first]] + offset[first]
+    yield from pa.Table.from_arrays(
+        [keys["row_id"], keys["row_hash"], pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+        schema=_SPANS_ARROW,
+    ).to_batches()
+
+
 def repeated_windows(pieces: list[bytes], task: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """``(piece, offset)`` of the windows that another window of the same task equals, in order."""
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)

@@ -153,7 +153,7 @@ def _twins(same: np.ndarray, *occurrence: np.ndarray) -> np.ndarray:
     return twin
 
 
-def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keys(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = batch["row_id"]
     return ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()), batch["row_hash"].to_numpy()
 
@@ -287,18 +287,16 @@ def _match_windows(window: int):
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(stream, "task", 5_000):
-            table = table.combine_chunks()
-            batch = table.to_batches()[0]
-            words = batch["words"]
-            sizes = np.array([len(w) // 8 for w in words.to_pylist()], dtype=np.int64)
-            raw = np.frombuffer(b"".join(words.to_pylist()), dtype=U64)
+            words = table["words"].to_pylist()
+            sizes = np.array([len(w) // 8 for w in words], dtype=np.int64)
+            raw = np.frombuffer(b"".join(words), dtype=U64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             piece = np.repeat(np.arange(len(sizes)), sizes)
             grams, check = gram_hashes(raw, window, BASE_A), gram_hashes(raw, window, BASE_B)
             at = np.flatnonzero(np.arange(len(grams)) <= bounds[1:][piece[: len(grams)]] - window)
             owner = piece[at]
-            start = batch["start"].to_numpy()[owner] + (at - bounds[owner])
-            ids, has_id, marks = _keys(batch)
+            start = table["start"].to_numpy()[owner] + (at - bounds[owner])
+            ids, has_id, marks = _keys(table)
             order = _order(grams[at], check[at], has_id[owner], ids[owner], marks[owner], start)
             a, b = grams[at][order], check[at][order]
             same = np.zeros(len(order), dtype=bool)
@@ -312,8 +310,8 @@ def _match_windows(window: int):
                 joined[1:] = (at[hit][1:] == at[hit][:-1] + 1) & (owner[hit][1:] == owner[hit][:-1])
                 first = np.flatnonzero(~joined)
                 n = np.diff(np.concatenate([first, [len(hit)]]))
-                keys = batch.select(["row_id", "row_hash"]).take(pa.array(owner[hit[first]]))
-                yield pa.RecordBatch.from_arrays(
+                keys = table.select(["row_id", "row_hash"]).take(pa.array(owner[hit[first]]))
+                yield from pa.Table.from_arrays(
                     [
                         keys["row_id"],
                         keys["row_hash"],
@@ -321,7 +319,7 @@ def _match_windows(window: int):
                         pa.array(n.astype(np.int32)),
                     ],
                     schema=_SPANS_ARROW,
-                )
+                ).to_batches()
 
     return run
 

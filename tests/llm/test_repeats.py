@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from anomaloom.llm import byte_repeats, word_repeats
 from anomaloom.llm.byte_repeats import remove_byte_repeats
 from anomaloom.llm.suffix_array import longest_repeats, suffix_array
 from anomaloom.llm.word_repeats import remove_word_repeats
@@ -85,6 +87,74 @@ def test_byte_repeats(spark, seed_runs):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+class Chunked:
+    """A table whose columns do not fit one chunk, as binary columns over 2 GiB."""
+
+    def __init__(self, table):
+        self.table = table
+
+    def __getattr__(self, name):
+        return getattr(self.table, name)
+
+    def __getitem__(self, name):
+        return self.table[name]
+
+    def combine_chunks(self):
+        return self
+
+
+def test_pieces_of_all_chunks_are_matched(monkeypatch):
+    rng = random.Random(4)
+    text = bytes(rng.randrange(256) for _ in range(130))
+    hashes = np.array([rng.randrange(1 << 60) for _ in range(25)], dtype=np.uint64).tobytes()
+    for module, match, extra, window in (
+        (byte_repeats, "_match_pieces", {"kind": 2, "check": 0, "n": 1, "twice": False, "piece": text}, 100),
+        (word_repeats, "_match_windows", {"words": hashes}, 20),
+    ):
+        schema = module._PIECES_ARROW
+        rows = [{"task": 7, "row_id": i, "row_hash": i, "start": 0, **extra} for i in range(3)]
+        batches = [
+            pa.RecordBatch.from_pylist([{name: row[name] for name in schema.names}], schema=schema) for row in rows
+        ]
+        whole = module.whole_groups
+        monkeypatch.setattr(module, "whole_groups", lambda *args, whole=whole: map(Chunked, whole(*args)))
+        found = pa.Table.from_batches(getattr(module, match)(window)(iter(batches))).to_pylist()
+        assert {row["row_id"] for row in found} == ({0, 1, 2} if module is byte_repeats else {1, 2})
+
+
+def test_split_seed_ships_hashes_and_equal_windows_once():
+    """Windows of a frequent seed: no bytes go out, and copies of one window go out once a batch."""
+    rng = random.Random(5)
+    hot = bytes(rng.randrange(256) for _ in range(160))
+    count = 200
+    bodies = [bytes([i] * 3) + hot for i in range(count)]
+    wish = {"seed": 5, "start": 0, "n": 64, "twice": False, "splits": 2}
+    batch = pa.RecordBatch.from_pydict(
+        {"row_id": list(range(count)), "row_hash": list(range(count)), "wishes": [[wish]] * count, "body": bodies}
+    )
+    sent = pa.Table.from_batches(byte_repeats._pieces(100)(iter([batch])))
+    assert sum(len(piece or b"") for piece in sent["piece"].to_pylist()) == 0
+    # 61 windows are in all texts, three in one each; a text's equal windows are one settled span.
+    assert sent.num_rows == 61 + 3 * count + count
+    assert sorted(r["n"] for r in sent.to_pylist())[-count:] == [61] * count
+
+
+def test_window_stream_keeps_pairs_across_batches():
+    keys = [3, 5, 5, 5, 8, 9, 9]
+    marks = [False, False, True, False, False, True, False]
+    for size in (1, 2, 3, 7):
+        rows = [
+            {"kind": 1, "task": k, "check": 0, "row_id": i, "row_hash": 0, "start": i, "n": 1, "twice": t, "piece": None}
+            for i, (k, t) in enumerate(zip(keys, marks))
+        ]
+        batches = [
+            pa.RecordBatch.from_pylist(rows[i : i + size], schema=byte_repeats._PIECES_ARROW)
+            for i in range(0, len(rows), size)
+        ]
+        found = pa.Table.from_batches(byte_repeats._match_pieces(100)(iter(batches))).to_pylist()
+        assert [row["start"] for row in found] == [1, 3, 6]
+
+
 def test_long_and_constant_texts(spark):
     rows = [row for row in odd_rows() if row[0] in (10, 11, 12)]
     got = {r.row_id: r for r in remove_byte_repeats(frame(spark, rows), with_text=False).collect()}
