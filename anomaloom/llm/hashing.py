@@ -148,9 +148,8 @@ def texts_of(column: pa.BinaryArray, most_bytes: int = 1 << 19, most_texts: int
         low = high
 
 
-_POSITION_BITS = 24
-#: Longest gram array one call of :func:`anchor_runs` takes.
-MOST_GRAMS = 1 << _POSITION_BITS
+#: Grams that are numbered at a time, in the low bits of their hashes; a power of two.
+MOST_GRAMS = 1 << 24
 
 
 def anchor_runs(
@@ -161,14 +160,18 @@ def anchor_runs(
     A window is ``width`` neighbouring grams; its anchor is the position of its smallest hash, the
     leftmost of equal ones. The choice looks at the window's content alone, so equal windows have
     their anchor at the same offset. ``first`` and ``last`` are window starts. Windows start at
-    ``p <= last_start[text[p]]`` only, so that none crosses the end of its text.
+    ``p <= last_start[text[p]]`` only, so that none crosses the end of its text. Arrays of any length
+    are taken: longer ones than ``MOST_GRAMS`` in slices that share ``width - 1`` grams.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(grams) < width:
         return none, none, none
-    low = U64(MOST_GRAMS - 1)
-    keyed = (grams & ~low) | np.arange(len(grams), dtype=U64)
-    least = sliding_minimum(keyed, width)
+    if width > MOST_GRAMS:
+        raise ValueError(f"windows of {width} grams; at most {MOST_GRAMS} can be numbered")
+    step = MOST_GRAMS - width + 1
+    least = np.concatenate(
+        [_anchors(grams[at : at + MOST_GRAMS], width) + at for at in range(0, len(grams) - width + 1, step)]
+    )
     starts = np.flatnonzero(np.arange(len(least)) <= last_start[text[: len(least)]])
     if not len(starts):
         return none, none, none
@@ -176,4 +179,11 @@ def anchor_runs(
     cuts = np.flatnonzero((least[1:] != least[:-1]) | (owner[1:] != owner[:-1])) + 1
     first = np.concatenate([[0], cuts])
     last = np.concatenate([cuts, [len(least)]]) - 1
-    return (least[first] & low).astype(np.int64), starts[first], starts[last]
+    return least[first], starts[first], starts[last]
+
+
+def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
+    """Anchor of every window of at most ``MOST_GRAMS`` grams."""
+    low = U64(MOST_GRAMS - 1)
+    keyed = (grams & ~low) | np.arange(len(grams), dtype=U64)
+    return (sliding_minimum(keyed, width) & low).astype(np.int64)

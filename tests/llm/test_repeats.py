@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from anomaloom.llm import byte_repeats, word_repeats
+from anomaloom.llm import byte_repeats, hashing, word_repeats
 from anomaloom.llm.byte_repeats import remove_byte_repeats
 from anomaloom.llm.suffix_array import longest_repeats, suffix_array
 from anomaloom.llm.word_repeats import remove_word_repeats
@@ -203,3 +203,21 @@ def test_suffix_array():
                     k += 1
                 best = max(best, k)
             assert longest[i] == best
+
+
+def test_anchors_do_not_depend_on_the_place(monkeypatch):
+    """Texts with more grams than can be numbered at a time: equal windows keep equal anchors."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    grams = np.concatenate([rng.integers(0, 1 << 63, 1500, dtype=np.uint64), passage, passage])
+    grams[1600:1650] = grams[1600]
+    last_start, text = np.array([len(grams) - 17]), np.zeros(len(grams), dtype=np.int64)
+    for most in (1 << 10, 1 << 5):
+        monkeypatch.setattr(hashing, "MOST_GRAMS", most)
+        low = np.uint64(most - 1)
+        least = [(int(g & ~low), i) for i, g in enumerate(grams)]
+        want = [min(least[p : p + 17])[1] for p in range(len(grams) - 16)]
+        anchor, first, last = hashing.anchor_runs(grams, 17, last_start, text)
+        got = np.repeat(anchor, last - first + 1)
+        assert got.tolist() == want
+        assert (np.diff(anchor) != 0).all() and first[0] == 0 and (first[1:] == last[:-1] + 1).all()
