@@ -7,6 +7,7 @@ and a literal is reported when a sensitive name receives it and it looks like a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -34,14 +35,18 @@ _TARGET = re.compile(
     r"""(?::[ \t]*[A-Za-z_][\w.<>\[\]]{0,63}[ \t]*(?==[^=])|)(:=|=>|=(?!=)|:(?![:/]))[ \t]*""",
     re.ASCII,
 )
+# Possessive, so a literal of any length is read once.
 _TERM = re.compile(
-    r'''[A-Za-z]{0,2}"((?:[^"\\\n]|\\.){0,4096})"'''
-    r"""|[A-Za-z]{0,2}'((?:[^'\\\n]|\\.){0,4096})'"""
-    r"""|([^\s"',;(){}<>\[\]#]{1,4096})""",
+    r'''[A-Za-z]{0,2}"((?:[^"\\\n]|\\.)*+)"'''
+    r"""|[A-Za-z]{0,2}'((?:[^'\\\n]|\\.)*+)'"""
+    r"""|([^\s"',;(){}<>\[\]#])""",
     re.ASCII,
 )
+_BARE = re.compile(r"""[^\s"',;(){}<>\[\]#]++""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
 _REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w{0,127})\}?|\{([A-Za-z_]\w{0,127})\}", re.ASCII)
+#: Characters of a name with the signs of a reference around it, at most: targets have 128.
+_LONGEST_NAME = 160
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*", re.ASCII)
 
@@ -61,10 +66,18 @@ LEAST_SCORE = 3.5
 
 
 class Literal(NamedTuple):
-    """The value a name has, and the places of the literals it was built from."""
+    """The value a name has: the places in the source of the literals it is built from, in order."""
 
-    text: str
-    places: tuple[tuple[int, int], ...]
+    source: str
+    parts: tuple[tuple[int, int], ...]
+
+    @property
+    def text(self) -> str:
+        return "".join(self.source[start:end] for start, end in self.parts)
+
+    @property
+    def places(self) -> tuple[tuple[int, int], ...]:
+        return tuple(dict.fromkeys(self.parts))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -88,8 +101,9 @@ def literal_score(value: str) -> float:
     """From 0 (a word, a placeholder, too short) to 3 (long and random)."""
     if len(value) < 6 or any(c.isspace() for c in value):
         return 0.0
-    words = set(re.findall(r"[a-z]+", value.lower()))
-    if words & _PLACEHOLDERS or value[0] in "<$%{" or len(set(value)) < 5:
+    if value[0] in "<$%{" or len(set(value)) < 5:
+        return 0.0
+    if any(word[0] in _PLACEHOLDERS for word in re.finditer(r"[a-z]+", value.lower())):
         return 0.0
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -102,52 +116,63 @@ def literal_score(value: str) -> float:
 def assignments(text: str) -> Iterator[tuple[str, Literal]]:
     """Name-literal pairs in the order of the text, constants put in for the names that stand for them."""
     known: dict[str, Literal] = {}
+    bare: list[tuple[int, int]] = []
     for target in _TARGET.finditer(text):
-        value = _value(text, target.end(), known)
+        value = _value(text, target.end(), known, bare)
         if value is not None:
             name = target[1]
             known[name] = value
             yield name, value
 
 
-def _value(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
-    """The literal, constant or concatenation that starts at ``at``."""
-    parts: list[Literal] = []
-    for _ in range(64):
-        term = _TERM.match(text, at)
-        if term is None:
-            break
+def _value(text: str, at: int, known: dict[str, Literal], bare: list[tuple[int, int]]) -> Literal | None:
+    """The literal, constant or concatenation that starts at ``at``; ``bare`` has the bare values read."""
+    parts: list[tuple[int, int]] = []
+    while term := _TERM.match(text, at):
         if term[3] is None:
-            group = 1 if term[1] is not None else 2
-            parts += _quoted(term[group], term.start(group), known)
+            end = term.end()
+            parts += _quoted(text, *term.span(1 if term[1] is not None else 2), known)
         else:
-            word = term[3]
-            name = _IDENTIFIER.fullmatch(word)
-            if name and word in known:
-                parts.append(known[word])
-            elif word.startswith("$") and word.strip("${}") in known:
-                parts.append(known[word.strip("${}")])
-            else:
-                parts.append(Literal(word, ((term.start(), term.end()),)))
-        plus = _PLUS.match(text, term.end())
+            end = _bare_end(text, at, bare)
+            parts += _word(text, at, end, known)
+        plus = _PLUS.match(text, end)
         if plus is None:
             break
         at = plus.end()
-    if not parts:
-        return None
-    return Literal("".join(p.text for p in parts), tuple(dict.fromkeys(place for p in parts for place in p.places)))
+    return Literal(text, tuple(parts)) if parts else None
+
 
+def _bare_end(text: str, at: int, bare: list[tuple[int, int]]) -> int:
+    """End of the bare value at ``at``: one that starts inside another ends where that does."""
+    place = bisect.bisect_right(bare, (at, len(text)))
+    if place and at < bare[place - 1][1]:
+        return bare[place - 1][1]
+    end = _BARE.match(text, at).end()
+    bare.insert(place, (at, end))
+    return end
 
-def _quoted(body: str, start: int, known: dict[str, Literal]) -> list[Literal]:
+
+def _word(text: str, start: int, end: int, known: dict[str, Literal]) -> tuple[tuple[int, int], ...]:
+    """A bare value: the name of a known constant, or a literal."""
+    if end - start <= _LONGEST_NAME:
+        word = text[start:end]
+        if word in known and _IDENTIFIER.fullmatch(word):
+            return known[word].parts
+        if word.startswith("$") and word.strip("${}") in known:
+            return known[word.strip("${}")].parts
+    return ((start, end),)
+
+
+def _quoted(text: str, start: int, end: int, known: dict[str, Literal]) -> list[tuple[int, int]]:
     """A quoted literal; references in it to known names are put in."""
-    parts, at = [], 0
-    for ref in _REFERENCE.finditer(body):
+    parts, at = [], start
+    for ref in _REFERENCE.finditer(text, start, end):
         value = known.get(ref[1] or ref[2])
         if value is not None:
-            parts += [Literal(body[at : ref.start()], ((start + at, start + ref.start()),)), value]
+            parts += [(at, ref.start()), *value.parts]
             at = ref.end()
-    parts.append(Literal(body[at:], ((start + at, start + len(body)),)))
-    return [part for part in parts if part.text]
+    parts.append((at, end))
+    return [(low, high) for low, high in parts if low < high]
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -158,7 +183,10 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     added = set()
     for name, value in assignments(text):
         sensitive = name_score(name)
-        if sensitive < 1.0 or sensitive + literal_score(value.text) < LEAST_SCORE or not literal_score(value.text):
+        if sensitive < 1.0:
+            continue
+        literal = literal_score(value.text)
+        if not literal or sensitive + literal < LEAST_SCORE:
             continue
         for start, end in value.places:
             if not any(low <= start and end <= high for low, _, high in base):

@@ -129,6 +129,18 @@ def test_lexed_findings(text, found):
     assert [s for s in spans if s[1] != 3] == base
 
 
+def test_long_literals_are_found_whole():
+    rng = np.random.default_rng(11)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789+/"))
+    long = "".join(rng.choice(letters, 10_000))
+    for text, value in ((f"client-key-data: {long}\nx: 1", long), (f'CLIENT_KEY="{long}"; y = 2', long)):
+        assert [text[s:e] for s, kind, e in all_spans(text)[1] if kind == 3] == [value]
+        assert redacted(text, "[S]") == text.replace(value, "[S]")
+    pieces = [long[i : i + 50] for i in range(0, 5000, 50)]
+    text = "auth_key = " + " + ".join(f"'{piece}'" for piece in pieces)
+    assert [text[s:e] for s, kind, e in all_spans(text)[1] if kind == 3] == pieces
+
+
 def test_lexing_is_linear_and_redaction_whole():
     for text in ("a" * 200_000, "a=" * 100_000, '="' * 50_000, "token" * 40_000, "x: " * 60_000):
         all_spans(text)
