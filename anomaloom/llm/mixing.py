@@ -8,6 +8,7 @@ take part in every step, which is one scan of a thin table and a few sums.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anomaloom.session import stage
 
+_log = logging.getLogger(__name__)
+
 #: Domains of the labelled table, in the order of the posteriors; the first is the reference class.
 DOMAINS = ("good", "low", "toxic")
 #: Words that tell a domain from the first one, at most.
@@ -23,6 +26,12 @@ TELLING_WORDS = 1000
 #: Ridge that keeps the weights of separable classes finite.
 _RIDGE = 1.0
 _FEATURES = 7
+#: Lengths of a step between two bounds that one scan tries, each a quarter of the one before.
+_LENGTHS = 6
+#: Part of a step at which the function counts as risen no more.
+_LEAST_REACH = 1e-15
+#: Part of the tolerance that the smoothing between two bounds may take, for a move of 1.
+_SMOOTH = 0.1
 
 
 @dataclass(frozen=True)
@@ -195,10 +204,9 @@ def mix_sources(
 def _rates(thin: DataFrame, settings: Settings) -> Column:
     """Rates of least squares: expected tokens of the matched domains against their targets.
 
-    A step moves the rate of every document against its own gradient and projects it on 0 (and on the
-    largest rate, where there is one). Without a largest rate the gradient is taken in the metric of
-    the domains' shared tokens, so that one step solves the problem where no rate is at 0; between two
-    bounds such steps may cycle, and the step is one over the greatest curvature instead.
+    A step moves the rate of every document against its own gradient and projects it on 0. The gradient
+    is taken in the metric of the domains' shared tokens, so that one step solves the problem where no
+    rate is at 0. Between two bounds such steps may cycle: see :func:`_bounded_rates`.
     """
     matched = [i for i, name in enumerate(DOMAINS) if settings.targets.get(name, 0.0) > 0]
     p = [F.col("p")[i] for i in matched]
@@ -214,23 +222,88 @@ def _rates(thin: DataFrame, settings: Settings) -> Column:
     shares = shares / shares.sum()
     total = settings.total if settings.total is not None else now[0] / shares[0]
     goal = shares * total
-    curvature = np.linalg.eigvalsh(shared)[-1]
+    if settings.most is not None:
+        return _bounded_rates(thin, settings, n, p, goal)
     for _ in range(settings.rate_steps):
         gap = now - goal
         if np.abs(gap).max() <= settings.tolerance * total:
             break
-        if settings.most is None:
-            step = np.linalg.solve(shared + np.eye(len(p)) * 1e-9 * np.trace(shared), gap)
-            rate = F.greatest(F.lit(0.0), rate - _dot(p, step))
-        else:
-            step = gap / curvature
-            rate = F.greatest(F.lit(0.0), F.least(F.lit(settings.most), rate - _dot(p, step)))
+        step = np.linalg.solve(shared + np.eye(len(p)) * 1e-9 * np.trace(shared), gap)
+        rate = F.greatest(F.lit(0.0), rate - _dot(p, step))
         now, shared = _expected(thin, n, p, rate)
         if not np.trace(shared):
             break
     return rate
 
 
+def _bounded_rates(
+    thin: DataFrame, settings: Settings, n: Column, p: Sequence[Column], goal: np.ndarray
+) -> Column:
+    """Rates from 0 to ``most`` of least squares; of equally good ones those nearest to 1, by tokens.
+
+    The steps of all rounds are summed up and projected once: the rate is 1 less the posteriors times
+    ``moved``, cut to its bounds. What is left of the gap is the gradient of a concave function of
+    ``moved``, smoothed so that it has a maximum where the targets cannot be met. A step goes along the
+    gradient in the metric of the documents between the bounds, as far as the function rises most of
+    some lengths tried in one scan. Rounds go on to the tolerance or until the function rises no more;
+    ``rate_steps`` does not end them. A gap that the bounds leave is logged.
+    """
+    size = len(p)
+    scale = float(goal.sum())
+    smooth = settings.tolerance * scale * _SMOOTH
+    moved = np.zeros(size)
+    reach = 1.0
+    value, gap, free = _dual(thin, settings.most, n, p, goal, smooth, [moved])[0]
+    while reach > _LEAST_REACH:
+        slope = gap - smooth * moved
+        if np.abs(slope).max() <= settings.tolerance * scale * _SMOOTH:
+            break
+        step = np.linalg.solve(free + np.eye(size) * smooth, slope)
+        lengths = [moved + step * reach * 4.0**-k for k in range(_LENGTHS)]
+        tried = _dual(thin, settings.most, n, p, goal, smooth, lengths)
+        best = int(np.argmax([found[0] for found in tried]))
+        if tried[best][0] > value:
+            moved, reach = lengths[best], 1.0
+            value, gap, free = tried[best]
+        else:
+            reach *= 4.0**-_LENGTHS
+    if np.abs(gap).max() > settings.tolerance * scale:
+        _log.warning("rates of at most %s leave a gap of %s tokens to the targets %s", settings.most, gap, goal)
+    return F.greatest(F.lit(0.0), F.least(F.lit(float(settings.most)), F.lit(1.0) - _dot(p, moved)))
+
+
+def _dual(
+    thin: DataFrame, most: float, n: Column, p: Sequence[Column], goal: np.ndarray, smooth: float, tried: Sequence[np.ndarray]
+) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Value, gap of the expected tokens and shared tokens of the documents between the bounds, per try."""
+    rows = thin.select(
+        n.alias("n"),
+        *(column.alias(f"p{k}") for k, column in enumerate(p)),
+        *((F.lit(1.0) - _dot(p, moved)).alias(f"u{t}") for t, moved in enumerate(tried)),
+    )
+    size = len(p)
+    sums = []
+    for t in range(len(tried)):
+        want = F.col(f"u{t}")
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), want))
+        # The bounds count as between them: at the start all documents may lie at the upper one.
+        free = F.col("n") * F.when((want >= 0) & (want <= most), 1.0).otherwise(0.0)
+        # Half the square of the move, and the priced tokens.
+        sums.append(F.sum(F.col("n") * (0.5 * (rate - 1.0) * (rate - 1.0) + (1.0 - want) * rate)))
+        sums += [F.sum(F.col("n") * rate * F.col(f"p{k}")) for k in range(size)]
+        sums += [F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(size) for j in range(size)]
+    row = rows.agg(*(column.alias(f"s{i}") for i, column in enumerate(sums))).first()
+    found = np.array([float(value or 0.0) for value in row]).reshape(len(tried), -1)
+    return [
+        (
+            float(line[0] - moved @ goal - 0.5 * smooth * moved @ moved),
+            line[1 : size + 1] - goal,
+            line[size + 1 :].reshape(size, size),
+        )
+        for line, moved in zip(found, tried)
+    ]
+
+
 def _expected(thin: DataFrame, n: Column, p: Sequence[Column], rate: Column) -> tuple[np.ndarray, np.ndarray]:
     """Expected tokens of the domains, and their shared tokens over documents with a rate above 0."""
     rows = thin.select(n.alias("n"), rate.alias("r"), *(column.alias(f"p{k}") for k, column in enumerate(p)))

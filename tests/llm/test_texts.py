@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anomaloom.llm.mixing import Settings as MixSettings
-from anomaloom.llm.mixing import apply_rates, mix_sources
+from anomaloom.llm.mixing import _rates, apply_rates, mix_sources
 from anomaloom.llm.quality import Settings, fit_quality, score_quality
 from anomaloom.llm.queries import QUERIES
 from anomaloom.llm.secrets import all_spans, assignments, redact_secrets, redacted, scan_secrets, written
@@ -183,6 +183,33 @@ def test_bounded_rates_are_least_squares(spark):
     assert max(r.rate for r in got) <= 1.0
 
 
+@pytest.mark.parametrize(
+    "toxic,noise,most,met",
+    [(0.122, 0.0, 1.0, True), (0.1, 0.01, 1.0, False)],
+)
+def test_bounded_rates_go_on_to_the_targets(spark, toxic, noise, most, met):
+    """Settings of the pipeline: targets that the bounds allow are met, else the gap is the least."""
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 500, 1000)
+    bad = np.arange(1000) < 1000 * toxic
+    p = np.clip(np.where(bad, 1 - noise * rng.random(1000), noise * (0.1 + rng.random(1000))), 0, 1)
+    rows = [(i, int(n[i]), [float(1 - p[i]), 0.0, float(p[i])]) for i in range(1000)]
+    thin = spark.createDataFrame(rows, "i long, n_tokens long, p array<double>")
+    settings = MixSettings(targets={"good": 0.98, "toxic": 0.02}, most=most)
+    rates = np.array([r.rate for r in thin.select("i", _rates(thin, settings).alias("rate")).orderBy("i").collect()])
+    both = np.stack([1 - p, p], axis=1)
+    goal = np.array([0.98, 0.02]) * (n @ both[:, 0]) / 0.98
+    assert rates.min() >= 0 and rates.max() <= most
+    gap = np.abs((n * rates) @ both - goal).max()
+    plain = np.full(1000, most)
+    step = 1 / np.linalg.eigvalsh(both.T @ (both * n[:, None]))[-1]
+    for _ in range(5000):
+        plain = np.clip(plain - both @ ((n * plain) @ both - goal) * step, 0, most)
+    least = np.linalg.norm((n * plain) @ both - goal)
+    assert np.linalg.norm((n * rates) @ both - goal) <= least + 2e-6 * goal.sum()
+    assert (gap <= 1e-6 * goal.sum()) == met
+
+
 def test_mixing_of_odd_rows(spark):
     rows = odd_rows() + unnamed_rows()
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
