@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from anomaloom.llm.byte_pairs import encode_digests
 from anomaloom.llm.byte_repeats import remove_byte_repeats
 from anomaloom.llm.grid_join import join_near_vectors
 from anomaloom.llm.jaccard_join import jaccard_join
@@ -14,6 +15,8 @@ from anomaloom.llm.multi_index import nearest
 from anomaloom.llm.packing import pack
 from anomaloom.llm.quality import Settings, fit_quality, score_quality
 from anomaloom.llm.secrets import scan_secrets
+from anomaloom.llm.source_audit import audit_sources
+from anomaloom.llm.spelling import spelling_variants
 from anomaloom.llm.token_files import read_token_files, write_token_files
 from anomaloom.llm.word_repeats import remove_word_repeats
 from anomaloom.session import shared_folder
@@ -169,3 +172,100 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all documents that bring the domains of the labelled table to their target shares."""
     mixed = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.withColumnRenamed("row_id", "doc_id").drop("row_hash")
+
+
+@query(
+    r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY ALL HAVING count(*) >= 30),
+uses AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM docs)
+  SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n)::HUGEINT AS size FROM uses GROUP BY ALL),
+lang_sizes AS (SELECT lang, sum(n)::HUGEINT AS size FROM uses GROUP BY lang),
+lang_uses AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM uses GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n,
+    (1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 5)) // (coalesce(s.size, 0) + 5 * v))::BIGINT AS p
+  FROM groups g JOIN kept k USING (lang) JOIN vocab USING (lang) LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN uses u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+lang_shares AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 5)) // (size + 5 * v))::BIGINT AS q
+  FROM lang_uses JOIN lang_sizes USING (lang) JOIN vocab USING (lang)),
+distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN distances d ON d.lang = g.lang AND d.source = g.source AND d.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+)
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of every language, and the terms that mark a source."""
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS uses FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+steps AS (
+  SELECT list_transform(range(256), lambda b : list_reduce(list_prepend(b, range(8)),
+    lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+marks AS (
+  SELECT doc_id, run, uses, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+sums AS (
+  SELECT run, uses, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2),
+    lambda i : ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b : xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM marks, steps),
+spelt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+    ELSE run END AS word, uses FROM sums),
+words AS (
+  SELECT word, sum(uses)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(uses) >= 5),
+short AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM short a JOIN short b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM short a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM short a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+forms AS (SELECT word, other AS form, other_n AS form_n FROM best WHERE other_n >= 5 * n),
+chain AS (
+  SELECT word, form AS root, 1 AS depth FROM forms
+  UNION ALL SELECT chain.word, forms.form, depth + 1 FROM chain JOIN forms ON forms.word = chain.root),
+roots AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, words.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+"""
+)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the byte-pair ranks, and decoded again."""
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return encode_digests(table(spark, sf_dir, "documents"), ranks, pattern).withColumnRenamed("row_id", "doc_id")
