@@ -156,7 +156,7 @@ def test_spelling(spark, monkeypatch):
 
 def test_spelling_of_nothing_and_of_long_words(spark):
     assert spelling_variants(frame(spark, [])).count() == 0
-    long = "".join(random.Random(2).choice("abcdefgh") for _ in range(20_000))
+    long = "".join(random.Random(2).choices("abcdefgh", k=20_000))
     rows = [(1, f"{long} " * 30), (2, f"{long[:9_000]}{long[9_001:]} " * 5), (3, f"{long[:500]}z{long[501:]} " * 6)]
     found = spelling_variants(frame(spark, rows)).collect()
     assert sorted((row["n"], row["n_near"], row["form"] == long) for row in found) == [(5, 1, True), (6, 1, True), (30, 2, False)]
