@@ -15,7 +15,7 @@ from anomaloom.plans.catalog.flow_queries import _CELL_SQL, _SPLIT, raw_cell, sp
 from anomaloom.plans.catalog.incident_queries import counted_blocks
 from anomaloom.plans.catalog.inputs import EV, FLOWS, LINES, RULES, flows, log_lines
 from anomaloom.plans.catalog.log_queries import _LABELS, _TRACES, block_traces, raw_labels
-from anomaloom.plans.catalog.registry import query
+from anomaloom.plans.catalog.registry import query, table
 from anomaloom.session import shared_folder
 from anomaloom.sources import csv_files, datasets, logs
 from anomaloom.streaming.incidents import read_log_stream, stream_extract, stream_incidents, write_alerts_stream
@@ -90,6 +90,22 @@ def load_split(spark, d):
     return val.select("event_id", "y")
 
 
+@query("""SELECT l_orderkey * 8 + l_linenumber AS y, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount,
+  l_tax AS tax FROM lineitem""")
+def array_containers(spark, d):
+    """Flow rows of two by two features written as array containers and read by ranges of rows."""
+    path = _path(spark, "arrays")
+    rows = table(spark, d, "lineitem").select(
+        F.array(F.array("l_quantity", "l_extendedprice"), F.array("l_discount", "l_tax")).alias("X"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("y"),
+    )
+    datasets.write_arrays(rows, path)
+    x = F.col("X")
+    return datasets.read_arrays(spark, path, feature_type="double").select(
+        "y", x[0][0].alias("quantity"), x[0][1].alias("price"), x[1][0].alias("discount"), x[1][1].alias("tax")
+    )
+
+
 @query(f"WITH {RULES} SELECT anomaly_type, severity, count(*) AS n FROM classified GROUP BY 1, 2")
 def write_alerts(spark, d):
     path = _path(spark, "alerts")

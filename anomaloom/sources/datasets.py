@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomaloom.sources.columns import FEATURE_KEYS, LABEL_KEYS, resolve_key
+from anomaloom.sources.containers import opened, register
 
 # --- fixed values ---------------------------------------------------------------------------
 PAD, UNK = "<PAD>", "<UNK>"
@@ -24,7 +26,10 @@ def write_dataset(df: DataFrame, path: str, metadata: Mapping[str, DataFrame] |
 
 def read_dataset(spark: SparkSession, path: str, x_key: str = "X", y_key: str = "y") -> DataFrame:
     """``X, y`` of a Parquet dataset under its own names or the usual aliases; one-element label
-    arrays are flattened, other columns kept."""
+    arrays are flattened, other columns kept. A path that ends in ``.npz`` or ``.pt`` is read as an
+    array container."""
+    if path.endswith((".npz", ".pt")):
+        return read_arrays(spark, path, x_key, y_key)
     rows = spark.read.parquet(path)
     x = resolve_key(rows.columns, x_key, FEATURE_KEYS, path)
     y = resolve_key(rows.columns, y_key, LABEL_KEYS, path)
@@ -35,6 +40,26 @@ def read_dataset(spark: SparkSession, path: str, x_key: str = "X", y_key: str =
     return rows.select(F.col(x).alias("X"), label.cast("bigint").alias("y"), *others)
 
 
+def read_arrays(
+    spark: SparkSession, path: str, x_key: str = "X", y_key: str = "y", feature_type: str = "float"
+) -> DataFrame:
+    """``X, y`` of an array container or of all containers of a folder; tasks read ranges of rows."""
+    register(spark)
+    options = {"xKey": x_key, "yKey": y_key, "featureType": feature_type}
+    return spark.read.format("arrays").options(**options).load(path)
+
+
+def write_arrays(df: DataFrame, path: str, mode: str = "errorifexists", compressed: bool = False) -> None:
+    """Every column as an array of that name in ``.npz`` files under ``path``; no nulls, even lists."""
+    register(df.sparkSession)
+    if mode == "errorifexists":
+        store, place = opened(path)
+        if store.get_file_info(place).type != FileType.NotFound:
+            raise FileExistsError(path)
+        mode = "append"
+    df.write.format("arrays").mode(mode).option("compressed", str(compressed).lower()).save(path)
+
+
 def load_split(df: DataFrame, name: str, column: str = "split") -> DataFrame:
     """One split (a partition filter on a written dataset); a missing one is an error."""
     part = df.where(F.col(column) == name)
