@@ -13,7 +13,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
+from dataclasses import dataclass, replace
+from itertools import accumulate
+from string import ascii_lowercase, ascii_uppercase, digits
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,13 +31,13 @@ _ACCESS_LEAST = 20
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-# A name of up to 128 characters and the operator behind it.
+# A name, perhaps with its type, and the operator behind it. Names, blanks and literals are taken
+# possessively, so that text of any length is read once.
 _TARGET = re.compile(
-    r"""(?<![\w.$-])([A-Za-z_$][\w.$-]{0,127})["']?\]?[ \t]*"""
-    r"""(?::[ \t]*[A-Za-z_][\w.<>\[\]]{0,63}[ \t]*(?==[^=])|)(:=|=>|=(?!=)|:(?![:/]))[ \t]*""",
+    r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*+)["']?\]?[ \t]*+"""
+    r"""(?::[ \t]*+[A-Za-z_][\w.<>\[\]]*+[ \t]*+(?==[^=])|)(:=|=>|=(?!=)|:(?![:/]))[ \t]*+""",
     re.ASCII,
 )
-# Possessive, so a literal of any length is read once.
 _TERM = re.compile(
     r'''[A-Za-z]{0,2}"((?:[^"\\\n]|\\.)*+)"'''
     r"""|[A-Za-z]{0,2}'((?:[^'\\\n]|\\.)*+)'"""
@@ -43,10 +45,11 @@ _TERM = re.compile(
     re.ASCII,
 )
 _BARE = re.compile(r"""[^\s"',;(){}<>\[\]#]++""", re.ASCII)
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
-_REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w{0,127})\}?|\{([A-Za-z_]\w{0,127})\}", re.ASCII)
-#: Characters of a name with the signs of a reference around it, at most: targets have 128.
-_LONGEST_NAME = 160
+_PLUS = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
+_REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*+)\}?|\{([A-Za-z_]\w*+)\}", re.ASCII)
+_NAME_LIKE = re.compile(r"[\w.$-]++", re.ASCII)
+#: Inside a bare value, values of further targets start behind these.
+_OPERATOR_ENDS = re.compile(r"[=:]")
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*", re.ASCII)
 
@@ -61,23 +64,137 @@ _PLACEHOLDERS = {
     "example", "changeme", "placeholder", "password", "secret", "token", "none", "null", "true", "false",
     "undefined", "redacted", "default", "string", "your", "xxx", "todo", "env", "test",
 }
+_LETTERS = re.compile(r"[a-z]+")
+_KIND_OF = {c: kind for kind, group in enumerate((ascii_lowercase, ascii_uppercase, digits)) for c in group}
 #: Least score (name plus literal) of a reported literal.
 LEAST_SCORE = 3.5
 
 
-class Literal(NamedTuple):
-    """The value a name has: the places in the source of the literals it is built from, in order."""
+_LONGEST_PLACEHOLDER = max(map(len, _PLACEHOLDERS))
+#: Length from which letter counts are scaled down; only their ratios matter then.
+_HUGE = 1e150
 
-    source: str
-    parts: tuple[tuple[int, int], ...]
+
+@dataclass
+class Summary:
+    """What the score of a text asks for, so that texts can be joined without writing them out.
+
+    ``head`` and ``tail`` are the letters (a-z, after lower-casing) at both ends, cut a little above the
+    longest placeholder; ``whole`` says that the text is nothing else.
+    """
+
+    size: float
+    counts: dict[str, float] | None  # None: there are blanks
+    first: str
+    head: str
+    tail: str
+    whole: bool
+    placeholder: bool
+
+    @classmethod
+    def of(cls, text: str) -> Summary:
+        lowered = text.lower()
+        words = [(m.start(), m.end(), m[0]) for m in _LETTERS.finditer(lowered)]
+        head = words[0][2] if words and words[0][0] == 0 else ""
+        tail = words[-1][2] if words and words[-1][1] == len(lowered) else ""
+        inner = words[bool(head) : len(words) - bool(tail)]
+        counts = None if any(c.isspace() for c in text) else {c: float(n) for c, n in Counter(text).items()}
+        known = any(word in _PLACEHOLDERS for _, _, word in inner)
+        return cls(float(len(text)), counts, text[:1], _cut(head), _cut(tail), len(head) == len(lowered), known)
+
+    def extend(self, other: Summary) -> None:
+        """Append a text."""
+        if self.counts is None or other.counts is None:
+            self.counts = None
+        else:
+            for c, n in other.counts.items():
+                self.counts[c] = self.counts.get(c, 0.0) + n
+        self.size += other.size
+        if self.size > _HUGE and self.counts is not None:
+            self.size /= _HUGE
+            self.counts = {c: n / _HUGE for c, n in self.counts.items()}
+            self.size = max(self.size, 1e9 * len(self.counts))
+        self.placeholder |= other.placeholder
+        if self.whole and other.whole:
+            self.head = self.tail = _cut(self.head + other.head)
+        elif self.whole:
+            self.head, self.tail, self.whole = _cut(self.head + other.head), other.tail, False
+        elif other.whole:
+            self.tail = _cut(self.tail + other.head)
+        else:
+            self.placeholder |= self.tail + other.head in _PLACEHOLDERS
+            self.tail = other.tail
+
+    def copy(self) -> Summary:
+        return replace(self, counts=None if self.counts is None else dict(self.counts))
+
+    def score(self) -> float:
+        """From 0 (a word, a placeholder, too short) to 3 (long and random)."""
+        if self.size < 6 or self.counts is None or self.first in "<$%{" or len(self.counts) < 5:
+            return 0.0
+        if self.placeholder or self.head in _PLACEHOLDERS or self.tail in _PLACEHOLDERS:
+            return 0.0
+        entropy = -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values() if n)
+        kinds = len({_KIND_OF.get(c, 3) for c in self.counts})
+        varied = 0.5 * (entropy >= 2.5) + 0.5 * (entropy >= 3.0)
+        mixed = 1.0 * (kinds >= 2) + 0.5 * (kinds >= 3)
+        return min(3.0, varied + mixed + 0.5 * (self.size >= 12))
+
+
+def _cut(letters: str) -> str:
+    return letters[: _LONGEST_PLACEHOLDER + 2]
+
+
+class Value:
+    """The value of a name: a place in the source, or a concatenation of values that others may share.
+
+    Joining values looks at their summaries alone, so a constant that is doubled line by line stays small.
+    """
+
+    __slots__ = ("source", "place", "parts", "known_score", "_summary")
+
+    def __init__(self, source: str, place: tuple[int, int] | None, parts: tuple[Value, ...] = (), score: float | None = None):
+        self.source, self.place, self.parts, self.known_score = source, place, parts, score
+        self._summary: Summary | None = None
+        if parts:
+            total = parts[0].summary.copy()
+            for part in parts[1:]:
+                total.extend(part.summary)
+            self._summary = total
 
     @property
-    def text(self) -> str:
-        return "".join(self.source[start:end] for start, end in self.parts)
+    def summary(self) -> Summary:
+        if self._summary is None:
+            self._summary = Summary.of(self.source[self.place[0] : self.place[1]])
+        return self._summary
+
+    def score(self) -> float:
+        if self.known_score is None:
+            self.known_score = self.summary.score()
+        return self.known_score
+
+    def places(self, seen: set[int]) -> Iterator[tuple[int, int]]:
+        """Places of the literals it is built from, without values in ``seen``, which gets those passed."""
+        waiting = [self]
+        while waiting:
+            value = waiting.pop()
+            if id(value) in seen:
+                continue
+            seen.add(id(value))
+            if value.place is not None:
+                yield value.place
+            waiting += reversed(value.parts)
 
     @property
-    def places(self) -> tuple[tuple[int, int], ...]:
-        return tuple(dict.fromkeys(self.parts))
+    def text(self) -> str:
+        """The value written out."""
+        if self.place is not None:
+            return self.source[self.place[0] : self.place[1]]
+        return "".join(part.text for part in self.parts)
+
+
+def _joined(source: str, parts: list[Value]) -> Value:
+    return parts[0] if len(parts) == 1 else Value(source, None, tuple(parts))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -97,82 +214,105 @@ def name_score(name: str) -> float:
     return min(3.0, sum(_SENSITIVE.get(part, 0.0) for part in parts))
 
 
-def literal_score(value: str) -> float:
-    """From 0 (a word, a placeholder, too short) to 3 (long and random)."""
-    if len(value) < 6 or any(c.isspace() for c in value):
-        return 0.0
-    if value[0] in "<$%{" or len(set(value)) < 5:
-        return 0.0
-    if any(word[0] in _PLACEHOLDERS for word in re.finditer(r"[a-z]+", value.lower())):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    varied = 0.5 * (entropy >= 2.5) + 0.5 * (entropy >= 3.0)
-    mixed = 1.0 * (kinds >= 2) + 0.5 * (kinds >= 3)
-    return min(3.0, varied + mixed + 0.5 * (len(value) >= 12))
-
-
-def assignments(text: str) -> Iterator[tuple[str, Literal]]:
-    """Name-literal pairs in the order of the text, constants put in for the names that stand for them."""
-    known: dict[str, Literal] = {}
-    bare: list[tuple[int, int]] = []
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """Name-value pairs in the order of the text, constants put in for the names that stand for them."""
+    lexer = _Lexer(text)
     for target in _TARGET.finditer(text):
-        value = _value(text, target.end(), known, bare)
+        value = lexer.value(target.end())
         if value is not None:
             name = target[1]
-            known[name] = value
+            lexer.known[name] = value
             yield name, value
 
 
-def _value(text: str, at: int, known: dict[str, Literal], bare: list[tuple[int, int]]) -> Literal | None:
-    """The literal, constant or concatenation that starts at ``at``; ``bare`` has the bare values read."""
-    parts: list[tuple[int, int]] = []
-    while term := _TERM.match(text, at):
-        if term[3] is None:
-            end = term.end()
-            parts += _quoted(text, *term.span(1 if term[1] is not None else 2), known)
-        else:
-            end = _bare_end(text, at, bare)
-            parts += _word(text, at, end, known)
-        plus = _PLUS.match(text, end)
-        if plus is None:
-            break
-        at = plus.end()
-    return Literal(text, tuple(parts)) if parts else None
-
-
-def _bare_end(text: str, at: int, bare: list[tuple[int, int]]) -> int:
-    """End of the bare value at ``at``: one that starts inside another ends where that does."""
-    place = bisect.bisect_right(bare, (at, len(text)))
-    if place and at < bare[place - 1][1]:
-        return bare[place - 1][1]
-    end = _BARE.match(text, at).end()
-    bare.insert(place, (at, end))
-    return end
-
-
-def _word(text: str, start: int, end: int, known: dict[str, Literal]) -> tuple[tuple[int, int], ...]:
-    """A bare value: the name of a known constant, or a literal."""
-    if end - start <= _LONGEST_NAME:
-        word = text[start:end]
-        if word in known and _IDENTIFIER.fullmatch(word):
-            return known[word].parts
-        if word.startswith("$") and word.strip("${}") in known:
-            return known[word.strip("${}")].parts
-    return ((start, end),)
-
-
-def _quoted(text: str, start: int, end: int, known: dict[str, Literal]) -> list[tuple[int, int]]:
-    """A quoted literal; references in it to known names are put in."""
-    parts, at = [], start
-    for ref in _REFERENCE.finditer(text, start, end):
-        value = known.get(ref[1] or ref[2])
-        if value is not None:
-            parts += [(at, ref.start()), *value.parts]
-            at = ref.end()
-    parts.append((at, end))
-    return [(low, high) for low, high in parts if low < high]
+class _Lexer:
+    """Reads the values of one text. What is read once is shared: a literal inside a concatenation or a
+    bare value inside another one is not read again."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.known: dict[str, Value] = {}
+        self.chains: dict[int, Value | None] = {}  # values by the place where they start
+        self.bare: list[tuple[int, int]] = []
+        self.inner: dict[int, float] = {}  # scores of what follows an operator inside a bare value
+
+    def value(self, at: int) -> Value | None:
+        """The literal, constant or concatenation that starts at ``at``."""
+        starts, terms = [], []
+        rest: Value | None = None
+        while True:
+            if at in self.chains:
+                rest = self.chains[at]
+                break
+            term = _TERM.match(self.text, at)
+            if term is None:
+                break
+            starts.append(at)
+            if term[3] is None:
+                end = term.end()
+                terms.append(self._quoted(*term.span(1 if term[1] is not None else 2)))
+            else:
+                end = self._bare_end(at)
+                terms.append(self._word(at, end))
+            plus = _PLUS.match(self.text, end)
+            if plus is None:
+                break
+            at = plus.end()
+        # Joined from the last term, so that a target inside a chain finds the rest of it.
+        for start, term in zip(reversed(starts), reversed(terms)):
+            parts = [part for part in (term, rest) if part is not None]
+            rest = _joined(self.text, parts) if parts else None
+            self.chains[start] = rest
+        return rest
+
+    def _bare_end(self, at: int) -> int:
+        """End of the bare value at ``at``: one that starts inside another ends where that does."""
+        place = bisect.bisect_right(self.bare, (at, len(self.text)))
+        if place and at < self.bare[place - 1][1]:
+            return self.bare[place - 1][1]
+        end = _BARE.match(self.text, at).end()
+        self.bare.insert(place, (at, end))
+        self._score_inner(at, end)
+        return end
+
+    def _score_inner(self, start: int, end: int) -> None:
+        """Scores of the values that targets inside a bare value get, from the last one on."""
+        cuts = [m.end() for m in _OPERATOR_ENDS.finditer(self.text, start, end) if m.end() < end]
+        total: Summary | None = None
+        for low, high in zip(reversed(cuts), [end, *reversed(cuts[1:])]):
+            piece = Summary.of(self.text[low:high])
+            if total is None:
+                total = piece
+            else:
+                # No word reaches over an operator, so the order of the pieces matters for the ends alone.
+                total.extend(piece)
+                total.first, total.head = piece.first, piece.head
+            self.inner[low] = total.score()
+
+    def _word(self, start: int, end: int) -> Value:
+        """A bare value: the name of a known constant, or a literal."""
+        like = _NAME_LIKE.match(self.text, start, end)
+        if like is not None and like.end() == end:
+            word = like[0]
+            if word in self.known and _IDENTIFIER.fullmatch(word):
+                return self.known[word]
+            if word.startswith("$") and word.strip("$") in self.known:
+                return self.known[word.strip("$")]
+        return Value(self.text, (start, end), score=self.inner.get(start))
+
+    def _quoted(self, start: int, end: int) -> Value | None:
+        """A quoted literal; references in it to known names are put in."""
+        parts, at = [], start
+        for ref in _REFERENCE.finditer(self.text, start, end):
+            value = self.known.get(ref[1] or ref[2])
+            if value is not None:
+                if at < ref.start():
+                    parts.append(Value(self.text, (at, ref.start())))
+                parts.append(value)
+                at = ref.end()
+        if at < end:
+            parts.append(Value(self.text, (at, end)))
+        return _joined(self.text, parts) if parts else None
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -180,16 +320,22 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base, base
+    starts = [low for low, _, _ in base]
+    reach = list(accumulate((high for _, _, high in base), max))
     added = set()
+    seen: set[int] = set()
+    kept = []  # values stay alive while their ids are in ``seen``
     for name, value in assignments(text):
         sensitive = name_score(name)
         if sensitive < 1.0:
             continue
-        literal = literal_score(value.text)
+        literal = value.score()
         if not literal or sensitive + literal < LEAST_SCORE:
             continue
-        for start, end in value.places:
-            if not any(low <= start and end <= high for low, _, high in base):
+        kept.append(value)
+        for start, end in value.places(seen):
+            before = bisect.bisect_right(starts, start)
+            if not before or reach[before - 1] < end:
                 added.add((start, 3, end))
     return base, sorted([*base, *added])
 
@@ -207,7 +353,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns ``row_id`` (the id), counts per kind (``n_name``: added by the lexer), ``spans``
     (``kind:start:end`` by start, then kind; code points, end exclusive; joined by commas) and
     ``base_sha256`` of the same list of base findings. Null and empty texts have none. Null and repeated
-    ids, other columns and empty tables change nothing.
+    ids, equal rows, other columns and empty tables change nothing. Names, literals and concatenations may
+    be of any length; the time grows with the text, also where constants are made of constants.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     return rows.mapInArrow(_scan, _RESULT)
@@ -230,7 +377,11 @@ def _scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every finding replaced by ``mark``; rows and other columns stay as they are."""
+    """``docs`` with every finding replaced by ``mark``; rows and other columns stay as they are.
+
+    A null text stays null, an empty one empty; equal rows stay equal, an empty table stays empty. Texts
+    of any length are read whole.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

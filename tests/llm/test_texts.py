@@ -2,17 +2,19 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from anomaloom.llm.mixing import Settings as MixSettings
 from anomaloom.llm.mixing import _rates, apply_rates, mix_sources
 from anomaloom.llm.quality import Settings, fit_quality, score_quality
 from anomaloom.llm.queries import QUERIES
-from anomaloom.llm.secrets import all_spans, assignments, redact_secrets, redacted, scan_secrets, written
+from anomaloom.llm.secrets import Summary, all_spans, assignments, redact_secrets, redacted, scan_secrets, written
 from odd import frame, odd_rows, unnamed_rows, words
 
 
@@ -149,6 +151,40 @@ def test_lexing_is_linear_and_redaction_whole():
     assert dict((n, v.text) for n, v in assignments('a = "1" + "2"\nb = a'))["b"] == "12"
 
 
+def test_constants_of_constants_and_names_of_any_length():
+    first = 'token_key = "aB3$dE6gH9kL"\n'
+    for line in ("token_key = token_key + token_key\n", 'token_key = "${token_key}${token_key}"\n'):
+        for lines in (64, 5_000):
+            began = time.perf_counter()
+            spans = all_spans(first + line * lines)[1]
+            assert [(kind, start) for start, kind, _ in spans if kind == 3] == [(3, 13)]
+            assert time.perf_counter() - began < 3
+    for size in (90, 300, 100_000):
+        text = f"my_passphrase_{'n' * size} = \"Zx9$kLm2Qr7tUv\""
+        assert [text[s:e] for s, kind, e in all_spans(text)[1] if kind == 3] == ["Zx9$kLm2Qr7tUv"]
+    found = "".join(f'db_passphrase_{i} = "Zx9$kLm2Qr7tUv{i}"\n' for i in range(23_000))
+    began = time.perf_counter()
+    assert sum(kind == 3 for _, kind, _ in all_spans(found)[1]) == 23_000
+    assert time.perf_counter() - began < 5
+    for text in ("token_x=" * 50_000, "k=a + " * 50_000, '"a:' * 50_000, "k: " + "w" * 200_000, "auth_key=a:b" * 30_000):
+        began = time.perf_counter()
+        all_spans(text)
+        assert time.perf_counter() - began < 5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab token_XY9=:+${}$ ", max_size=12), min_size=1, max_size=4))
+def test_summaries_join(parts):
+    total = Summary.of(parts[0])
+    for part in parts[1:]:
+        if part:
+            total.extend(Summary.of(part)) if total.size else None
+            if not total.size:
+                total = Summary.of(part)
+    whole = Summary.of("".join(parts))
+    assert (total.size, total.counts, total.score()) == (whole.size, whole.counts, whole.score())
+
+
 def test_redaction_keeps_rows(spark):
     docs = frame(spark, odd_rows() + unnamed_rows())
     got = redact_secrets(docs)
