@@ -1,14 +1,16 @@
 """Mixing sources to target weights by soft membership, with DataFrame and SQL functions only.
 
 A classifier learnt from the labelled table gives every document its posterior over domains. Document
-rates (expected numbers of copies, 0 or more) start at 1 and follow projected gradient steps of a
-least squares problem until the expected tokens of every domain match the targets. All documents
-take part in every step, which is one scan of a thin table and a few sums.
+rates (expected numbers of copies, 0 or more) start at 1 and follow gradient steps of a least squares
+problem, projected on their bounds, until the expected tokens of every domain match the targets or no
+step brings them nearer. The projection is a lazy one: steps add up before it, so it is never nested.
+All documents take part in every step, which is one scan of a thin table and a few sums.
 """
 
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -26,12 +28,15 @@ TELLING_WORDS = 1000
 #: Ridge that keeps the weights of separable classes finite.
 _RIDGE = 1.0
 _FEATURES = 7
-#: Lengths of a step between two bounds that one scan tries, each a quarter of the one before.
+#: Lengths of a step that one scan tries, each a quarter of the one before.
 _LENGTHS = 6
 #: Part of a step at which the function counts as risen no more.
 _LEAST_REACH = 1e-15
-#: Part of the tolerance that the smoothing between two bounds may take, for a move of 1.
+#: Part of the tolerance that the smoothing may take at first, for a move of 1.
 _SMOOTH = 0.1
+#: By how much the smoothing is lessened while that narrows the gap, and by how much it must.
+_LESS_SMOOTH = 1e-2
+_NARROWED = 0.95
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,6 @@ class Settings:
     most: float | None = None
     sample_rows: int = 10_000
     class_steps: int = 12
-    rate_steps: int = 24
     tolerance: float = 1e-6
 
 
@@ -202,78 +206,77 @@ def mix_sources(
 
 
 def _rates(thin: DataFrame, settings: Settings) -> Column:
-    """Rates of least squares: expected tokens of the matched domains against their targets.
-
-    A step moves the rate of every document against its own gradient and projects it on 0. The gradient
-    is taken in the metric of the domains' shared tokens, so that one step solves the problem where no
-    rate is at 0. Between two bounds such steps may cycle: see :func:`_bounded_rates`.
-    """
+    """Rates of least squares: expected tokens of the matched domains against their targets."""
     matched = [i for i, name in enumerate(DOMAINS) if settings.targets.get(name, 0.0) > 0]
     p = [F.col("p")[i] for i in matched]
     n = F.col("n_tokens").cast("double")
-    rate: Column = F.lit(1.0)
-    now, shared = _expected(thin, n, p, rate)
+    now = _expected(thin, n, p)
     served = [k for k, tokens in enumerate(now) if tokens > 0]
     if not served:
-        return rate
-    p, matched = [p[k] for k in served], [matched[k] for k in served]
-    now, shared = now[served], shared[np.ix_(served, served)]
+        return F.lit(1.0)
+    p, matched, now = [p[k] for k in served], [matched[k] for k in served], now[served]
     shares = np.array([settings.targets[DOMAINS[i]] for i in matched])
     shares = shares / shares.sum()
     total = settings.total if settings.total is not None else now[0] / shares[0]
-    goal = shares * total
-    if settings.most is not None:
-        return _bounded_rates(thin, settings, n, p, goal)
-    for _ in range(settings.rate_steps):
-        gap = now - goal
-        if np.abs(gap).max() <= settings.tolerance * total:
-            break
-        step = np.linalg.solve(shared + np.eye(len(p)) * 1e-9 * np.trace(shared), gap)
-        rate = F.greatest(F.lit(0.0), rate - _dot(p, step))
-        now, shared = _expected(thin, n, p, rate)
-        if not np.trace(shared):
-            break
-    return rate
+    return _projected(thin, settings, n, p, shares * total)
 
 
-def _bounded_rates(
-    thin: DataFrame, settings: Settings, n: Column, p: Sequence[Column], goal: np.ndarray
-) -> Column:
+def _projected(thin: DataFrame, settings: Settings, n: Column, p: Sequence[Column], goal: np.ndarray) -> Column:
     """Rates from 0 to ``most`` of least squares; of equally good ones those nearest to 1, by tokens.
 
     The steps of all rounds are summed up and projected once: the rate is 1 less the posteriors times
     ``moved``, cut to its bounds. What is left of the gap is the gradient of a concave function of
     ``moved``, smoothed so that it has a maximum where the targets cannot be met. A step goes along the
     gradient in the metric of the documents between the bounds, as far as the function rises most of
-    some lengths tried in one scan. Rounds go on to the tolerance or until the function rises no more;
-    ``rate_steps`` does not end them. A gap that the bounds leave is logged.
+    some lengths tried in one scan, so no step can overshoot. Rounds go on to the optimality condition, or
+    until the function rises no more; then the smoothing is lessened as long as that narrows the gap.
+    A gap that is left is logged.
     """
     size = len(p)
     scale = float(goal.sum())
-    smooth = settings.tolerance * scale * _SMOOTH
+    allowed = settings.tolerance * scale
+    smooth = allowed * _SMOOTH
     moved = np.zeros(size)
+    last = math.inf
+    while True:
+        moved, gap = _ascended(thin, settings.most, n, p, goal, smooth, moved, allowed * _SMOOTH)
+        widest = float(np.abs(gap).max())
+        if widest <= allowed or widest > _NARROWED * last:
+            break
+        last, smooth = widest, smooth * _LESS_SMOOTH
+    if widest > allowed:
+        _log.warning("rates of at most %s leave a gap of %s tokens to the targets %s", settings.most, gap, goal)
+    return _rate_of(F.lit(1.0) - _dot(p, moved), settings.most)
+
+
+def _rate_of(want: Column, most: float | None) -> Column:
+    return F.greatest(F.lit(0.0), want if most is None else F.least(F.lit(float(most)), want))
+
+
+def _ascended(
+    thin: DataFrame, most: float | None, n: Column, p: Sequence[Column], goal: np.ndarray, smooth: float, moved: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """The move at the function's maximum from ``moved`` on, and the gap there."""
     reach = 1.0
-    value, gap, free = _dual(thin, settings.most, n, p, goal, smooth, [moved])[0]
+    value, gap, free = _dual(thin, most, n, p, goal, smooth, [moved])[0]
     while reach > _LEAST_REACH:
         slope = gap - smooth * moved
-        if np.abs(slope).max() <= settings.tolerance * scale * _SMOOTH:
+        if np.abs(slope).max() <= least:
             break
-        step = np.linalg.solve(free + np.eye(size) * smooth, slope)
+        step = np.linalg.solve(free + np.eye(len(p)) * smooth, slope)
         lengths = [moved + step * reach * 4.0**-k for k in range(_LENGTHS)]
-        tried = _dual(thin, settings.most, n, p, goal, smooth, lengths)
+        tried = _dual(thin, most, n, p, goal, smooth, lengths)
         best = int(np.argmax([found[0] for found in tried]))
         if tried[best][0] > value:
             moved, reach = lengths[best], 1.0
             value, gap, free = tried[best]
         else:
             reach *= 4.0**-_LENGTHS
-    if np.abs(gap).max() > settings.tolerance * scale:
-        _log.warning("rates of at most %s leave a gap of %s tokens to the targets %s", settings.most, gap, goal)
-    return F.greatest(F.lit(0.0), F.least(F.lit(float(settings.most)), F.lit(1.0) - _dot(p, moved)))
+    return moved, gap
 
 
 def _dual(
-    thin: DataFrame, most: float, n: Column, p: Sequence[Column], goal: np.ndarray, smooth: float, tried: Sequence[np.ndarray]
+    thin: DataFrame, most: float | None, n: Column, p: Sequence[Column], goal: np.ndarray, smooth: float, tried: Sequence[np.ndarray]
 ) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Value, gap of the expected tokens and shared tokens of the documents between the bounds, per try."""
     rows = thin.select(
@@ -285,9 +288,10 @@ def _dual(
     sums = []
     for t in range(len(tried)):
         want = F.col(f"u{t}")
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), want))
+        rate = _rate_of(want, most)
         # The bounds count as between them: at the start all documents may lie at the upper one.
-        free = F.col("n") * F.when((want >= 0) & (want <= most), 1.0).otherwise(0.0)
+        inside = want >= 0 if most is None else (want >= 0) & (want <= most)
+        free = F.col("n") * F.when(inside, 1.0).otherwise(0.0)
         # Half the square of the move, and the priced tokens.
         sums.append(F.sum(F.col("n") * (0.5 * (rate - 1.0) * (rate - 1.0) + (1.0 - want) * rate)))
         sums += [F.sum(F.col("n") * rate * F.col(f"p{k}")) for k in range(size)]
@@ -304,17 +308,10 @@ def _dual(
     ]
 
 
-def _expected(thin: DataFrame, n: Column, p: Sequence[Column], rate: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of the domains, and their shared tokens over documents with a rate above 0."""
-    rows = thin.select(n.alias("n"), rate.alias("r"), *(column.alias(f"p{k}") for k, column in enumerate(p)))
-    size = len(p)
-    weight = F.col("n") * F.when(F.col("r") > 0, 1.0).otherwise(0.0)
-    sums = [F.sum(F.col("n") * F.col("r") * F.col(f"p{k}")).alias(f"t{k}") for k in range(size)]
-    sums += [
-        F.sum(weight * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in range(size) for j in range(size)
-    ]
-    found = [float(value or 0.0) for value in rows.agg(*sums).first()] if size else []
-    return np.array(found[:size]), np.array(found[size:]).reshape(size, size)
+def _expected(thin: DataFrame, n: Column, p: Sequence[Column]) -> np.ndarray:
+    """Expected tokens of the domains at a rate of 1."""
+    row = thin.agg(*(F.sum(n * column).alias(f"t{k}") for k, column in enumerate(p))).first() if p else ()
+    return np.array([float(value or 0.0) for value in row])
 
 
 def apply_rates(
@@ -328,7 +325,9 @@ def apply_rates(
     """``docs`` with every row as often as its rate says, the broken part decided by a hash of the row.
 
     Without ``repeat`` rates above 1 count as 1. A rate within ``snap`` of 1 counts as 1 too, so that
-    ordinary documents neither vanish nor double by chance.
+    ordinary documents neither vanish nor double by chance; with ``snap=0`` the expected tokens are those
+    that were solved for. Null texts count as empty, null and repeated ids and equal rows (by id and text)
+    share a rate, an empty table stays empty, and texts of any length go through unread but for a hash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__mix_hash": F.xxhash64(text, F.length(text)), "__mix_id": F.col(id_col).cast("long")})

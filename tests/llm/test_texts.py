@@ -202,9 +202,39 @@ def test_mixing_meets_targets(spark):
     assert all(r.rate >= 0 and abs(r.p_good + r.p_low + r.p_toxic - 1) < 1e-9 for r in got)
 
 
+@pytest.mark.parametrize(
+    "alpha,seed,shares",
+    [
+        ((1, 0.2, 3), 49, (0.94, 0.04, 0.02)),
+        ((3, 3, 3), 9, (0.94, 0.04, 0.02)),
+        ((0.3, 0.3, 0.3), 1, (0.2, 0.3, 0.5)),
+    ],
+)
+def test_unbounded_rates_are_least_squares(spark, alpha, seed, shares):
+    """Soft posteriors and many rates at 0: as near to the targets as plain gradient steps of safe length come."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet(alpha, 1500)
+    n = rng.integers(5, 300, 1500).astype(float)
+    thin = spark.createDataFrame([(i, int(t), q) for i, (t, q) in enumerate(zip(n.tolist(), p.tolist()))], "i long, n_tokens long, p array<double>")
+    targets = dict(zip(("good", "low", "toxic"), shares))
+    rows = thin.select("i", _rates(thin, MixSettings(targets=targets)).alias("rate")).orderBy("i").collect()
+    rates = np.array([row.rate for row in rows])
+    goal = np.array(shares) * (n @ p[:, 0]) / shares[0]
+    weight = np.sqrt(n)[:, None] * p
+    step = 1 / np.linalg.eigvalsh(weight.T @ weight).max()
+    plain, ahead, pace = np.ones(1500), np.ones(1500), 1.0
+    for _ in range(20_000):
+        new = np.maximum(0, ahead - step * (p @ ((n * ahead) @ p - goal)))
+        next_pace = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        ahead, plain, pace = new + (pace - 1) / next_pace * (new - plain), new, next_pace
+    mine, theirs = (np.linalg.norm((n * r) @ p - goal) / goal.sum() for r in (rates, plain))
+    assert (rates >= 0).all() and rates.max() < 1000
+    assert mine <= theirs + 1e-4
+
+
 def test_bounded_rates_are_least_squares(spark):
     rows, labels = labelled(spark)
-    settings = MixSettings(targets={"good": 0.9, "toxic": 0.1}, most=1.0, rate_steps=60)
+    settings = MixSettings(targets={"good": 0.9, "toxic": 0.1}, most=1.0)
     got = mix_sources(frame(spark, rows), labels, settings).collect()
     n = np.array([r.n_tokens for r in got], dtype=float)
     p = np.array([[r.p_good, r.p_toxic] for r in got])
