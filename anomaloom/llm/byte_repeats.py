@@ -27,6 +27,7 @@ from anomaloom.llm.hashing import (
     U64,
     RangeHashes,
     anchor_runs,
+    digest_long,
     gram_hashes,
     mix,
     texts_of,
@@ -137,7 +138,7 @@ def _runs(window: int):
                 text = np.repeat(np.arange(len(texts)), np.diff(texts.bounds))
                 grams = gram_hashes(symbols, SEED_BYTES, BASE_A)
                 anchor, first, last = anchor_runs(grams, window - SEED_BYTES + 1, texts.bounds[1:] - window, text)
-                content = RangeHashes(BYTES_B[texts.data], BASE_B).of(first, last + window)
+                content = digest_long(RangeHashes(BYTES_B[texts.data], BASE_B).of(first, last + window), texts.data, first, last + window)
                 owner = text[first]
                 parts.append(
                     (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ def _byte_table(seed: int, lower: bool) -> np.ndarray:
 
 BYTES_A, BYTES_B = _byte_table(BASE_A, False), _byte_table(BASE_B, False)
 _BYTES_LOWER = _byte_table(BASE_A, True)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -64,6 +67,19 @@ def gram_hashes(symbols: np.ndarray, length: int, base: int) -> np.ndarray:
     return mix(done[: len(symbols) - length + 1])
 
 
+#: Bytes of a word or piece from which on its hash is a digest: polynomials modulo 2^64 agree on some
+#: long texts of two letters (the Thue-Morse word and its complement) whatever the base.
+LONG_BYTES = 128
+
+
+def digest_long(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``hashes`` with a 64-bit digest of the bytes in the places of long ranges."""
+    long = np.flatnonzero(ends - starts >= LONG_BYTES)
+    for at, start, end in zip(long.tolist(), starts[long].tolist(), ends[long].tolist()):
+        hashes[at] = int.from_bytes(hashlib.blake2b(data[start:end].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
 class RangeHashes:
     """Hash of any range of a symbol array from one running sum."""
 
@@ -132,7 +148,8 @@ class Texts:
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
         """64-bit hash of every word; ``lower`` takes A-Z as a-z."""
         table = _BYTES_LOWER if lower else BYTES_A
-        return RangeHashes(table[self.data], BASE_B).of(starts, ends)
+        hashes = RangeHashes(table[self.data], BASE_B).of(starts, ends)
+        return digest_long(hashes, _LOWER[self.data] if lower else self.data, starts, ends)
 
 
 def texts_of(column: pa.BinaryArray, most_bytes: int = 1 << 19, most_texts: int = 50_000) -> Iterator[Texts]:

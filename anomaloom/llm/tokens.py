@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from anomaloom.llm.hashing import BASE_B, BYTES_A, U64, RangeHashes, Texts
+from anomaloom.llm.hashing import BASE_B, BYTES_A, U64, RangeHashes, Texts, digest_long
 
 _SLOTS = 1 << 20
 _POOL_IDS = 8 << 20
@@ -89,7 +89,7 @@ class TokenIds:
         return starts, ends, np.searchsorted(texts.bounds, starts, side="right") - 1
 
     def _gather(self, texts: Texts, starts, ends, text) -> tuple[np.ndarray, np.ndarray]:
-        hashes = RangeHashes(BYTES_A[texts.data], BASE_B).of(starts, ends)
+        hashes = digest_long(RangeHashes(BYTES_A[texts.data], BASE_B).of(starts, ends), texts.data, starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at, size, pool = self._look_up(texts, distinct, starts[first], ends[first])
         lengths = size[back]
