@@ -229,8 +229,9 @@ def _projected(thin: DataFrame, settings: Settings, n: Column, p: Sequence[Colum
     ``moved``, smoothed so that it has a maximum where the targets cannot be met. A step goes along the
     gradient in the metric of the documents between the bounds, as far as the function rises most of
     some lengths tried in one scan, so no step can overshoot. Rounds go on to the optimality condition, or
-    until the function rises no more; then the smoothing is lessened as long as that narrows the gap.
-    A gap that is left is logged.
+    until the function rises no more. The smoothing weighs the squares of the moves of all rates: with an
+    upper bound these are small, without one it is lessened as long as that narrows the gap. A gap that
+    is left is logged.
     """
     size = len(p)
     scale = float(goal.sum())
@@ -241,7 +242,7 @@ def _projected(thin: DataFrame, settings: Settings, n: Column, p: Sequence[Colum
     while True:
         moved, gap = _ascended(thin, settings.most, n, p, goal, smooth, moved, allowed * _SMOOTH)
         widest = float(np.abs(gap).max())
-        if widest <= allowed or widest > _NARROWED * last:
+        if settings.most is not None or widest <= allowed or widest > _NARROWED * last:
             break
         last, smooth = widest, smooth * _LESS_SMOOTH
     if widest > allowed:
