@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 from anomaloom.functions.text import strip
 
 _CELL_END = "\x01"
+# Letters that only the SQL cast takes for a part of a number.
+_ONLY_SQL = "dDfFxXpPnN"
 _DIGITS = r"\d(?:_?\d)*"
 _UNDERSCORED = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
@@ -38,7 +40,7 @@ def numbers_of_cells(joined: Column) -> Column:
         return F.split(text, _CELL_END, -1).try_cast("array<double>")
 
     plain = ~joined.rlike("[^-+.eE0-9\\x01]")
-    voided = F.translate(joined, "dDfFxXpPnN,", "##########")
+    voided = F.translate(joined, f"{_ONLY_SQL},", "#" * len(_ONLY_SQL))
     return (
         F.when(plain, F.transform(parsed(joined), _finite))
         .when(~joined.contains("_"), F.transform(parsed(voided), _finite))
@@ -61,8 +63,14 @@ def _grouped_number(cell: Column) -> Column:
 
 
 def to_float(col: Column) -> Column:
-    """Number in one text cell, by the rules of :func:`numbers_of_cells`."""
-    return F.get(numbers_of_cells(joined_cells([col])), F.lit(0))
+    """Number in one text cell, by the rules of :func:`numbers_of_cells` but without an array around it."""
+    text = F.coalesce(col.cast("string"), F.lit(""))
+    voided = F.translate(text, f"{_ONLY_SQL}{_CELL_END},", "#" * (len(_ONLY_SQL) + 1))
+    return (
+        F.when(~text.rlike("[^-+.eE0-9]"), _finite(text.try_cast("double")))
+        .when(~text.contains("_"), _finite(voided.try_cast("double")))
+        .otherwise(_grouped_number(F.replace(text, F.lit(_CELL_END), F.lit("#"))))
+    )
 
 
 def clamp_score(col: Column) -> Column:

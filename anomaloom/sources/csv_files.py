@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from anomaloom.functions.labels import parse_binary_label
@@ -20,9 +23,13 @@ from anomaloom.sources.columns import (
     SEQUENCE_COLUMNS,
     require_column,
 )
+from anomaloom.sources.containers import opened
 
 # Place of a row in its input: file, then split, then a number that grows inside the split.
 POSITION = ("file", "block_start", "line_id")
+#: Bytes that one read takes from the head of a file.
+HEAD_BYTES = 64 << 10
+_LINE_END = re.compile(rb"[\r\n]")
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -45,17 +52,37 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     """Header cells of one CSV file; empty for an empty file."""
     lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select("value")
     first = lines.first()
-    return next(csv.reader([first.value.removeprefix("﻿")]), []) if first else []
+    return next(csv.reader([first.value.removeprefix("\ufeff")]), []) if first else []
 
 
-def distinct_headers(
-    spark: SparkSession, directory: str, max_files: int | None = None, pattern: str = "*.csv"
-) -> list[tuple[tuple[str, ...], list[str]]]:
-    """Each distinct header of the files of a folder with the files that have it, in name order.
+def _first_lines(listed: DataFrame) -> DataFrame:
+    """``path, header``: the first line of every listed file that is not empty. A task opens its files and
+    reads them up to the first line break; compressed ones (``.gz``, ``.bz2``, ``.zst``) are unpacked that far."""
 
-    One job reads the first line of every file; headers that are equal as text come back once, with
-    the paths their scans need. ``max_files`` takes the first files by name.
-    """
+    def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            lines = [first_line(path) for path in batch["path"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(lines, pa.string())], names=["path", "header"])
+
+    heads = listed.select("path").mapInArrow(read, "path string, header string")
+    return heads.where(F.col("header").isNotNull())
+
+
+def first_line(path: str, piece: int = HEAD_BYTES) -> str | None:
+    """First line of a file; None for an empty one."""
+    store, place = opened(path)
+    held = bytearray()
+    with store.open_input_stream(place) as file:
+        while more := file.read(piece):
+            end = _LINE_END.search(more)
+            held += more[: end.start()] if end else more
+            if end:
+                return held.decode("utf-8-sig", "replace")
+    return held.decode("utf-8-sig", "replace") if held else None
+
+
+def _scanned_lines(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+    """``path, header`` by a scan, for file systems that only Spark can open."""
     lines = (
         spark.read.option("pathGlobFilter", pattern)
         .text(directory)
@@ -64,10 +91,29 @@ def distinct_headers(
         .withColumn("id", F.monotonically_increasing_id())
     )
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    listed = listed.select("path", F.col("_metadata.file_path").alias("file"))
+    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    return first.join(listed.select("path", F.col("_metadata.file_path").alias("file")), "file").select("path", "header")
+
+
+def distinct_headers(
+    spark: SparkSession, directory: str, max_files: int | None = None, pattern: str = "*.csv"
+) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Each distinct header of the files of a folder with the files that have it, in name order.
+
+    One job reads the first bytes of every file, whatever its size; headers that are equal as text come
+    back once, with the paths their scans need. ``max_files`` takes the first files by name. On a file
+    system that :mod:`pyarrow.fs` cannot open, the headers come from a scan.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select("path")
     if max_files is not None:
         listed = listed.orderBy("path").limit(max_files)
-    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("header")).join(listed, "file")
+    any_file = listed.first()
+    if any_file is None:
+        return []
+    if _opens(any_file.path):
+        first = _first_lines(listed)
+    else:
+        first = _scanned_lines(spark, directory, pattern).join(listed, "path", "left_semi")
     grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     found = [
         (tuple(next(csv.reader([row["header"].removeprefix("\ufeff")]), [])), row["paths"])
@@ -76,6 +122,14 @@ def distinct_headers(
     return sorted(((header, paths) for header, paths in found if header), key=lambda item: item[1][0])
 
 
+def _opens(path: str) -> bool:
+    try:
+        store, place = opened(path)
+        return store.get_file_info(place).type != fs.FileType.NotFound
+    except (pa.ArrowInvalid, OSError):
+        return False
+
+
 def _read_rows(spark: SparkSession, paths: str | list[str], width: int, multi_line: bool = False) -> DataFrame:
     schema = ", ".join(f"c{i} STRING" for i in range(width))
     return (

@@ -1,3 +1,4 @@
+import gzip
 import math
 import random
 from collections import Counter
@@ -13,7 +14,7 @@ from anomaloom.sources import csv_files
 CELLS = {
     "1": 1.0, "1,234": 1234.0, " 5 ": 5.0, "1d": 0.0, "2F": 0.0, "0x1p3": 0.0, "Infinity": 0.0, "-inf": 0.0, "nan": 0.0,
     "NA": 0.0, "none": 0.0, "1_000": 1000.0, "1__0": 0.0, "_1": 0.0, "1_0.5e1_0": 10.5e10, "abc": 0.0, "": 0.0, "1e5": 1e5,
-    "1.": 1.0, ".": 0.0, ".5": 0.5, "+3": 3.0, "1e400": 0.0, "-2.5E-3": -0.0025, " ,7 ,": 7.0, "1e39": 1e39, "--1": 0.0,
+    "\x015": 0.0, "1_0\x01": 0.0, "1.": 1.0, ".": 0.0, ".5": 0.5, "+3": 3.0, "1e400": 0.0, "-2.5E-3": -0.0025, " ,7 ,": 7.0, "1e39": 1e39, "--1": 0.0,
 }
 
 
@@ -250,3 +251,28 @@ def test_many_files_three_headers_and_line_breaks(spark, tmp_path):
     (odd / "x.csv").write_text('a,note,Label\n1,"two\nlines",Benign\n2\x013,5,Benign\n')
     rows = csv_files.read_flow_csvs(spark, str(odd), target_count=2, add_totals=False, multi_line=True).rows.collect()
     assert sorted(tuple(r.features) for r in rows) == [(0.0, 5.0), (1.0, 0.0)]
+
+
+def test_heads_of_files(spark, tmp_path, monkeypatch):
+    """Headers of empty, headless, compressed and long files, by first bytes and by a scan alike."""
+    texts = {
+        "a": "\ufeffa,b,Label\r\n1,2,Benign\r\n", "b": "", "c": "\n1,2,Benign\n", "d": "a,b,Label", "e": "x,b,Label\r1,2,Benign",
+        "f": "n" * 100_000 + ",Label\n1,Benign\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    (tmp_path / "g.csv.gz").write_bytes(gzip.compress(b"a,b,Label\n1,2,Benign\n"))
+    expected = [
+        (("a", "b", "Label"), ["a.csv", "d.csv", "g.csv.gz"]),
+        (("x", "b", "Label"), ["e.csv"]),
+        (("n" * 100_000, "Label"), ["f.csv"]),
+    ]
+
+    def found():
+        headers = csv_files.distinct_headers(spark, str(tmp_path), pattern="*.csv*")
+        return sorted((header, [path.rsplit("/", 1)[1] for path in paths]) for header, paths in headers)
+
+    assert found() == sorted(expected)
+    assert csv_files.first_line(str(tmp_path / "f.csv"), piece=7) == "n" * 100_000 + ",Label"
+    monkeypatch.setattr(csv_files, "_opens", lambda path: False)
+    assert found() == sorted(expected)
