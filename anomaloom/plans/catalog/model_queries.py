@@ -10,19 +10,19 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomaloom.functions.numeric import argmax
-from anomaloom.operators import models
+from anomaloom.operators import convolution, models, surprise
 from anomaloom.operators.classes import class_counts, class_table, inverse_frequency_weights, with_class_weight
 from anomaloom.operators.epochs import EpochSettings, best_epoch, train_epochs, training_folder, with_logits
 from anomaloom.operators.splits import stratified_split
 from anomaloom.operators.vocab import build_vocab
 from anomaloom.operators.windows import lay_out_windows
-from anomaloom.plans.catalog.flow_queries import _keys_sql, _numbered_sql, numbered_flows
+from anomaloom.plans.catalog.flow_queries import _keys_sql, _normal_sql, _numbered_sql, numbered_flows, split_windows
 from anomaloom.plans.catalog.inputs import EV, EVENT_ORDER, LINES
 from anomaloom.plans.catalog.log_queries import _LABELS, _TRACES, block_labels, block_traces, log_lines
 from anomaloom.plans.catalog.registry import query, table
 from anomaloom.plans.log_analysis import analyze_lines
 from anomaloom.plans.training import train_and_evaluate
-from anomaloom.session import shared_folder
+from anomaloom.session import shared_folder, stage
 from anomaloom.sources.datasets import read_metrics_report, write_dataset
 
 _NAMES = [f"class_{i}" for i in range(10)]
@@ -235,3 +235,67 @@ def epoch_training(spark, d):
     settings = EpochSettings(epochs=6, batches=24, learning_rate=0.5, patience=3)
     history = train_epochs(rows, folder, 2, settings)
     return with_logits(rows, best_epoch(history)).select("id", argmax(F.col("logits")).alias("predicted"))
+
+
+# --- order and time -------------------------------------------------------------------------
+
+# Quantity and discount under six kernels each.
+_BANK = convolution.kernel_bank((0, 2), 64, 6)
+_BANK_SQL = ", ".join(f"({i}, {k.feature}, {k.dilation}, {', '.join(map(str, k.high))})" for i, k in enumerate(_BANK))
+_NINE = " + ".join(f"x[t + {tap} * d]" for tap in range(convolution.TAPS))
+
+
+def _series_sql(column: str) -> str:
+    rows = f"list(CAST(CAST({column} AS FLOAT) AS DOUBLE) ORDER BY rn)"
+    return f"list_concat([0e0 for i in range(64 - max(n_rows))], {rows})"
+
+
+@query(_normal_sql("l_suppkey", 64, 4) + f""",
+bank(kernel, feature, d, a, b, c) AS (VALUES {_BANK_SQL}),
+series AS (SELECT keys.file, w, {_series_sql("l_quantity")} AS x0, {_series_sql("l_discount")} AS x2
+  FROM keys JOIN numbered ON numbered.file = keys.file AND rn BETWEEN last_rn - 63 AND last_rn GROUP BY 1, 2),
+answers AS (SELECT file, w, kernel,
+    [3e0 * (x[t + a * d] + x[t + b * d] + x[t + c * d]) - ({_NINE}) for t in range(1, 65 - 8 * d)] AS r
+  FROM (SELECT *, CASE feature WHEN 0 THEN x0 ELSE x2 END AS x FROM series CROSS JOIN bank)),
+limits AS (SELECT kernel, sum(list_sum(r)) / sum(len(r)) AS bound FROM answers JOIN train USING (file, w) GROUP BY 1)
+SELECT file, w, CAST(kernel AS INTEGER) AS kernel, round(list_max(r), 4) AS top, round(len([v for v in r if v > bound]) / len(r), 6) AS share
+FROM answers JOIN limits USING (kernel)""")
+def temporal_features(spark, d):
+    """Largest response and share above the train windows' mean, of every window and kernel."""
+    numbered = numbered_flows(spark, d)
+    laid_out = stage(lay_out_windows(numbered, 64, 4), "windows")
+    train = split_windows(numbered, 64, 4).where(F.col("split") == "train").select("file", "w")
+    limits = convolution.fit_thresholds(laid_out.join(train, ["file", "w"]), _BANK, 64)
+    values = convolution.convolution_values(F.col("window"), _BANK, 64, limits)
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(len(_BANK) - 1)), lambda i: F.struct(
+        i.alias("kernel"), F.get("values", i * 2).alias("top"), F.get("values", i * 2 + 1).alias("share")
+    ))
+    rows = laid_out.select("file", "w", values.alias("values")).select("file", "w", F.inline(pairs))
+    return rows.withColumns({"top": F.round("top", 4), "share": F.round("share", 6)})
+
+
+def _gram_counts(name: str, keys: str, count: str) -> str:
+    return f"{name} AS (SELECT {keys}, count(*) AS {count} FROM known GROUP BY ALL)"
+
+
+@query(f"""WITH {EV}, {_LABELS},
+grams AS (SELECT block_id, lag(event, 2) OVER o AS a, lag(event) OVER o AS b, event FROM ev WINDOW o AS (PARTITION BY block_id ORDER BY ts, event_id)),
+known AS (SELECT grams.* FROM grams JOIN labels_of USING (block_id) WHERE label = 0),
+{_gram_counts("abe", "a, b, event", "n_abe")}, {_gram_counts("ab", "a, b", "n_ab")}, {_gram_counts("be", "b, event", "n_be")},
+{_gram_counts("ball", "b", "n_b")}, {_gram_counts("e", "event", "n_e")},
+size AS (SELECT count(*) AS n, 1e0 / (count(DISTINCT event) + 1) AS even FROM known),
+found AS (SELECT g.block_id, coalesce(n_abe, 0) / n_ab AS long, coalesce(n_be, 0) / n_b AS short, coalesce(n_e, 0) / n AS base, even
+  FROM grams g LEFT JOIN abe ON abe.a IS NOT DISTINCT FROM g.a AND abe.b IS NOT DISTINCT FROM g.b AND abe.event = g.event
+  LEFT JOIN ab ON ab.a IS NOT DISTINCT FROM g.a AND ab.b IS NOT DISTINCT FROM g.b
+  LEFT JOIN be ON be.b IS NOT DISTINCT FROM g.b AND be.event = g.event LEFT JOIN ball ON ball.b IS NOT DISTINCT FROM g.b
+  LEFT JOIN e ON e.event = g.event CROSS JOIN size),
+rated AS (SELECT block_id, -ln(0.05e0 * even + CASE WHEN short IS NULL THEN 0.95e0 * base WHEN long IS NULL THEN 0.1e0 * base + 0.85e0 * short
+  ELSE 0.1e0 * base + 0.25e0 * short + 0.6e0 * long END) AS cost FROM found)
+SELECT block_id, count(*) AS n_events, round(avg(cost), 6) AS surprise, round(max(cost), 6) AS peak FROM rated GROUP BY 1""")
+def sequence_surprise(spark, d):
+    """How unexpected the events of every block are, after the blocks labelled normal."""
+    traces = stage(block_traces(spark, d), "traces")
+    normal = block_labels(spark, d).where(F.col("label") == 0).select("block_id")
+    model = surprise.fit_next_events(traces.join(normal, "block_id"))
+    rated = surprise.sequence_surprise(traces, model, ["block_id"])
+    return rated.withColumns({"surprise": F.round("surprise", 6), "peak": F.round("peak", 6)})
