@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from anomaloom.llm.components import connected_components
 from anomaloom.llm.rows import whole_groups
-from anomaloom.llm.vectors import common_size, directions, matrix, sampled, usable
+from anomaloom.llm.vectors import directions, matrix, sampled, usable, vector_sizes
 from anomaloom.session import stage
 
 #: Coordinates that make the grid; one more holds the length of what they leave.
@@ -47,8 +48,8 @@ def join_near_vectors(
     more. Returns ``row_id`` (the id), ``n_links`` (other rows linked directly), ``component_id``
     (smallest id reachable by links, itself included) and ``kept`` (whether the id is that smallest).
 
-    Vectors that are null, empty or zero, or hold null or non-finite components, or have another number
-    of components than most, link with nothing. Equal vectors are compared once. Rows that share an id
+    Vectors that are null, empty or zero, or hold null or non-finite components link with nothing; the
+    others are compared with all that have as many components. Equal vectors are compared once. Rows that share an id
     are one node; rows without an id take part, their ``component_id`` is null if no linked row has
     an id, and they are not kept. An empty table gives an empty result.
     """
@@ -56,12 +57,15 @@ def join_near_vectors(
     fine = named.where(usable(F.col("vector")))
     classes = fine.groupBy("vector").agg(F.min("row_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes.withColumn("node", F.coalesce("least_id", F.xxhash64("vector"))), "vectors")
-    size = common_size(classes, "vector")
-    joined = classes.where(F.size("vector") == size)
-    lead = directions(_unit(sampled(joined, "vector", size)), min(GRID_COORDINATES, size))
     epsilon = math.sqrt(max(0.0, 2.0 - 2.0 * similarity))
-    intervals = stage(_intervals(joined, size, lead, epsilon, interval), "intervals")
-    links = stage(_links(intervals, size, lead, epsilon, similarity), "links")
+    parts = []
+    for size in vector_sizes(classes, "vector"):
+        joined = classes.where(F.size("vector") == size)
+        lead = directions(_unit(sampled(joined, "vector", size)), min(GRID_COORDINATES, size))
+        intervals = stage(_intervals(joined, size, lead, epsilon, interval), "intervals")
+        parts.append(_links(intervals, size, lead, epsilon, similarity))
+    none = rows.sparkSession.createDataFrame([], _LINKS)
+    links = stage(reduce(DataFrame.unionByName, parts, none), "links")
     reached = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
     nodes = (

@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from anomaloom.llm.vectors import common_size, directions, matrix, sampled, usable
+from anomaloom.llm.vectors import directions, matrix, sampled, usable, vector_sizes
+from anomaloom.session import stage
 
 #: Queries that are sent out together; more take further passes over the vectors.
 QUERY_BLOCK = 20_000
@@ -29,6 +30,7 @@ _ROUNDS = 15
 #: Share of the sample's true neighbours that the learnt radius takes in.
 _TAKEN_IN = 0.98
 _SAMPLE_QUERIES = 400
+_FOUND = "query_id long, row_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -152,33 +154,45 @@ def nearest(
     sample. Where a task's radius holds fewer than ``neighbours`` codes it is widened to the
     nearest codes, so a query has as many neighbours as there are candidates.
 
-    Rows with a null id take no part, nor do vectors that are null, empty or zero, hold null or
-    non-finite components, or have another number of components than most. Rows that share an id are
-    neighbours of others each, and never of the query with that id. An empty table gives an empty result.
+    Rows with a null id take no part, nor do vectors that are null, empty or zero, or hold null or
+    non-finite components. A query's candidates are the vectors with as many components; codes are learnt
+    for each number of components. Rows that share an id are neighbours of others each, and never of the
+    query with that id. An empty table gives an empty result.
+
+    Queries pass the driver in blocks of ``query_block``; a block's findings are written down and its
+    vectors given up before the next one, so the driver never holds more than one block.
     """
     fine = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    size = common_size(fine, vector_col)
-    fine = fine.where(F.size(vector_col) == size)
+    found = rows.sparkSession.createDataFrame([], _FOUND)
+    for size in vector_sizes(fine, vector_col):
+        same = fine.where(F.size(vector_col) == size)
+        for part in _nearest_of_size(same, is_query, neighbours, id_col, vector_col, bits, query_block, size):
+            found = found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy("score", "row_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
+    return ranked.select("query_id", "rank", "row_id", "score")
+
+
+def _nearest_of_size(
+    fine: DataFrame, is_query: Column, neighbours: int, id_col: str, vector_col: str, bits: int, query_block: int, size: int
+) -> Iterator[DataFrame]:
+    """Staged findings of every block of queries among vectors of one size."""
     named = fine.select(F.col(id_col).cast("long").alias("row_id"), F.col(vector_col).alias("vector"))
     codes = learn_codes(sampled(named, "vector", size), neighbours, bits)
     queries = fine.where(is_query).select(
         F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("vector")
     )
     blocks = max(1, -(-queries.count() // query_block))
-    found = None
     for block in range(blocks):
         asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        part = _search(named, asked, size, codes, neighbours)
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy("score", "row_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
-    return ranked.select("query_id", "rank", "row_id", "score")
+        if asked.num_rows:
+            yield _search(named, asked, size, codes, neighbours)
 
 
 def _search(rows: DataFrame, asked: pa.Table, size: int, codes: Codes, neighbours: int) -> DataFrame:
     asked = asked.combine_chunks()
     ids = asked["query_id"].to_numpy()
-    vectors = matrix(asked["vector"].chunk(0), size) if len(ids) else np.zeros((0, size))
+    vectors = matrix(asked["vector"].chunk(0), size)
     shared = rows.sparkSession.sparkContext.broadcast((ids, vectors, codes))
 
     def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +200,7 @@ def _search(rows: DataFrame, asked: pa.Table, size: int, codes: Codes, neighbour
         words = codes.of(vectors)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
         for batch in stream:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows:
                 continue
             there = matrix(batch["vector"], size)
             own = batch["row_id"].to_numpy()
@@ -213,7 +227,9 @@ def _search(rows: DataFrame, asked: pa.Table, size: int, codes: Codes, neighbour
             )
 
     numbers = rows.select("row_id", F.col("vector").cast("array<double>").alias("vector"))
-    return numbers.mapInArrow(search, "query_id long, row_id long, score double")
+    found = stage(numbers.mapInArrow(search, _FOUND), "nearest")
+    shared.destroy()
+    return found
 
 
 def _nearest_codes(index: MultiIndex, code: np.ndarray, allowed: np.ndarray, count: int) -> np.ndarray:

@@ -18,11 +18,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(numbers, lambda x: x != 0.0), F.lit(False))
 
 
-def common_size(rows: DataFrame, vector: str) -> int:
-    """The most frequent number of components (the smaller of equally frequent ones); 0 without rows."""
-    sizes = rows.groupBy(F.size(vector).alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.orderBy(F.desc("n"), "size").first()
-    return first["size"] if first else 0
+def vector_sizes(rows: DataFrame, vector: str) -> list[int]:
+    """The numbers of components that occur, ascending; vectors are compared with those of their own size.
+
+    A table of embeddings has as many sizes as models made it; each size is worked on for itself.
+    """
+    return sorted(row["size"] for row in rows.select(F.size(vector).alias("size")).distinct().collect())
 
 
 def sampled(rows: DataFrame, vector: str, size: int, most: int = SAMPLE_VECTORS) -> np.ndarray:

@@ -107,12 +107,12 @@ def brute_cosine(rows, similarity):
     fine = {
         i: np.array(v, dtype=float)
         for i, v in rows
-        if v is not None and len(v) == 4 and None not in v and np.isfinite(v).all() and np.any(v)
+        if v is not None and None not in v and np.isfinite(v).all() and np.any(v)
     }
     linked = []
     for a in fine:
         for b in fine:
-            if a < b:
+            if a < b and len(fine[a]) == len(fine[b]):
                 x, y = fine[a] / np.abs(fine[a]).max(), fine[b] / np.abs(fine[b]).max()
                 if x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= similarity:
                     linked.append((a, b))
@@ -126,7 +126,7 @@ def test_grid_join(spark, interval):
     rows = [(i, rng.standard_normal(4).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(40)]
     rows += [(400, None), (401, []), (402, [0.0] * 4), (403, [1.0, None, 0.0, 0.0]), (404, [float("nan"), 1.0, 1.0, 1.0])]
-    rows += [(405, [float("inf"), 1.0, 1.0, 1.0]), (406, [1.0, 2.0]), (407, [1e-30] * 4), (408, [2e-30] * 4), (409, [1e30] * 4)]
+    rows += [(405, [float("inf"), 1.0, 1.0, 1.0]), (406, [1.0, 2.0]), (410, [2.0, 4.0]), (411, [1.0, 2.1]), (412, [2.0, -1.0]), (407, [1e-30] * 4), (408, [2e-30] * 4), (409, [1e30] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS node", "2 AS vector")
     got = join_near_vectors(df, similarity=0.9, interval=interval).collect()
     assert {r.row_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_cosine(rows, 0.9)

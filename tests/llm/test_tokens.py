@@ -165,12 +165,15 @@ def test_nearest(spark):
     centres = rng.standard_normal((20, 16))
     data = [(i, (centres[i % 20] + 0.3 * rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(1200)]
     data += [(2000 + i, data[0][1]) for i in range(30)]
-    odd = [(3000, None), (3100, [0.0] * 16), (3200, [None] + [1.0] * 15), (3300, [float("inf")] * 16), (3400, [1.0]), (None, data[0][1])]
+    odd = [(3000, None), (3100, [0.0] * 16), (3200, [None] + [1.0] * 15), (3300, [float("inf")] * 16), (None, data[0][1])]
+    odd += [(3400, [1.0, 0.0]), (3401, [0.0, 3.0]), (3402, [1.0, 0.5])]
     df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>").selectExpr("*", "1 AS row_id", "1 AS vector")
     got = nearest(df, F.col("vec_id") % 100 == 0, neighbours=10).collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, []).append((r["rank"], r.row_id, r.score))
+    # Vectors of another size have neighbours of their own size.
+    assert [(rank, row) for rank, row, _ in sorted(found.pop(3400))] == [(1, 3402), (2, 3401)]
     x = np.array([v for _, v in data], dtype=np.float64)
     ids = np.array([i for i, _ in data])
     hits = 0
@@ -188,6 +191,15 @@ def test_nearest(spark):
     assert hits / (10 * len(asked)) >= 0.9
 
 
+def test_nearest_by_blocks_of_queries(spark):
+    """Several blocks find what one finds."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole, parts = (nearest(df, F.col("vec_id") % 3 == 0, query_block=size).collect() for size in (1000, 30))
+    assert len(whole) == 1000 and sorted(whole) == sorted(parts)
+
+
 def test_nearest_of_few_or_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert nearest(spark.createDataFrame([], schema), F.col("vec_id") == 0).collect() == []
