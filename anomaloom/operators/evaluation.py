@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from anomaloom.functions.numeric import argmax, let, safe_ratio, softmax
 from anomaloom.operators.joins import lookup_join
 from anomaloom.operators.ranking import average_ranks, prefix_sums
+from anomaloom.operators.score_counts import roc_auc_of_counts
 from anomaloom.session import stage
 
 MIN_SUPPORT = 20
@@ -122,15 +123,7 @@ def roc_auc(df: DataFrame, truth: str = "anomaly", score: str = "anomaly_score",
     per_score = df.groupBy(F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == 1).alias("positives")
     )
-    ranked = prefix_sums(per_score, [F.col("score")], {"n": "upto"}, **sizes)
-    rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
-    sums = ranked.agg(
-        F.sum(F.col("positives") * rank).alias("rank_sum"),
-        F.sum("positives").cast("double").alias("p"),
-        F.sum(F.col("n") - F.col("positives")).cast("double").alias("q"),
-    )
-    area = (F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
-    return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), area).alias("roc_auc"))
+    return roc_auc_of_counts(per_score, **sizes)
 
 
 def average_precision(

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomaloom.operators import evaluation
 from anomaloom.operators.classes import class_table
+from anomaloom.operators.score_counts import (
+    average_precision_of_counts,
+    merged_counts,
+    read_score_counts,
+    roc_auc_of_counts,
+    write_score_counts,
+)
 from anomaloom.plans.catalog.inputs import JUDGED, SCORED, judged_documents, scored_embeddings
 from anomaloom.plans.catalog.registry import query, table
+from anomaloom.session import shared_folder, stage
 
 _NAMES = [f"class_{i}" for i in range(10)]
 
@@ -98,6 +108,23 @@ def average_precision(spark, d):
     return precision.select(F.round("average_precision", 6).alias("average_precision"))
 
 
+@query(f"""WITH {JUDGED} {_RANKED}, sums AS (SELECT sum(avg_rank) FILTER (anomaly = 1) AS s, count(*) FILTER (anomaly = 1) AS p, count(*) FILTER (anomaly <> 1) AS q FROM ranked),
+per_score AS (SELECT anomaly_score, count(*) AS n, sum(anomaly) AS positives FROM judged GROUP BY 1),
+running AS (SELECT positives, sum(n) OVER w AS seen, sum(positives) OVER w AS found FROM per_score WINDOW w AS (ORDER BY anomaly_score DESC))
+SELECT round((s - p * (p + 1) / 2e0) / (p * q), 6) AS roc_auc,
+  (SELECT round(sum(positives * found / seen) / sum(positives), 6) FROM running) AS average_precision FROM sums""")
+def folded_metrics(spark, d):
+    """Both figures from stored counts of runs, one of which was written twice."""
+    path = f"{shared_folder(spark).rstrip('/')}/score-counts-{uuid.uuid4().hex}"
+    judged = judged_documents(spark, d).withColumn("run", F.substring(F.md5(F.col("id").cast("string")), 1, 1))
+    write_score_counts(judged, path)
+    write_score_counts(judged.where("run = 'a'"), path)
+    merged = stage(merged_counts(read_score_counts(spark, path)), "merged-counts")
+    figures = roc_auc_of_counts(merged).select(F.round("roc_auc", 6).alias("roc_auc"))
+    precision = average_precision_of_counts(merged).first()[0]
+    return figures.withColumn("average_precision", F.round(F.lit(precision), 6))
+
+
 @query(f"""WITH {SCORED} SELECT class_index, 'Very low support for class ''' || class_name || ''' in evaluation split (support=' || support
   || '). Metrics for this class are unstable.' AS warning FROM per_class WHERE support < 50""")
 def support_warnings(spark, d):
