@@ -1,11 +1,12 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets that share a signature are candidates, and only they. Candidates whose sizes or sketches
-(counters, a sound lower bound of their difference) rule out a link fall away where they meet. The
-rest of a signature is tied together by few links, never by all pairs; the connected groups of these
-links are cut into blocks of bounded size, and every pair of blocks is joined exactly in a task: sets
-that share a signature are compared by their shingles. Equal sets are compared once, whatever
-their number.
+(counters, a sound lower bound of their difference) rule out a link fall away where they meet: in one
+task as long as a signature has few sets, else the signature is cut into blocks and every pair of blocks
+meets in a task of its own. The rest of a signature is tied together by few links, never by all pairs;
+the connected groups of these links are cut into blocks of bounded size, and every pair of blocks is
+joined exactly in a task: sets that share a signature are compared by their shingles. Equal sets are
+compared once, whatever their number.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from anomaloom.session import stage
 
 #: Sets of one block; a task joins two blocks at most.
 BLOCK_SETS = 1500
+#: Sets of one block of a signature; a signature with no more is not cut.
+SIGNATURE_SETS = 1000
 #: Sets whose signatures a task remembers as sent; equal sets sign once per task.
 REMEMBERED_SETS = 500_000
 #: Cells of row hashes by which texts are looked through before they are shipped.
@@ -43,6 +46,8 @@ _SETS_ARROW = pa.schema(
     ]
 )
 _SIGNED_ARROW = pa.schema([("signature", pa.int64()), ("key_a", pa.int64())])
+_SHARED = "signature long, key_a long, block long"
+_SHARED_ARROW = pa.schema([("signature", pa.int64()), ("key_a", pa.int64()), ("block", pa.int64())])
 _LINKS_ARROW = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
 
 
@@ -53,6 +58,7 @@ def jaccard_join(
     shingle: int = 5,
     percent: int = 80,
     block_sets: int = BLOCK_SETS,
+    signature_sets: int = SIGNATURE_SETS,
 ) -> DataFrame:
     """One row per document with the class of documents it is linked to.
 
@@ -87,12 +93,13 @@ def jaccard_join(
         texts.mapInArrow(_sign(shingle, percent), "signature long, key_a long")
         .repartition("signature")
         .sortWithinPartitions("signature", "key_a")
-        .mapInArrow(_shared_signatures, "signature long, key_a long")
+        .mapInArrow(_shared_signatures(signature_sets), _SHARED)
     )
     candidates = (
-        shared.join(classes.select("key_a", "n_shingles", "sketch"), "key_a")
-        .repartition("signature")
-        .sortWithinPartitions("signature")
+        _met(stage(shared, "shared"))
+        .join(classes.select("key_a", "n_shingles", "sketch"), "key_a")
+        .repartition("task")
+        .sortWithinPartitions("task")
         .mapInArrow(_near_candidates(percent), "a long, b long")
     )
     groups = connected_components(candidates)
@@ -189,49 +196,99 @@ def _sign(shingle: int, percent: int):
     return run
 
 
-def _shared_signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_signatures(most: int):
     """Distinct rows of the signatures that more than one set has; rows come sorted.
 
-    Keeps one row between batches, so a signature of any frequency passes in bounded memory.
+    ``block`` numbers the blocks of ``most`` sets of a signature that has more, and is -1 for the others.
+    Keeps ``most`` rows between batches, so a signature of any frequency passes in bounded memory.
     """
-    schema = _SIGNED_ARROW
-    signed, sets = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    last_signature = last_set = None  # of the last row sent
-    for batch in stream:
-        if not batch.num_rows:
-            continue
-        signed = np.concatenate([signed, batch["signature"].to_numpy()])
-        sets = np.concatenate([sets, batch["key_a"].to_numpy()])
-        new = np.ones(len(signed), dtype=bool)
-        new[1:] = (signed[1:] != signed[:-1]) | (sets[1:] != sets[:-1])
-        if last_signature is not None:
-            new[0] = signed[0] != last_signature or sets[0] != last_set
-        signed, sets = signed[new], sets[new]
-        if not len(signed):
-            continue
-        with_next = np.zeros(len(signed), dtype=bool)
-        with_next[:-1] = signed[1:] == signed[:-1]
-        take = with_next.copy()
-        take[1:] |= with_next[:-1]
-        if last_signature is not None:
-            take |= signed == last_signature
-        if take.any():
-            yield pa.RecordBatch.from_arrays([pa.array(signed[take]), pa.array(sets[take])], schema=schema)
-            last_signature, last_set = signed[take][-1], sets[take][-1]
-        # The last row waits if its signature may still turn out to be shared.
-        rest = np.zeros(len(signed), dtype=bool)
-        rest[-1] = not take[-1]
-        signed, sets = signed[rest], sets[rest]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
+        signed, sets = none, none
+        large = last_set = None  # the signature that has been found to need blocks, and its last set
+        sent = 0
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            signed = np.concatenate([signed, batch["signature"].to_numpy()])
+            sets = np.concatenate([sets, batch["key_a"].to_numpy()])
+            new = np.ones(len(signed), dtype=bool)
+            new[1:] = (signed[1:] != signed[:-1]) | (sets[1:] != sets[:-1])
+            if large is not None:
+                new[0] = signed[0] != large or sets[0] != last_set
+            signed, sets = signed[new], sets[new]
+            if not len(signed):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], signed[1:] != signed[:-1]]))
+            rows = np.diff(np.append(starts, len(signed)))
+            total = rows.copy()
+            place = np.arange(len(signed)) - np.repeat(starts, rows)
+            if large is not None and signed[0] == large:
+                total[0] += sent
+                place[: rows[0]] += sent
+            block = np.where(np.repeat(total > most, rows), place // most, -1)
+            take = np.repeat(total > 1, rows)
+            # The last signature waits as long as it may turn out to be shared or to need blocks.
+            waits = total[-1] <= most
+            if waits:
+                take[starts[-1] :] = False
+            if take.any():
+                yield _shared_batch(signed[take], sets[take], block[take])
+            if waits:
+                large = None
+                signed, sets = signed[starts[-1] :], sets[starts[-1] :]
+            else:
+                large, last_set, sent = signed[-1], sets[-1], total[-1]
+                signed, sets = none, none
+        if len(signed) > 1:
+            yield _shared_batch(signed, sets, np.full(len(signed), -1, dtype=np.int64))
+
+    return run
+
+
+def _shared_batch(signed: np.ndarray, sets: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(signed), pa.array(sets), pa.array(block)], schema=_SHARED_ARROW)
+
+
+def _met(shared: DataFrame) -> DataFrame:
+    """``task, side, key_a``: where the sets of a signature meet; sides are those of ``across``."""
+    small = shared.where("block < 0").select(
+        F.col("signature").alias("task"), F.lit(-1).cast("long").alias("side"), "key_a"
+    )
+    large = shared.where("block >= 0")
+    blocks = large.groupBy("signature").agg(F.max("block").alias("last"))
+    # By signature and block: no key has more rows than a block has sets.
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    paired = large.join(blocks, ["signature", "block"]).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))
+    )
+    return small.unionByName(
+        paired.select(
+            F.xxhash64("signature", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+            (F.col("block") * 2 + (F.col("block") == F.col("other")).cast("long")).alias("side"),
+            "key_a",
+        )
+    )
+
+
+def across(side: np.ndarray, i, j) -> np.ndarray:
+    """Whether a task takes the pairs of rows ``i`` and ``j``.
+
+    ``side`` is -1 where a task holds a whole group; else twice the block's number, plus one in the
+    task that joins the block with itself. A task of two blocks takes pairs across them only.
+    """
+    return (side[j] < 0) | (side[j] % 2 == 1) | (side[j] != side[i])
 
 
 def _near_candidates(percent: int):
     """Links that keep together all sets of a signature which may be similar."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(stream, "signature", 20_000):
-            signed, keys = table["signature"].to_numpy(), table["key_a"].to_numpy()
+        for table in whole_groups(stream, "task", 5000):
+            keys = table["key_a"].to_numpy()
             drawn = SketchTable(table["sketch"].to_pylist(), table["n_shingles"].to_numpy())
-            pairs = candidate_links(signed, drawn, percent)
+            pairs = candidate_links(table["task"].to_numpy(), table["side"].to_numpy(), drawn, percent)
             if len(pairs):
                 links = np.unique(np.sort(keys[pairs], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
@@ -239,16 +296,17 @@ def _near_candidates(percent: int):
     return run
 
 
-def candidate_links(signed: np.ndarray, drawn: SketchTable, percent: int) -> np.ndarray:
-    """Pairs of rows that connect all rows of one signature which may be similar; rows lie by signature."""
-    edges = np.concatenate([[0], np.flatnonzero(signed[1:] != signed[:-1]) + 1, [len(signed)]])
+def candidate_links(task: np.ndarray, side: np.ndarray, drawn: SketchTable, percent: int) -> np.ndarray:
+    """Pairs of rows that connect all rows of one task which may be similar; rows lie by task."""
+    edges = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
     counts = np.diff(edges)
     few = np.repeat(counts <= FEW_SETS, counts)
     found = [np.zeros((0, 2), dtype=np.int64)]
     for step in range(1, FEW_SETS):
-        i = np.flatnonzero(few[:-step] & (signed[:-step] == signed[step:]))
+        i = np.flatnonzero(few[:-step] & (task[:-step] == task[step:]))
         if not len(i):
             break
+        i = i[across(side, i, i + step)]
         i = i[drawn.near(i, i + step, percent)]
         found.append(np.stack([i, i + step], axis=1))
     for low, high in zip(edges[:-1][counts > FEW_SETS], edges[1:][counts > FEW_SETS]):
@@ -258,7 +316,7 @@ def candidate_links(signed: np.ndarray, drawn: SketchTable, percent: int) -> np.
         part = np.arange(len(order))
         for place, row in enumerate(order):
             others = np.arange(place + 1, ends[place])
-            others = others[part[others] != part[place]]
+            others = others[(part[others] != part[place]) & across(side, row, order[others])]
             near = others[drawn.near(np.full(len(others), row), order[others], percent)]
             if len(near):
                 joined = np.unique(part[near])
@@ -345,8 +403,7 @@ def join_sets(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact links between the sets of each task: linked nodes, their local roots, their link counts.
 
-    ``side`` is -1 where a task holds a whole group; else twice the block's number, plus one in the
-    task that joins the block with itself. A task of two blocks takes pairs across them only.
+    ``side`` tells the blocks of a task, as in ``across``.
     """
     count = len(node)
     signed, owner = signatures(sets, percent, np.ones(count, dtype=bool))
@@ -379,9 +436,8 @@ def join_sets(
         if not partners[i]:
             continue
         js = np.unique(np.concatenate(partners[i]))
-        across = (side[js] < 0) | (side[js] % 2 == 1) | (side[js] != side[i])
         fits = 100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])
-        js = js[(task[js] == task[i]) & across & fits]
+        js = js[(task[js] == task[i]) & across(side, i, js) & fits]
         if not len(js):
             continue
         mine = numbers[sets.bounds[i] : sets.bounds[i + 1]]

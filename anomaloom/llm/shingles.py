@@ -173,7 +173,8 @@ class SketchTable:
             place = np.full(len(raw), -1, dtype=np.int64)
             place[rows] = np.arange(len(rows))
             table = np.stack(
-                [np.frombuffer(raw[i], np.uint8).reshape(level, -1).sum(axis=1, dtype=np.int32) for i in rows]
+                # At most 64 times 255, so 16 bits hold a cell of the coarsest level too.
+                [np.frombuffer(raw[i], np.uint8).reshape(level, -1).sum(axis=1, dtype=np.int16) for i in rows]
             )
             self.levels.append((place, table))
 

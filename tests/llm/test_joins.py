@@ -1,11 +1,12 @@
 """Near-duplicate joins against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from anomaloom.llm.components import connected_components
 from anomaloom.llm.grid_join import join_near_vectors
-from anomaloom.llm.jaccard_join import candidate_links, jaccard_join
+from anomaloom.llm.jaccard_join import _met, _shared_signatures, across, candidate_links, jaccard_join
 from anomaloom.llm.rows import first_of_groups
 from anomaloom.llm.shingles import CELLS, Sets, SketchTable, band_of, most_differences, similar, sketches
 from odd import frame, odd_rows, unnamed_rows, words
@@ -58,10 +59,11 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("size,percent,block", [(3, 90, 1500), (5, 80, 1500), (3, 70, 3)])
-def test_jaccard_join(spark, size, percent, block):
+@pytest.mark.parametrize("size,percent,block,signature", [(3, 90, 1500, 1000), (5, 80, 1500, 2), (3, 70, 3, 3)])
+def test_jaccard_join(spark, size, percent, block, signature):
     rows = odd_rows() + near_rows()
-    got = jaccard_join(frame(spark, rows), shingle=size, percent=percent, block_sets=block).collect()
+    docs = frame(spark, rows)
+    got = jaccard_join(docs, shingle=size, percent=percent, block_sets=block, signature_sets=signature).collect()
     assert {r.row_id: (r.n_shingles, r.n_links, r.component_id) for r in got} == brute_jaccard(rows, size, percent)
     assert len(got) == len(rows)
 
@@ -143,18 +145,55 @@ def test_vectors_without_ids(spark):
 
 def test_candidate_links_connect_all_that_may_be_similar():
     rng = np.random.default_rng(6)
-    signed = np.sort(rng.integers(0, 6, 400))
+    task = np.sort(rng.integers(0, 6, 400))
+    task[:30] = np.sort(rng.integers(-2, 0, 30))
+    side = np.where(task == 2, rng.integers(1, 3, 400) * 2, np.where(task == 3, 5, -1))
+    side[task == -1] = 2 * (np.arange((task == -1).sum()) % 2)
     sizes = rng.integers(20, 40, 400)
     cells = rng.integers(0, 2, (400, CELLS[0])).astype(np.uint8)
     cells[rng.integers(0, 400, 200)] = cells[0]
     drawn = SketchTable([c.tobytes() for c in cells], sizes)
-    links = candidate_links(signed, drawn, 60)
-    assert (signed[links[:, 0]] == signed[links[:, 1]]).all()
+    links = candidate_links(task, side, drawn, 60)
+    assert (task[links[:, 0]] == task[links[:, 1]]).all()
     i, j = np.triu_indices(400, 1)
-    near = drawn.near(i, j, 60) & (signed[i] == signed[j])
+    near = drawn.near(i, j, 60) & (task[i] == task[j]) & ((side[i] != side[j]) | np.isin(side[i], (-1, 5)))
     assert components(range(400), links.tolist()) == components(range(400), list(zip(i[near], j[near])))
 
 
+@pytest.mark.parametrize("batch", [1, 2, 7, 1000])
+def test_shared_signatures_are_cut_into_blocks(batch):
+    rng = np.random.default_rng(batch)
+    rows = sorted({(int(s), int(k)) for s, k in zip(rng.zipf(1.6, 300) % 40, rng.integers(0, 60, 300))})
+    repeated = sorted(rows + rows[::3] + rows[::5])
+    stream = (
+        pa.RecordBatch.from_pylist([{"signature": s, "key_a": k} for s, k in repeated[i : i + batch]])
+        for i in range(0, len(repeated), batch)
+    )
+    got = [(r["signature"], r["key_a"], r["block"]) for part in _shared_signatures(4)(stream) for r in part.to_pylist()]
+    wanted = []
+    for signature in sorted({s for s, _ in rows}):
+        sets = [k for s, k in rows if s == signature]
+        if len(sets) > 1:
+            wanted += [(signature, k, n // 4 if len(sets) > 4 else -1) for n, k in enumerate(sets)]
+    assert got == wanted and max(b for _, _, b in got) > 3
+
+
+def test_sets_of_a_large_signature_meet_once(spark):
+    shared = [(1, k, -1) for k in range(3)] + [(2, k, k // 4) for k in range(10, 21)]
+    met = _met(spark.createDataFrame(shared, "signature long, key_a long, block long")).collect()
+    tasks = {}
+    for row in met:
+        tasks.setdefault(row.task, []).append((row.side, row.key_a))
+    pairs = []
+    for rows in tasks.values():
+        side, keys = np.array([s for s, _ in rows]), [k for _, k in rows]
+        i, j = np.triu_indices(len(rows), 1)
+        pairs += [tuple(sorted((keys[a], keys[b]))) for a, b in zip(i, j) if across(side, a, b)]
+    groups = [range(3), range(10, 21)]
+    assert sorted(pairs) == [(a, b) for group in groups for a in group for b in group if a < b]
+    assert max(map(len, tasks.values())) == 8
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(2)
     members, bounds = [], [0]
