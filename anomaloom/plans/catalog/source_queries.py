@@ -144,13 +144,41 @@ SELECT block_id, anomaly_type, severity, confidence FROM classified""")
 def stream_alerts(spark, d):
     """Daily incidents of every user from a stream, through the alert sink; windows that the
     watermark has not closed stay open."""
-    out, progress = _path(spark, "stream-alerts"), _path(spark, "progress")
+    incidents = stream_incidents(_arriving_events(spark, d), ["user_id"], "ts", "1 hour", F.window("ts", "1 day"), score="score")
+    return _sunk_alerts(spark, incidents, "stream-alerts")
+
+
+def _arriving_events(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     k = F.get_json_object("props", "$.k").cast("int")
-    events = arriving.select("ts", "user_id", F.concat(F.lit("E"), (k % 29 + 1).cast("string")).alias("event"), (k / 100.0).alias("score"))
-    incidents = stream_incidents(events, ["user_id"], "ts", "1 hour", F.window("ts", "1 day"), score="score")
+    return arriving.select("ts", "user_id", F.concat(F.lit("E"), (k % 29 + 1).cast("string")).alias("event"), (k / 100.0).alias("score"))
+
+
+def _sunk_alerts(spark, incidents, name):
+    """Alerts that the stream has left in its sink, named by user and start of the window."""
+    out, progress = _path(spark, name), _path(spark, "progress")
     write_alerts_stream(incidents, "user_id", out, progress).awaitTermination()
     alerts = spark.read.json(out)
     start = F.date_format(F.col("window_start").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     return alerts.select(F.concat("block_id", F.lit("@"), start).alias("block_id"), "anomaly_type", "severity", "confidence")
+
+
+@query(f"""WITH {EV},
+opened AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
+  FROM ev),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM opened),
+bounded AS (
+  SELECT *, min(ts) OVER (PARTITION BY user_id, session) AS first_ts, max(ts) OVER (PARTITION BY user_id, session) AS last_ts
+  FROM numbered),
+closed AS (
+  SELECT event, k, CAST(user_id AS VARCHAR) || '@' || strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS block_id
+  FROM bounded WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)),
+{RULES.replace(EV, '').lstrip().lstrip(',').replace('FROM ev GROUP BY', 'FROM closed GROUP BY')}
+SELECT block_id, anomaly_type, severity, confidence FROM classified""")
+def stream_sessions(spark, d):
+    """Incidents of every user's sessions (six quiet hours end one) from a stream, through the alert
+    sink; sessions that the watermark has not closed stay open."""
+    incidents = stream_incidents(_arriving_events(spark, d), ["user_id"], "ts", "1 hour", F.session_window("ts", "6 hours"), score="score")
+    return _sunk_alerts(spark, incidents, "stream-sessions")

@@ -37,7 +37,7 @@ def stream_incidents(
     """Classified incidents per key and ``window`` (``F.window`` or ``F.session_window`` on ``time``).
 
     The state of a key is its fifteen rule counts and its top score, however many events it gets;
-    rows later than the watermark are dropped. Works on a batch DataFrame as well.
+    rows later than the watermark that the batch before went by are dropped. Works on a batch DataFrame as well.
     """
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
     extra = [F.max(score).alias("score")] if score else []

@@ -2,6 +2,7 @@
 
 import csv
 import random
+import time
 
 import numpy as np
 import pytest
@@ -192,3 +193,30 @@ def test_stream_equals_batch(spark, tmp_path):
 
         closed = batch.where("key <> 'end'").withColumnRenamed("key", "block_id")
         assert seen(spark.read.json(out)) == seen(closed)
+
+
+def test_rows_behind_the_watermark_do_not_reopen_a_session(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [
+        [("a", "E5", 0), ("a", "E5", 60)],
+        [("b", "E16", 10_000), ("a", "E5", 10_030)],
+        [("b", "E16", 10_050)],  # closes the first session; a row counts as late from the next batch on
+        [("a", "E24", 30), ("b", "E16", 10_100), ("end", "E1", 20_000)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "key string, event string, s long").coalesce(1).write.mode("append").parquet(inbox)
+        time.sleep(1.1)  # files arrive in the order of their times
+    lines = spark.readStream.schema("key string, event string, s long").option("maxFilesPerTrigger", 1).parquet(inbox)
+    events = lines.withColumn("ts", F.timestamp_seconds("s"))
+    stream = stream_incidents(events, ["key"], "ts", "10 minutes", F.session_window("ts", "3 minutes"))
+    write_alerts_stream(stream, "key", out, str(tmp_path / "progress")).awaitTermination()
+    on_time = [row for rows in batches for row in rows if row[0] != "end" and row[1] != "E24"]
+    timed = spark.createDataFrame(on_time, "key string, event string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    wanted = stream_incidents(timed, ["key"], "ts", "10 minutes", F.session_window("ts", "3 minutes"))
+
+    def seen(df, key):
+        start, end = (F.col(f"window_{side}").cast("timestamp").cast("long") for side in ("start", "end"))
+        return sorted(tuple(r) for r in df.select(key, start, end, "anomaly_type", "severity").collect())
+
+    got = seen(spark.read.json(out), "block_id")
+    assert got == seen(wanted, "key") and [row[:3] for row in got] == [("a", 0, 240), ("a", 10_030, 10_210), ("b", 10_000, 10_280)]
