@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from anomaloom.operators.windows import BLOCK_ROWS
+
 MIN_STD = 1e-6
 
 
@@ -18,13 +20,19 @@ def row_multiplicity(
     """How many train windows contain the rows of each cell of ``g`` rows, and ``g``.
 
     Window borders fall on multiples of g = gcd(length, stride), so all rows of a cell are in the
-    same windows: the table has one row per g data rows and no window is laid out.
+    same windows: the table has one row per g data rows and no window is laid out. Windows that start
+    in the same block of rows are brought together first; their cells are counted where they are, and
+    only the counts are shipped.
     """
     g = math.gcd(length, stride)
-    first = F.floor(F.col("w") * stride / g)
-    last = F.floor((F.col("w") * stride + F.col("n_rows") - 1) / g)
-    cells = train_keys.select(file, F.explode(F.sequence(first, last)).alias("__cell"))
-    return cells.groupBy(file, "__cell").agg(F.count(F.lit(1)).alias("__times")), g
+    start = F.col("w") * stride
+    keys = train_keys.select(file, "w", "n_rows", F.floor(start / BLOCK_ROWS).alias("__block"))
+    near = keys.repartition(file, "__block")
+    first = F.floor(start / g)
+    last = F.floor((start + F.col("n_rows") - 1) / g)
+    cells = near.select(file, "__block", F.explode(F.sequence(first, last)).alias("__cell"))
+    counts = cells.groupBy(file, "__block", "__cell").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(file, "__cell").agg(F.sum("n").alias("__times")), g
 
 
 def normalization_stats(
@@ -43,10 +51,10 @@ def normalization_stats(
     """
     times, g = row_multiplicity(train_keys, length, stride, file)
     weighted = numbered.select(
-        file, F.floor((F.col("rn") - 1) / g).alias("__cell"), array_to_vector(features).alias("__x")
+        file, F.floor((F.col("rn") - 1) / g).alias("__cell"), features
     ).join(times, [file, "__cell"])
     weight = F.col("__times").cast("double")
-    summary = Summarizer.metrics("mean", "variance").summary(F.col("__x"), weight)
+    summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(features), weight)
     # Grouped by a constant, so that no rows give no summary instead of an error.
     rows = weighted.groupBy(F.lit("all")).agg(
         summary.alias("s"), F.sum(weight).alias("w1"), F.sum(weight * weight).alias("w2")

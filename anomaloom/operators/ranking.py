@@ -157,14 +157,45 @@ def row_number_in_order(
     at_most: int | None = None,
     **sizes: int,
 ) -> DataFrame:
-    """Exact row number by number, time or text columns (nulls first), for groups of any size."""
-    cut, buckets = ordered_buckets(df, sort_keys(df, order), **sizes)
+    """Exact row number by number, time or text columns (nulls first), for groups of any size.
+
+    Only groups of more than ``rows_per_bucket`` rows are cut; the others are sorted whole, so that
+    many small groups do not become as many buckets as rows.
+    """
+    check_order(df, order)
+    rows_per_bucket = sizes.get("rows_per_bucket", BUCKET_ROWS)
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    large = counts.where(F.col("__n") > rows_per_bucket)
+    if large.isEmpty():
+        return _numbered_whole(df, group, order, output, at_most)
+    # A struct is never null itself, and equal to another one with nulls at the same places.
+    keyed = df.withColumn("__group", F.struct(*group) if group else F.struct(F.lit("all").alias("all")))
+    named = large.select((F.struct(*group) if group else F.struct(F.lit("all").alias("all"))).alias("__group"))
+    cut, buckets = ordered_buckets(keyed.join(named, "__group", "left_semi"), sort_keys(df, order), **sizes)
     if not buckets:
-        whole = _partitioned(group).orderBy(*order)
-        ranked = df.withColumn(output, F.row_number().over(whole).cast("bigint"))
-        return ranked if at_most is None else ranked.where(F.col(output) <= at_most)
-    ranked = row_number_by_bucket(cut, group, buckets, list(order), output, at_most)
-    return ranked.drop(*buckets)
+        return _numbered_whole(df, group, order, output, at_most)
+    ranked = row_number_by_bucket(cut, ["__group"], buckets, list(order), output, at_most)
+    ranked = ranked.withColumn(output, F.col(output).cast("bigint")).select(*df.columns, output)
+    if not group:
+        return ranked
+    rest = keyed.join(named, "__group", "left_anti").drop("__group")
+    return ranked.unionByName(_numbered_whole(rest, group, order, output, at_most))
+
+
+def _numbered_whole(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], output: str, at_most: int | None
+) -> DataFrame:
+    whole = _partitioned(group).orderBy(*order)
+    ranked = df.withColumn(output, F.row_number().over(whole).cast("bigint"))
+    return ranked if at_most is None else ranked.where(F.col(output) <= at_most)
+
+
+def check_order(df: DataFrame, order: Sequence[Column]) -> None:
+    """An error for sort columns that cannot be cut, at any table size."""
+    for col in order:
+        kind = df.select(col.alias("c")).schema["c"].dataType.typeName()
+        if kind in ("array", "map", "struct", "variant"):
+            raise ValueError(f"cannot rank by a column of type {kind}")
 
 
 # Bytes of text that one sort number holds, and numbers of a text column at most.
@@ -178,6 +209,7 @@ def sort_keys(df: DataFrame, order: Sequence[Column]) -> list[Column]:
     its length; if a text is longer than those numbers hold, no later column may cut, and the list
     ends there. Other types cannot be cut and raise an error at any table size.
     """
+    check_order(df, order)
     keys: list[Column] = []
     for col in order:
         kind = df.select(col.alias("c")).schema["c"].dataType.typeName()
@@ -194,8 +226,6 @@ def sort_keys(df: DataFrame, order: Sequence[Column]) -> list[Column]:
             if (longest or 0) > _TEXT_BYTES * _TEXT_KEYS:
                 keys.pop()
                 break
-        elif kind in ("array", "map", "struct", "variant"):
-            raise ValueError(f"cannot rank by a column of type {kind}")
         else:
             keys.append(col.cast("double"))
     return keys

@@ -125,3 +125,22 @@ def test_text_order_is_cut_like_numbers(spark, longest):
 def test_order_by_a_struct_is_refused(spark):
     with pytest.raises(ValueError):
         row_number_in_order(spark.range(3).select(F.struct("id").alias("s")), [], [F.col("s")], "rn")
+
+
+def test_small_groups_of_a_large_table_are_not_cut(spark, rows, monkeypatch):
+    """Buckets of many small groups would be nearly as many as rows."""
+    df = spark.createDataFrame([(i % 200, v, i) for _, v, i in rows], "g int, v double, i int")
+    monkeypatch.setattr(ranking, "ordered_buckets", None)
+    got = row_number_in_order(df, ["g"], [F.col("v"), F.col("i")], "rn", rows_per_bucket=50).collect()
+    assert {(r.g, r.i): r.rn for r in got} == {
+        (g, i): n for g in range(200) for n, (v, i) in enumerate(sorted((v, i) for _, v, i in rows if i % 200 == g), 1)
+    }
+
+
+@pytest.mark.parametrize("at_most", [None, 30])
+def test_a_large_group_without_a_key_keeps_its_rows(spark, at_most):
+    data = [(None if i % 3 else i % 7, 600 - i) for i in range(600)]
+    df = spark.createDataFrame(data, "g int, v int")
+    got = row_number_in_order(df, ["g"], [F.col("v")], "rn", at_most=at_most, rows_per_bucket=50).collect()
+    expected = {(g, v): 1 + sum(h == g and w < v for h, w in data) for g, v in data}
+    assert {(r.g, r.v): r.rn for r in got} == {key: n for key, n in expected.items() if n <= (at_most or 600)}
