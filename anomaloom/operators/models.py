@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -19,6 +20,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from anomaloom.functions.batches import array_column, regular_windows
 from anomaloom.functions.numeric import argmax, clamp_score, let, softmax
 from anomaloom.operators.evaluation import ClassificationReport, classification_report
 from anomaloom.sources.datasets import load_split
@@ -46,9 +48,32 @@ def sequence_features(
     ]
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _regular_features(windows: pa.Array) -> pa.Array:
+    """The values of :func:`window_features` for the regular windows of a batch, null for the others."""
+    at, x = regular_windows(windows)
+    if not len(at):
+        return pa.nulls(len(windows), pa.list_(pa.float64()))
+    # Rows are added one after the other, as the expressions do.
+    total, squares = np.zeros((2, len(at), x.shape[2]))
+    with np.errstate(all="ignore"):
+        for t in range(x.shape[1]):
+            total += x[:, t]
+        mean = total / x.shape[1]
+        for t in range(x.shape[1]):
+            gap = x[:, t] - mean
+            squares += gap * gap
+        parts = [mean, np.sqrt(squares / x.shape[1]), x[:, -1], x[:, -1] - x[:, 0]]
+    return array_column(len(windows), at, np.concatenate(parts, axis=1))
+
+
 def window_features(window: Column) -> Column:
     """Vector of a window (array of feature arrays): mean, deviation, last value and last minus
-    first, per feature."""
+    first, per feature.
+
+    Windows of a batch are computed side by side; those with nulls or of another shape than the
+    batch's first one are left to expressions, with the same results.
+    """
     n = F.size(window).cast("double")
     first, last = F.element_at(window, 1), F.element_at(window, -1)
     zeros = F.transform(first, lambda _: F.lit(0.0))
@@ -63,7 +88,8 @@ def window_features(window: Column) -> Column:
         change = F.zip_with(last, first, lambda z, a: (z - a).cast("double"))
         return F.concat(mean, deviation, last.cast("array<double>"), change)
 
-    return array_to_vector(let(F.transform(total, lambda t: t / n), around))
+    plain = let(F.transform(total, lambda t: t / n), around)
+    return array_to_vector(F.coalesce(_regular_features(window), plain))
 
 
 def fit_classifier(

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from anomaloom.functions.numeric import let
 from anomaloom.operators.ranking import hash_bucket, hash_order, row_number_by_bucket, row_number_in_order
 
 # Rows of a file that are laid out together, beside the rows shared with the next block.
@@ -129,14 +130,22 @@ def lay_out_windows(
             .when(F.col("__last") < length, F.array(F.lit(0).cast("bigint")))
             .otherwise(F.array().cast("array<bigint>"))
         )
-    placed = blocks.withColumn("__start", F.explode(starts))
-    begin = (F.col("__start") - F.col("__first") + 1).cast("int")
-    placed = placed.withColumn("__x", F.slice("__rows", begin, F.lit(length))["x"])
-    rows = F.col("__x")
     if pad is None:
-        pad = F.transform(F.element_at(rows, 1), lambda _: F.lit(0).cast("float"))
-    padded = F.concat(F.array_repeat(pad, F.greatest(F.lit(length) - F.size(rows), F.lit(0))), rows)
-    window = F.when(F.size(rows) == length, rows).otherwise(padded)
-    return placed.select(
-        file, F.floor(F.col("__start") / stride).cast("bigint").alias("w"), window.alias("window")
-    )
+        pad = F.transform(F.element_at("__rows", 1)["x"], lambda _: F.lit(0).cast("float"))
+
+    def window(rows: Column) -> Column:
+        padding = F.array_repeat(pad, F.greatest(F.lit(length) - F.size(rows), F.lit(0)))
+        return F.when(F.size(rows) == length, rows).otherwise(F.concat(padding, rows))
+
+    def cut(rows: Column) -> Column:
+        def one(start: Column) -> Column:
+            begin = (start - F.col("__first") + 1).cast("int")
+            shape = let(F.slice(rows, begin, F.lit(length)), window)
+            return F.struct(F.floor(start / stride).cast("bigint").alias("w"), shape.alias("window"))
+
+        return F.transform(starts, one)
+
+    # The windows of a block are cut side by side, so its rows are not copied once per window. An inner
+    # generator would be given a filter that cuts them all a second time.
+    laid_out = blocks.select(file, F.inline_outer(let(F.col("__rows")["x"], cut)))
+    return laid_out.where(F.col("w").isNotNull())

@@ -128,3 +128,15 @@ def test_fit_and_score(spark, kind):
         with pytest.raises(KeyError):
             models.evaluate_split(rows, "val", model, table, ["Normal", "Anomaly"])
     assert right >= 54
+
+
+def test_window_features_of_odd_windows(spark):
+    """A batch holds windows of several shapes, nulls and no rows; all but nulls are as plain Python has them."""
+    windows = [[[1.0, 10.0], [3.0, 10.0]], None, [[2.0, 5.0]], [[4.0, None], [1.0, 1.0]], [[1.5, -2.0], [9.0, 8.0]], [[7.0], [9.0]]]
+    df = spark.createDataFrame(list(enumerate(windows)), "id int, w array<array<float>>").coalesce(1)
+    found = df.where("id not in (1, 3)").select("id", vector_to_array(models.window_features(F.col("w"))).alias("x"))
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    for row in found.collect():
+        x = np.array(windows[row.id])
+        assert row.x == pytest.approx([*x.mean(axis=0), *x.std(axis=0), *x[-1], *(x[-1] - x[0])])
+    assert found.count() == 4
