@@ -265,12 +265,13 @@ def temporal_features(spark, d):
     numbered = numbered_flows(spark, d)
     laid_out = stage(lay_out_windows(numbered, 64, 4), "windows")
     train = split_windows(numbered, 64, 4).where(F.col("split") == "train").select("file", "w")
-    limits = convolution.fit_thresholds(laid_out.join(train, ["file", "w"]), _BANK, 64)
+    # The blocks of the train windows are shipped once more, a fraction of the windows themselves.
+    limits = convolution.fit_thresholds(lay_out_windows(numbered, 64, 4, selected=train), _BANK, 64)
     values = convolution.convolution_values(F.col("window"), _BANK, 64, limits)
     pairs = F.transform(F.sequence(F.lit(0), F.lit(len(_BANK) - 1)), lambda i: F.struct(
         i.alias("kernel"), F.get("values", i * 2).alias("top"), F.get("values", i * 2 + 1).alias("share")
     ))
-    rows = laid_out.select("file", "w", values.alias("values")).select("file", "w", F.inline(pairs))
+    rows = laid_out.select("file", "w", values.alias("values")).select("file", "w", F.inline_outer(pairs))
     return rows.withColumns({"top": F.round("top", 4), "share": F.round("share", 6)})
 
 

@@ -145,3 +145,19 @@ def test_surprise_without_training_rows(spark):
     assert surprise.sequence_surprise(traces(spark, []), model, ["id"]).collect() == []
     with pytest.raises(ValueError):
         surprise.event_probabilities(model, model.grams, (0.5, 0.5, 0.5, 0.0))
+
+
+def test_odd_windows_beside_regular_ones(spark):
+    bank = convolution.kernel_bank((0, 1), 9, 3)
+    rng = np.random.default_rng(8)
+    windows = [rng.integers(0, 9, (9, 2)).astype(float).tolist() for _ in range(5)]
+    odd = [None, [[1.0, None]] * 9, [[float("inf"), 2.0]] * 9, [[3.0]] * 9]
+    schema = "id int, window array<array<float>>"
+    values = convolution.convolution_values(F.col("window"), bank, 9, [1.0] * 6).alias("v")
+    alone = {i: spark.createDataFrame([(i, w)], schema).select(values).first().v for i, w in enumerate(windows + odd)}
+    df = spark.createDataFrame(list(enumerate(windows + odd)), schema).coalesce(1).select("id", values)
+    assert {r.id: str(r.v) for r in df.collect()} == {i: str(v) for i, v in alone.items()}
+    for i, window in enumerate(windows):
+        found = [plain_responses(window, k) for k in bank]
+        assert alone[i] == pytest.approx([x for v in found for x in (max(v), sum(y > 1.0 for y in v) / len(v))])
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
