@@ -17,6 +17,9 @@ SHOWN_TOKENS = 20
 # joined; the results are the same.
 LITERAL_ENTRIES = 20_000
 LITERAL_CHARACTERS = 1_000_000
+_WHOLE = ("byte", "short", "integer", "long")
+# More places than an array has, and a number below all 64-bit keys.
+_PLACES, _BEFORE_ALL = 2**31, str(-(2**63) - 1)
 
 
 def check_vocab_limits(sequence_length: int, max_vocab: int, min_frequency: int) -> None:
@@ -34,10 +37,18 @@ def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def first_places(df: DataFrame, key: Sequence[str], wanted: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``token, first_at``: smallest (key, position) of the ``wanted`` tokens."""
+    """``token, first_at``: smallest (key, position) of the ``wanted`` tokens, in a form that sorts as the
+    pair does, null keys first.
+
+    The place by one key of whole numbers is a number, which a hash aggregate takes; a struct is sorted.
+    """
     exploded = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
     kept = lookup_join(exploded, wanted.select("token"), ["token"], "left_semi")
-    return kept.groupBy("token").agg(F.min(F.struct(*key, "pos")).alias("first_at"))
+    place = F.struct(*key, "pos")
+    if len(key) == 1 and df.schema[key[0]].dataType.typeName() in _WHOLE:
+        whole = F.coalesce(F.col(key[0]).cast("decimal(20,0)"), F.lit(_BEFORE_ALL).cast("decimal(20,0)"))
+        place = (whole * F.lit(_PLACES).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
+    return kept.groupBy("token").agg(F.min(place).alias("first_at"))
 
 
 def build_vocab(

@@ -172,3 +172,12 @@ def test_assemble_hot_key(spark, partitions):
     assert got == expected
     tails = events.sequence_tails(df, ["k"], [F.col("t"), F.col("i")], 10, salt=4)
     assert {r.k: (r.tail, r.event_count) for r in tails.collect()} == {k: (v[-10:], len(v)) for k, v in expected.items()}
+
+
+def test_first_places_need_no_sort(spark):
+    rows = [(5, ["a", "b"]), (-7, ["c", "a", "a"]), (None, ["x", "b"]), (2**63 - 1, ["z", "z"]), (-(2**63), ["w", "z"])]
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>")
+    wanted = spark.createDataFrame([(t,) for t in "abczw"], "token string")
+    found = vocab.first_places(df, ["id"], wanted)
+    assert [r.token for r in found.orderBy("first_at").collect()] == ["b", "w", "z", "c", "a"]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
