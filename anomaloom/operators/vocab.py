@@ -36,19 +36,28 @@ def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_places(df: DataFrame, key: Sequence[str], wanted: DataFrame, tokens: str = "tokens") -> DataFrame:
+def first_places(
+    df: DataFrame, key: Sequence[str], wanted: DataFrame, tokens: str = "tokens", entries: int = LITERAL_ENTRIES
+) -> DataFrame:
     """``token, first_at``: smallest (key, position) of the ``wanted`` tokens, in a form that sorts as the
     pair does, null keys first.
 
     The place by one key of whole numbers is a number, which a hash aggregate takes; a struct is sorted.
+    Tokens are never shuffled one by one: a small table of wanted ones goes to the tasks, for a larger
+    one the places of all tokens are combined in the tasks first.
     """
     exploded = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
-    kept = lookup_join(exploded, wanted.select("token"), ["token"], "left_semi")
     place = F.struct(*key, "pos")
     if len(key) == 1 and df.schema[key[0]].dataType.typeName() in _WHOLE:
         whole = F.coalesce(F.col(key[0]).cast("decimal(20,0)"), F.lit(_BEFORE_ALL).cast("decimal(20,0)"))
         place = (whole * F.lit(_PLACES).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
-    return kept.groupBy("token").agg(F.min(place).alias("first_at"))
+    first_at = F.min(place).alias("first_at")
+    wanted = wanted.select("token")
+    count, characters = _extent(wanted)
+    if count > entries or characters > LITERAL_CHARACTERS:
+        return lookup_join(exploded.groupBy("token").agg(first_at), wanted, ["token"], "left_semi")
+    kept = lookup_join(exploded, F.broadcast(wanted), ["token"], "left_semi")
+    return kept.groupBy("token").agg(first_at)
 
 
 def build_vocab(
@@ -80,12 +89,17 @@ def build_vocab(
     return stage(special.unionByName(numbered), "vocab")
 
 
+def _extent(table: DataFrame) -> tuple[int, int]:
+    """Number of tokens and of their characters."""
+    return tuple(table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("token")), F.lit(0))).first())
+
+
 def vocab_lookup(vocab: DataFrame, entries: int = LITERAL_ENTRIES) -> Callable[[Column], Column] | None:
     """Token -> id (null if unknown) as an expression, or None for a large vocabulary.
 
     The SQL map look-up scans its entries, so the entries are spread over small maps by hash.
     """
-    count, characters = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("token")), F.lit(0))).first()
+    count, characters = _extent(vocab)
     if count > entries or characters > LITERAL_CHARACTERS:
         return None
     shelves = max(1, count // 4)

@@ -181,3 +181,22 @@ def test_first_places_need_no_sort(spark):
     found = vocab.first_places(df, ["id"], wanted)
     assert [r.token for r in found.orderBy("first_at").collect()] == ["b", "w", "z", "c", "a"]
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", ["id", "name"])
+@pytest.mark.parametrize("entries", [20_000, 0])
+def test_first_places_ship_no_single_tokens(spark, key, entries):
+    """However large Spark takes the wanted tokens to be, tokens meet only once combined in the tasks."""
+    rows = [(5, "e", ["a", "b", None]), (-7, "A", ["c", "a", "a"]), (None, None, ["x", "b"]), (9, "z", ["z", "z"]), (10, "zz", None)]
+    df = spark.createDataFrame(rows, "id bigint, name string, tokens array<string>")
+    wanted = spark.createDataFrame([(t,) for t in "abcz"] + [("absent",)], "token string").repartition(3)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = vocab.first_places(df, [key], wanted, entries=entries)
+        assert [r.token for r in found.orderBy("first_at").collect()] == ["b", "c", "a", "z"]
+        steps = found._jdf.queryExecution().executedPlan().toString().split("Generate posexplode")[0].splitlines()
+        exchange = max(i for i, line in enumerate(steps) if "Exchange hashpartitioning" in line)
+        assert "partial_min" in "".join(steps[exchange + 1 :])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
