@@ -140,9 +140,11 @@ def encode_tokens(
     rows, found = _looked_up(df.withColumn("__tail", last_items(F.col(tokens), length)), vocab, "__tail")
     item = F.struct("pos", F.coalesce("token_id", unk).alias("id"))
     ids = found.groupBy("__row").agg(F.sort_array(F.collect_list(item)).alias("__ids"))
+    # The tails are not shipped again, only whether there is one.
+    rows = rows.withColumn("__whole", F.col("__tail").isNotNull()).drop("__tail")
     joined = rows.join(ids, "__row", "left").withColumn("__found", F.coalesce(F.col("__ids.id"), F.array().cast("array<int>")))
     padded = left_pad(F.col("__found"), length, F.lit(PAD_ID))
-    return joined.withColumn(output, F.when(F.col("__tail").isNotNull(), padded)).select(*df.columns, output)
+    return joined.withColumn(output, F.when(F.col("__whole"), padded)).select(*df.columns, output)
 
 
 def _looked_up(df: DataFrame, vocab: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:

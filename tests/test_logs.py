@@ -200,3 +200,12 @@ def test_first_places_ship_no_single_tokens(spark, key, entries):
         assert "partial_min" in "".join(steps[exchange + 1 :])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_joined_encoding_ships_no_tails(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "id int, tokens array<string>")
+    table = spark.createDataFrame([("<UNK>", 1), ("a", 2)], "token string, token_id int")
+    encoded = vocab.encode_tokens(df, table, 3, literal_entries=0)
+    assert sorted(map(tuple, encoded.select("id", "token_ids").collect())) == [(1, [0, 2, 1]), (2, None)]
+    plan = encoded.select("id", "token_ids")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__tail" not in plan.split("Join LeftOuter")[0]
