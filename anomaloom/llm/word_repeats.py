@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from anomaloom.llm.hashing import BASE_A, BASE_B, U64, RangeHashes, Texts, anchor_runs, gram_hashes, texts_of
-from anomaloom.llm.rows import keyed_texts, same_row, whole_groups
+from anomaloom.llm.rows import keyed_texts, same_row, whole_groups, with_splits
 from anomaloom.session import stage
 
 SEED_WORDS = 4
@@ -79,9 +79,8 @@ def remove_word_repeats(
     )
     matched = stage(matched, "matched")
     asked = matched.where(~F.col("found"))
-    splits = asked.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / seed_runs).cast("int").alias("splits"))
     wishes = (
-        asked.join(splits, "seed")
+        with_splits(asked, seed_runs)
         .groupBy("row_id", "row_hash")
         .agg(F.collect_set(F.struct("seed", "start", "n", "splits")).alias("wishes"))
     )

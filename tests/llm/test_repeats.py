@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from anomaloom.llm import byte_repeats, hashing, word_repeats
 from anomaloom.llm.byte_repeats import remove_byte_repeats
+from anomaloom.llm.rows import with_splits
 from anomaloom.llm.suffix_array import longest_repeats, suffix_array
 from anomaloom.llm.word_repeats import remove_word_repeats
 from odd import frame, odd_rows, unnamed_rows, words
@@ -155,6 +158,27 @@ def test_window_stream_keeps_pairs_across_batches():
         assert [row["start"] for row in found] == [1, 3, 6]
 
 
+def test_rows_of_a_frequent_seed_stay_in_their_tasks(spark):
+    asked = spark.range(0, 4000, 1, 8).selectExpr("if(id % 4 = 0, id, 7) AS seed", "id AS start")
+    got = with_splits(asked, 1000).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.start for r in got) == list(range(4000))
+    assert {r.splits for r in got if r.seed == 7} == {3} and {r.splits for r in got if r.seed != 7} == {1}
+    assert max(Counter(r.task for r in got if r.seed == 7).values()) == 375
+
+
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    """Passages of over 50 words and at least 400 bytes, in two documents each."""
+    passages = [" ".join(words(90, 900 + i, 3000)) for i in range(5)]
+    assert min(len(p) for p in passages) >= 400
+    clean = [" ".join(words(150, 700 + i, 5000)) for i in range(20)]
+    texts = [f"{clean[i]} {passages[i % 5]}" if i < 10 else clean[i] for i in range(20)]
+    rows = list(enumerate(texts))
+    got = {r.row_id: r for r in remove_byte_repeats(frame(spark, rows)).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_bytes(rows, 400)
+    assert all(got[i].n_removed >= len(passages[i % 5]) for i in range(10))
+    assert all(got[i].n_removed == 0 for i in range(10, 20))
+
+
 def test_long_and_constant_texts(spark):
     rows = [row for row in odd_rows() if row[0] in (10, 11, 12)]
     got = {r.row_id: r for r in remove_byte_repeats(frame(spark, rows), with_text=False).collect()}
