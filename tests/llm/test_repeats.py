@@ -185,6 +185,19 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
     assert all(got[i].n_removed == 0 for i in range(10, 20))
 
 
+@pytest.mark.parametrize("size", [399, 400])
+def test_planted_passage_goes_from_400_bytes_on(spark, size):
+    """A passage of over 50 words in two documents: whole at 399 bytes, and gone from both at 400."""
+    passage = " ".join(words(110, 31, 3000))[:size]
+    assert len(passage) == size and len(passage.split()) > 50
+    clean = [" ".join(words(150, 720 + i, 5000)) for i in range(3)]
+    # Other bytes stand before and after the passage, so it does not go on.
+    rows = [(0, f"{clean[0]}A{passage}B{clean[2]}"), (1, f"{clean[1]}C{passage}D"), (2, clean[2][:380])]
+    got = {r.row_id: r for r in remove_byte_repeats(frame(spark, rows)).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_bytes(rows, 400)
+    assert [got[i].n_removed for i in range(3)] == ([400, 400, 0] if size == 400 else [0, 0, 0])
+
+
 def test_long_and_constant_texts(spark):
     rows = [row for row in odd_rows() if row[0] in (10, 11, 12)]
     got = {r.row_id: r for r in remove_byte_repeats(frame(spark, rows), with_text=False).collect()}
