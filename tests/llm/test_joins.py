@@ -1,11 +1,16 @@
 """Near-duplicate joins against brute force."""
 
+import math
+import os
+import threading
+from contextlib import contextmanager, suppress
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from anomaloom.llm.components import connected_components
-from anomaloom.llm.grid_join import join_near_vectors
+from anomaloom.llm.grid_join import Edges, Strip, _cells, _places, _unit, compare_strips, join_near_vectors
 from anomaloom.llm.jaccard_join import _met, _shared_signatures, across, candidate_links, jaccard_join
 from anomaloom.llm.rows import first_of_groups
 from anomaloom.llm.shingles import CELLS, Sets, SketchTable, band_of, most_differences, similar, sketches
@@ -143,6 +148,136 @@ def test_vectors_without_ids(spark):
     )
 
 
+def near_vectors(rng, count, groups, size=64):
+    """Vectors without a direction of their own, and groups about one of them whose members are partly near."""
+    vectors = rng.standard_normal((count, size))
+    for group in range(groups):
+        chosen = rng.choice(count, 40, replace=False)
+        vectors[chosen] = vectors[chosen[0]] + rng.uniform(0.1, 0.6) * vectors[chosen]
+    return vectors.astype(np.float32)
+
+
+def linked_pairs(vectors, other, similarity):
+    return _unit(vectors.astype(float)) @ _unit(other.astype(float)).T >= similarity
+
+
+@contextmanager
+def disk_watched(spark):
+    """The largest size of each file that comes up among the shuffle files and in the shared folder."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    folders = [folder.getPath() for folder in manager.localDirs()] + [spark.conf.get("spark.checkpoint.dir")]
+    seen, ended = {}, threading.Event()
+
+    def look():
+        for name in (os.path.join(at, name) for folder in folders for at, _, names in os.walk(folder) for name in names):
+            with suppress(OSError):
+                seen[name] = max(seen.get(name, 0), os.path.getsize(name))
+
+    def watch():
+        while not ended.wait(0.1):
+            look()
+
+    look()
+    before = set(seen)
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        yield seen
+    finally:
+        ended.set()
+        watcher.join()
+        look()
+        for name in before:
+            del seen[name]
+
+
+def test_grid_join_holds_vectors_on_disk_a_few_times(spark):
+    vectors = near_vectors(np.random.default_rng(5), 6000, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    with disk_watched(spark) as files:
+        got = {r.row_id: (r.n_links, r.component_id) for r in join_near_vectors(df, similarity=0.9, interval=64).collect()}
+    near = np.triu(linked_pairs(vectors, vectors, 0.9), 1)
+    found = components(range(6000), list(zip(*map(np.ndarray.tolist, np.nonzero(near)))))
+    counts = near.sum(axis=0) + near.sum(axis=1)
+    assert counts.max() > 5 and got == {i: (counts[i], found[i]) for i in range(6000)}
+    assert sum(files.values()) < 8 * vectors.nbytes
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_grid_join_of_repeated_vectors(spark, kind):
+    rng = np.random.default_rng(8)
+    vectors = near_vectors(rng, 60, 1, 5).round(1)
+    vectors[0, 0], vectors[1] = 0.0, vectors[0]
+    vectors[1, 0] = -0.0
+    rows = [(int(i), vectors[v].tolist()) for i, v in enumerate(rng.choice(60, 400, p=np.r_[0.4, np.full(59, 0.6 / 59)]))]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for interval in (2048, 3):
+            got = join_near_vectors(df, similarity=0.9, interval=interval).collect()
+            assert {r.row_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_cosine(rows, 0.9)
+            assert len(got) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_vectors_that_share_an_id_are_one_node(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.1, 1.0]), (9, [1.0, 0.1]), (3, [-1.0, 0.0]), (4, [0.0, -1.0]), (4, [0.1, -1.0])]
+    got = join_near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.row_id, r.n_links, r.component_id) for r in got) == [
+        (3, 0, 3), (4, 2, 4), (4, 2, 4), (5, 2, 5), (5, 2, 5), (7, 1, 5), (9, 1, 5)
+    ]
+
+
+@pytest.mark.parametrize("width", [8, 20, 64])
+def test_strips_are_compared_as_a_whole(width):
+    rng = np.random.default_rng(width)
+    vectors = near_vectors(rng, 1300, 8)
+    vectors[700:1100] = vectors[700] + 0.3 * vectors[700:1100]
+    lead = np.linalg.qr(rng.standard_normal((64, 64)))[0][:, :width]
+
+    def strip(rows):
+        numbers, copies = np.arange(len(rows)), np.arange(len(rows)) % 3 + 1
+        return Strip.read(numbers.tobytes(), (numbers >= 0).tobytes(), copies.tobytes(), rows.tobytes(), 64, lead)
+
+    whole, x, y = strip(vectors), strip(vectors[:900]), strip(vectors[900:])
+    for a, b in ((whole, whole), (x, y)):
+        nodes, named, roots, n = compare_strips(a, b, math.sqrt(0.2), 0.9, 0.9 - 1e-5)
+        near = linked_pairs(a.vectors, b.vectors, 0.9)
+        if a is b:
+            near &= ~np.eye(len(near), dtype=bool)
+        wanted = [near @ b.copies] if a is b else [near @ b.copies, a.copies @ near]
+        assert n.tolist() == [k for side in wanted for k in side.tolist() if k] and named.all()
+        shift = 0 if a is b else len(a.nodes)
+        places = np.concatenate([np.flatnonzero(side) + shift * i for i, side in enumerate(wanted)])
+        found = components(range(shift + len(b.nodes)), [(i, j + shift) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)))])
+        of = np.concatenate([a.nodes, b.nodes])
+        assert nodes.tolist() == of[places].tolist() and roots.tolist() == [of[found[p]] for p in places.tolist()]
+
+
+def test_links_are_reduced_to_the_smallest_places():
+    rng = np.random.default_rng(1)
+    edges = Edges(500)
+    pairs = rng.integers(0, 500, (300, 2))
+    for part in np.split(pairs, 30):
+        edges.add(part[:, 0], part[:, 1])
+        if rng.random() < 0.3:
+            edges.roots()
+    found = components(range(500), pairs.tolist())
+    assert edges.roots().tolist() == [found[i] for i in range(500)]
+
+
+def test_marks_and_cells_by_place():
+    rng = np.random.default_rng(7)
+    for n in (1, 7, 8, 9, 4096):
+        marks = rng.random(n) < 0.05
+        assert _places(marks).tolist() == np.flatnonzero(marks).tolist()
+    vectors = rng.standard_normal((500, 64))
+    lead = np.linalg.qr(rng.standard_normal((64, 64)))[0][:, :8]
+    together = _cells(_unit(vectors), lead, 1e-3)
+    assert (together == np.concatenate([_cells(_unit(v[None]), lead, 1e-3) for v in vectors])).all()
+
+
 def test_candidate_links_connect_all_that_may_be_similar():
     rng = np.random.default_rng(6)
     task = np.sort(rng.integers(0, 6, 400))
