@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from anomaloom.llm.components import connected_components
@@ -32,6 +33,8 @@ _LEAF = 256
 #: Intervals of a strip, and bytes of its vectors, at most about.
 _STRIP = 8
 _STRIP_BYTES = 8 << 20
+#: Bytes of the pairs of strips that go to Python at once, if a pair has not more.
+_PAIR_BYTES = 8 << 20
 #: Blocks of the second strip that are compared with a block of the first one at once.
 _BLOCKS = 8
 #: Tasks of the join for each core, at least about, and parts of the table that a part meets in a task at most.
@@ -40,6 +43,8 @@ _MET_PARTS = 32
 #: Strips that a task keeps ready, and links it holds before it reduces them to one per vector.
 _READY = 6
 _HELD_LINKS = 1 << 20
+#: Components of the vectors that the coarse comparison left and that are decided together, about.
+_WAITING = 1 << 18
 #: Slack of the box test and of the first, coarse comparison, far above rounding.
 _SLACK = 1e-9
 #: Share of pairs left by the coarse comparison from which a block is compared as a whole.
@@ -86,7 +91,8 @@ def join_near_vectors(
         strips = stage(_strips(same, size, lead[:, :GRID_COORDINATES], epsilon, interval), "strips")
         classes.append(strips.select("nodes", "named", "copies", "key_a", "key_b").mapInArrow(_rows, _CLASSES))
         links.append(_links(strips, size, lead[:, : _width(sample, lead, similarity)], epsilon, similarity))
-    found = stage(reduce(DataFrame.unionByName, links, spark.createDataFrame([], _LINKS)), "links")
+    with _batches_of(spark, _PAIR_BYTES):
+        found = stage(reduce(DataFrame.unionByName, links, spark.createDataFrame([], _LINKS)), "links")
     linked = stage(_linked(found), "linked")
     # Only vectors that have links or copies are looked up; every other row is alone.
     tied = (
@@ -113,6 +119,18 @@ def join_near_vectors(
     )
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of about ``most`` bytes for what runs inside; a task holds several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _linked(links: DataFrame) -> DataFrame:
     """``node, n, least_id`` of every node with links: their number, and the smallest id of its component."""
     reached = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -334,7 +352,6 @@ class Strip:
     named: np.ndarray
     copies: np.ndarray
     vectors: np.ndarray
-    unit: np.ndarray
     front: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -344,12 +361,18 @@ class Strip:
         numbers = np.frombuffer(nodes, np.int64)
         kind = np.float32 if len(vectors) == len(numbers) * size * 4 else np.float64
         given = np.frombuffer(vectors, kind).reshape(-1, size)
-        unit = _unit(given.astype(np.float64))
-        at = _coordinates(unit, lead)
-        starts = np.arange(0, len(at), _LEAF)
-        low, high = np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
-        front = np.ascontiguousarray(at, dtype=np.float32)
-        return cls(numbers, np.frombuffer(named, np.bool_), np.frombuffer(copies, np.int64), given, unit, front, low, high)
+        front = np.empty((len(given), lead.shape[1] + 1), dtype=np.float32)
+        boxes = []
+        # Block by block: a strip in double precision would take a multiple of its memory.
+        for start in range(0, len(given), _LEAF):
+            at = _coordinates(_unit(given[start : start + _LEAF].astype(np.float64)), lead)
+            front[start : start + _LEAF] = at
+            boxes.append((at.min(axis=0), at.max(axis=0)))
+        low, high = (np.array(ends) for ends in zip(*boxes))
+        return cls(numbers, np.frombuffer(named, np.bool_), np.frombuffer(copies, np.int64), given, front, low, high)
+
+    def unit(self, places) -> np.ndarray:
+        return _unit(self.vectors[places].astype(np.float64))
 
 
 def compare_strips(x: Strip, y: Strip, epsilon: float, similarity: float, least: float):
@@ -365,13 +388,17 @@ def compare_strips(x: Strip, y: Strip, epsilon: float, similarity: float, least:
     if same:
         near = np.triu(near)
 
-    def add(p: np.ndarray, q: np.ndarray) -> None:
-        """Links of the pairs among places ``p`` of ``x`` and ``q`` of ``y`` that are near enough."""
+    def add(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Links of the pairs of places of ``x`` and of ``y`` that are near enough."""
+        p, q = (np.concatenate(places) for places in zip(*pairs))
         if same:
             p, q = p[p < q], q[p < q]
-        if not len(p):
-            return
-        cosine = np.einsum("ij,ij->i", x.unit[p], y.unit[q])
+        step = max(1, _WAITING // x.vectors.shape[1])
+        for start in range(0, len(p), step):
+            decide(p[start : start + step], q[start : start + step])
+
+    def decide(p: np.ndarray, q: np.ndarray) -> None:
+        cosine = np.einsum("ij,ij->i", x.unit(p), y.unit(q))
         linked = cosine >= similarity
         for k in np.flatnonzero(np.abs(cosine - similarity) < _SLACK):
             linked[k] = _linked_exactly(x.vectors[p[k]], y.vectors[q[k]], similarity)
@@ -382,7 +409,7 @@ def compare_strips(x: Strip, y: Strip, epsilon: float, similarity: float, least:
 
     def add_block(a: int, b: int, c: int, d: int) -> None:
         """The same for a whole block, of which many pairs are left."""
-        cosine = x.unit[a:b] @ y.unit[c:d].T
+        cosine = x.unit(slice(a, b)) @ y.unit(slice(c, d)).T
         linked = cosine >= similarity
         for i, j in zip(*np.nonzero(np.abs(cosine - similarity) < _SLACK)):
             linked[i, j] = _linked_exactly(x.vectors[a + i], y.vectors[c + j], similarity)
@@ -403,6 +430,8 @@ def compare_strips(x: Strip, y: Strip, epsilon: float, similarity: float, least:
 
     bound = np.empty(_LEAF * _LEAF * _BLOCKS, dtype=np.float32)
     left = np.empty(len(bound), dtype=np.bool_)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for i in range(len(x.low)):
         a, b = i * _LEAF, min((i + 1) * _LEAF, count)
         for first, last in _runs(np.flatnonzero(near[i])):
@@ -415,7 +444,13 @@ def compare_strips(x: Strip, y: Strip, epsilon: float, similarity: float, least:
                     add_block(a, b, start, min(start + _LEAF, d))
             else:
                 p, q = np.divmod(_places(left[:size]), d - c)
-                add(p + a, q + c)
+                waiting.append((p + a, q + c))
+                held += len(p)
+            if held * x.vectors.shape[1] > _WAITING:
+                add(waiting)
+                waiting, held = [], 0
+    if waiting:
+        add(waiting)
     linked = np.flatnonzero(links)
     nodes, named = (x.nodes, x.named) if same else (np.concatenate([x.nodes, y.nodes]), np.concatenate([x.named, y.named]))
     return nodes[linked], named[linked], nodes[edges.roots()[linked]], links[linked]
